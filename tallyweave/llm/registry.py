@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from tallyweave.llm.matroska import op10_matroska
+from tallyweave.llm.mixing import op7_mixing
+from tallyweave.llm.token_orc import op1_token_orc
 
 QUERIES = {
+    "op1_token_orc": op1_token_orc,
+    "op7_mixing": op7_mixing,
     "op10_matroska": op10_matroska,
 }
 
