@@ -13,11 +13,11 @@ An empty table writes no rows and reads back as none. Extra columns of the input
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,18 +35,20 @@ ORC_OPTIONS = {
 }
 #: Words in the memory of one Python worker.
 CACHE_WORDS = 700_000
-#: Code points at which words may be cut: what the tokenizer's own pattern calls white space and Python's split() does too.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Control marks that the cutting into words takes for white space and the tokenizer does not.
+ODD_SPACE = "[\x1c-\x1f]"
+#: Rows that are encoded at once.
+ROWS = 2000
 #: Marks that the tokenizer's pattern never joins to the letter or digit before them.
 TAIL = ".,*#$%&!?;:|)]}-"
-#: Letters whose lower case is one letter, and that are in composed form.
-LATIN = re.compile("[\u0041-\u005a\u0061-\u007a\u00c0-\u012f\u0131-\u024f]+").fullmatch
+#: Words of letters whose lower case is one letter, and that are in composed form.
+LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
 
 class WordEncoder:
     """Encodes texts word by word, remembering words: the tokenizer drops white space and no token spans it,
     so a text's ids are those of its words in a row. Texts with the four control marks that only one of
-    the two sides takes for white space are encoded whole. Ids come as little-endian unsigned 32-bit bytes.
+    the two sides takes for white space are encoded whole, with the rows around them. Ids come as little-endian unsigned 32-bit bytes.
 
     A new word of Latin letters, maybe with marks behind, is cut where the tokenizer's own pattern cuts it.
     Its letters, lower-cased as the tokenizer does, go through the same merges without the other steps;
@@ -75,43 +77,49 @@ class WordEncoder:
         data, cuts = ids.tobytes(), ends.tolist()
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def learn(self, words: set[str]) -> None:
-        known, cut, new, rest = self.known, [], set(), set()
-        for w in words:
-            core = w.rstrip(TAIL)
-            if core.isalpha() and (core.isascii() or LATIN(core)):
-                low, tail = core.lower(), w[len(core) :]
-                cut.append((w, low, tail))
-                if low not in known:
-                    new.add(low)
-                if tail and tail not in known:
-                    rest.add(tail)
-            else:
-                rest.add(w)
+    def learn(self, words: list[str]) -> None:
+        known = self.known
+        column = pa.array(words, pa.string())
+        cores = pc.utf8_rtrim(column, TAIL)
+        cut = pc.match_substring_regex(cores, LATIN)
+        some = cut.to_numpy(zero_copy_only=False)
+        rest = set(column.filter(pc.invert(cut)).to_pylist())
+        size = pc.utf8_length(cores).to_numpy()[some].tolist()
+        words, lows = column.filter(cut).to_pylist(), pc.utf8_lower(cores.filter(cut)).to_pylist()
+        tails = [w[n:] for w, n in zip(words, size)]
+        rest.update(x for x in set(tails) if x and x not in known)
         known.update(zip(rest, self.whole(list(rest))))
-        new = list(new)
+        new = [x for x in set(lows) if x not in known]
         known.update(zip(new, self.letters(new)))
-        for w, low, tail in cut:
-            known[w] = known[low] + known[tail] if tail else known[low]
+        known.update((w, known[low] + known[t] if t else known[low]) for w, low, t in zip(words, lows, tails))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        words: list[str] = []
-        ends, odd = [0], {}
-        for k, t in enumerate(texts):
-            if t and any(c in t for c in ODD_SPACE):
-                odd[k] = self.whole([t])[0]
-            elif t:
-                words += t.split()
-            ends.append(len(words))
+    def ids_of(self, words: list[str]) -> list[bytes]:
         ids = list(map(self.known.get, words))
         missing = [k for k, x in enumerate(ids) if x is None]
         if missing:
-            self.learn({words[k] for k in missing})
+            self.learn([words[k] for k in missing])
             for k in missing:
                 ids[k] = self.known[words[k]]
-        return [odd[k] if k in odd else b"".join(ids[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
+        return ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and their number by text (null: none)."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        texts = texts.fill_null("")
+        if pc.any(pc.match_substring_regex(texts, ODD_SPACE)).as_py():
+            each = self.whole(texts.to_pylist())
+            return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each], np.int64)
+        words = pc.utf8_split_whitespace(texts)
+        kinds = words.flatten().dictionary_encode()
+        each = self.ids_of(kinds.dictionary.to_pylist())
+        size = np.array([len(x) // 4 for x in each], np.int64)
+        at = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(each), "<u4")))
+        ids = lists.take(kinds.indices).flatten().to_numpy()
+        total = np.concatenate([[0], np.cumsum(size[kinds.indices.to_numpy()])])
+        cuts = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return ids, np.diff(total[cuts])
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -140,20 +148,22 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str | None = None, end_id:
     """Write df(doc_id, text) to `out` in ascending doc_id order and return the files as a DataFrame."""
     spark = df.sparkSession
     json = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(json.value)
         for big in batches:
-            for k in range(0, big.num_rows, 500):
-                batch = big.slice(k, 500)
-                data = [x + end for x in enc.encode(batch.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in data], "int64")
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(np.frombuffer(b"".join(data), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.full(len(n), part, "int32")), pa.array(at + offsets[:-1]), ids], names)
+            for k in range(0, big.num_rows, ROWS):
+                batch = big.slice(k, ROWS)
+                ids, n = enc.encode(batch.column(1))
+                offsets = np.concatenate([[0], np.cumsum(n + 1)])
+                every = np.full(offsets[-1], end_id, np.int32)
+                own = np.ones(len(every), bool)
+                own[offsets[1:] - 1] = False
+                every[own] = ids
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(every))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n + 1), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), lists], names)
                 at += int(offsets[-1])
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -183,8 +193,8 @@ def token_digest(tokens: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(3)
-            flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].astype("<u4", copy=False)) for a, b in zip(at[:-1], at[1:])]
+            flat, at = ids.values.to_numpy(zero_copy_only=False).view("<u4"), ids.offsets.to_numpy()
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype("int64")), pa.array(crc, pa.int64())], ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
 
     rows = tokens.select("doc_id", "part", "part_start", "ids").mapInArrow(run, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
