@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from tallyweave.llm.language_id import op3_language_id
 from tallyweave.llm.license_scan import op6_license_scan
 from tallyweave.llm.matroska import op10_matroska
 from tallyweave.llm.mixing import op7_mixing
+from tallyweave.llm.secret_scan import op4_secret_scan
 from tallyweave.llm.token_orc import op1_token_orc
 from tallyweave.llm.url_filter import op2_url_filter
 
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_url_filter": op2_url_filter,
+    "op3_language_id": op3_language_id,
+    "op4_secret_scan": op4_secret_scan,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op10_matroska": op10_matroska,
