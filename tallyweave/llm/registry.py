@@ -9,6 +9,7 @@ from tallyweave.llm.mixing import op7_mixing
 from tallyweave.llm.secret_scan import op4_secret_scan
 from tallyweave.llm.token_orc import op1_token_orc
 from tallyweave.llm.url_filter import op2_url_filter
+from tallyweave.llm.warc import op8_warc
 
 QUERIES = {
     "op1_token_orc": op1_token_orc,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
     "op10_matroska": op10_matroska,
 }
 
