@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyweave.llm.jaccard_join import op5_jaccard_join
 from tallyweave.llm.language_id import op3_language_id
 from tallyweave.llm.license_scan import op6_license_scan
 from tallyweave.llm.matroska import op10_matroska
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
