@@ -2,8 +2,8 @@
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger, a folder of Parquet
 files, has a row for each pair of blob and rule version that was scanned. A run scans only pairs it lacks,
-one copy of each content, appends them, and joins findings back to all paths. Copies are reduced to one on
-the side of the readers, before texts are shuffled by content; the join back carries no texts.
+one copy of each content, appends them, and joins findings back to all paths. Each reading task passes on
+one copy of a content, so texts are shuffled by content without a hot key; the join back carries no texts.
 
 Null text counts as empty text, which has no findings. Paths may repeat, as may contents: each row gets
 the findings of its content. An empty table appends nothing. Extra columns are dropped. A lost executor
@@ -89,18 +89,31 @@ class Ledger:
 
     def scan(self, history: DataFrame, rules: Rules, text: str = "text") -> None:
         """Scan and append the contents of `history` that the ledger lacks under these rules."""
-        blobs = history.select(content(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-        if self.exists():
-            unseen = unseen.join(self.rows(rules.version).select("blob"), "blob", "left_anti")
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
+        def unseen(batch: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
+            """The rows whose content this task has not had."""
+            keep = [not (b in seen or seen.add(b)) for b in batch.column(0).to_pylist()]
+            return batch.filter(pa.array(keep, pa.bool_()))
+
+        def distinct(batches):
+            seen: set[bytes] = set()
+            for batch in batches:
+                yield unseen(batch, seen)
+
         def run(batches):
+            seen: set[bytes] = set()
             for batch in batches:
-                spans = [[{"kind": k, "start": a, "stop": b} for k, a, b in rules.spans(t)] for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rules.version] * len(spans), pa.string()), pa.array(spans, kind)], ["blob", "rule_version", "spans"])
+                blobs, texts = unseen(batch, seen).columns
+                spans = [[{"kind": k, "start": a, "stop": b} for k, a, b in rules.spans(t)] for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([blobs, pa.array([rules.version] * len(spans), pa.string()), pa.array(spans, kind)], ["blob", "rule_version", "spans"])
 
-        unseen.mapInArrow(run, self.schema).write.mode("append").parquet(self.path)
+        blobs = history.select(content(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        blobs = blobs.mapInArrow(distinct, "blob binary, text string").repartition("blob")
+        if self.exists():
+            # The ledger's side is the one that is hashed: texts are neither sorted nor kept.
+            blobs = blobs.join(self.rows(rules.version).select("blob").hint("shuffle_hash"), "blob", "left_anti")
+        blobs.mapInArrow(run, self.schema).write.mode("append").parquet(self.path)
 
     def findings(self, history: DataFrame, keys: list[str], rules: Rules, text: str = "text") -> DataFrame:
         """keys, blob and spans of every row of `history`; null spans where the content was not scanned."""
