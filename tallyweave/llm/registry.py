@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyweave.llm.decontaminate import op9_decontaminate
 from tallyweave.llm.jaccard_join import op5_jaccard_join
 from tallyweave.llm.language_id import op3_language_id
 from tallyweave.llm.license_scan import op6_license_scan
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
+    "op9_decontaminate": op9_decontaminate,
     "op10_matroska": op10_matroska,
 }
 

@@ -24,20 +24,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, one text after another, and where each text's begin (and the last ends)."""
+def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and lengths in bytes of all words, one text after another, and where each text's begin (and the last ends)."""
     if not len(texts):
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
     # A blank in front makes the first piece of every text empty, so that each has one.
     padded = pc.binary_join_element_wise(" ", pc.ascii_lower(texts.fill_null("")), "")
     words = pc.ascii_split_whitespace(padded)
     kinds = words.flatten().dictionary_encode()
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds.dictionary.to_pylist()), np.uint64, len(kinds.dictionary))
-    full = np.array(pc.binary_length(kinds.dictionary)) > 0
+    size = np.array(pc.binary_length(kinds.dictionary), np.int64)
     index = kinds.indices.to_numpy()
-    keep = full[index]
+    keep = size[index] > 0
     at = np.concatenate([[0], np.cumsum(keep)])
-    return h[index[keep]], at[words.offsets.to_numpy() - words.offsets[0].as_py()]
+    index = index[keep]
+    return h[index], size[index], at[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -55,7 +56,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
 def by_text(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its word hashes and its shingles in order: of fewer than k words, one for the whole
     sequence; without words, none."""
-    words, at = word_hashes(texts)
+    words, _, at = word_table(texts)
     every = shingles(words, k)
     for a, b in zip(at[:-1], at[1:]):
         yield words[a:b], (every[a : b - k + 1] if b - a >= k else shingles(words[a:b], b - a) if b > a else words[a:b])
