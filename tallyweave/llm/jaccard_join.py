@@ -8,11 +8,12 @@ Signatures of empty pieces would be shared by strangers; with spare parts they a
 the few sets in which more parts than the spare ones have empty pieces.
 
 Equal sets are one node (a 64-bit hash of the set). In each group of nodes with a common signature the
-least node is compared with all others, exactly; groups are first formed within a batch of a reader and
-only each batch's least node goes on to the shuffle, so no key brings more rows to a task than there are
-batches. Groups in which these links leave more than one component are then compared further: every pair
-across components that has not been compared, until no such pair is left. Pairs within a component can't
-change it, and pairs in no common group can't be linked, so no link between components is lost.
+node that meets most others is compared with all of them, exactly; groups are first formed within a batch of a
+reader and only one node of each goes on to the shuffle of signatures, so no key brings more rows to a task
+than there are batches. Where these links leave more than one component, `across` finds the pairs across
+components that can still be linked, from how both differ from the node they were compared with, and those are
+compared too. Pairs within a component can't change it, and pairs in no common group can't be linked, so no
+link between components is lost.
 
 Null and empty texts, and texts of white space, have an empty set: n_shingles 0, linked with nothing, their
 own component. Repeated rows are links of one node. Rows with a null id take part, but a component's id is
@@ -36,6 +37,8 @@ from tallyweave.llm.shingles import by_text, mix
 
 #: Rows of a batch in which groups are formed.
 ROWS = 4000
+#: Elements that the first elements of two difference sets must share, where they must share as many at all.
+MATCHES = 4
 #: Bits of the filter on documents whose sets are needed again: a fixed size, sent to all executors.
 FILTER_BITS = 1 << 22
 
@@ -117,14 +120,20 @@ def first_of_runs(x: np.ndarray) -> np.ndarray:
 
 
 def grouped(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (signature, node) rows in order, the least node of each row's group, and whether that has others."""
+    """Distinct (signature, node) rows in order, whether the row stands for its group, and whether the group has
+    other rows. The row that stands for it is that of the node that meets most others in all groups."""
     order = np.lexsort((nodes, sigs))
     sigs, nodes = sigs[order], nodes[order]
     own = first_of_runs(sigs) | first_of_runs(nodes)
     sigs, nodes = sigs[own], nodes[own]
-    first = first_of_runs(sigs)
-    group = np.cumsum(first) - 1
-    return sigs, nodes, nodes[first][group], np.bincount(group)[group] > 1 if len(group) else first
+    group = np.cumsum(first_of_runs(sigs)) - 1
+    size = np.bincount(group)[group] if len(group) else group
+    kinds, at = np.unique(nodes, return_inverse=True)
+    met = np.bincount(at, size - 1)[at] if len(group) else size
+    order = np.lexsort((nodes, -met, sigs))
+    first = np.zeros(len(sigs), bool)
+    first[order[first_of_runs(sigs[order])]] = True
+    return sigs, nodes, first, size > 1
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -132,15 +141,13 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, node, sigs, groups) of every row. sigs: signatures for which this row is the least node of its
-    batch; groups: (signature, least node) for all signatures that other nodes of the batch have too."""
+    """(key, n_shingles, node, sigs, shared) of every row. sigs: signatures for which this row stands for all of its
+    batch; shared: signatures that other nodes of the batch have too."""
     kind = docs.schema[key].dataType.simpleString()
-    pair = pa.struct([("sig", pa.int64()), ("lead", pa.int64())])
 
-    def lists(owner: np.ndarray, n: int, *values: np.ndarray) -> pa.Array:
+    def lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
         """values by owner, which is in order."""
-        at = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
-        return pa.ListArray.from_arrays(at, pa.array(values[0]) if len(values) == 1 else pa.StructArray.from_arrays([pa.array(v) for v in values], fields=list(pair)))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
     def run(batches):
         for big in batches:
@@ -157,48 +164,54 @@ def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
                             place[nodes[k]] = k
                             every.append(signed(rule.signatures(features)))
                             owner.append(np.full(len(every[-1]), nodes[k]))
-                sigs, own, lead, many = grouped(np.concatenate(every), np.concatenate(owner))
+                sigs, own, first, many = grouped(np.concatenate(every), np.concatenate(owner))
                 row = np.fromiter(map(place.__getitem__, own.tolist()), np.int64, len(own))
                 order = np.argsort(row, kind="stable")
-                sigs, own, lead, many, row = sigs[order], own[order], lead[order], many[order], row[order]
-                least = own == lead
+                sigs, first, many, row = sigs[order], first[order], many[order], row[order]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), lists(row[least], n, sigs[least]), lists(row[many], n, sigs[many], lead[many])],
-                    [key, "n_shingles", "node", "sigs", "groups"],
+                    [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), lists(row[first], n, sigs[first]), lists(row[many], n, sigs[many])],
+                    [key, "n_shingles", "node", "sigs", "shared"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, sigs array<long>, groups array<struct<sig:long,lead:long>>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, sigs array<long>, shared array<long>")
 
 
 def global_groups(rows: DataFrame) -> DataFrame:
-    """(sig, lead, node) of all groups of several nodes among rows (sig, node). Rows are sorted by signature and read
-    as a stream, whatever a group's size."""
+    """The rows (sig, node) whose signature has several nodes. Rows are sorted by signature and read as a stream, whatever
+    a group's size."""
 
     def run(batches):
-        sig = lead = last = None  # of the group and row before
-        alone = False  # the group's first row has not been put out
+        sig = node = None  # of the row before
+        alone = False  # whether its signature has had one node so far
         for batch in batches:
             sigs, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(sigs):
                 continue
-            first, again = first_of_runs(sigs), ~(first_of_runs(sigs) | first_of_runs(nodes))
-            first[0] = sigs[0] != sig
-            again[0] = not first[0] and nodes[0] == last
-            group = np.cumsum(first)
-            leads = np.concatenate([[lead if lead is not None else 0], nodes[first]])[group]
-            others = ~first & ~again
-            # A group's first row is put out with its first other row.
-            opens = np.flatnonzero(others)[first_of_runs(group[others])]
-            if len(opens) and group[opens[0]] == 0 and not alone:
-                opens = opens[1:]
-            at = np.concatenate([np.flatnonzero(others), opens])
-            out = np.concatenate([nodes[others], leads[opens]])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[at]), pa.array(leads[at]), pa.array(out)], ["sig", "lead", "node"])
-            alone = not (others & (group == group[-1])).any() and (alone or group[-1] > 0)
-            sig, lead, last = sigs[-1], leads[-1], nodes[-1]
-
-    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, lead long, node long")
+            if sig is not None:
+                # The row before comes again: its group may go on.
+                sigs, nodes = np.concatenate([[sig], sigs]), np.concatenate([[node], nodes])
+            new = first_of_runs(sigs) | first_of_runs(nodes)
+            group = np.cumsum(first_of_runs(sigs)) - 1
+            many = np.bincount(group, new)[group] > 1
+            done = sig is not None and not alone
+            keep = new & (many | (group == 0 if done else np.zeros(len(sigs), bool)))
+            if done:
+                keep[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[keep]), pa.array(nodes[keep])], ["sig", "node"])
+            alone = not many[-1] and not (done and group[-1] == 0)
+            sig, node = sigs[-1], nodes[-1]
+
+    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long")
+
+
+def leads(groups: DataFrame) -> DataFrame:
+    """(sig, lead, node) of all rows of groups; the lead is the node that meets most others in all groups. Of copies
+    that differ from one text in places of their own, it is that text, which is most like each of them."""
+    sizes = groups.groupBy("sig").agg(F.count("*").alias("n"))
+    met = groups.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("met"))
+    rows = groups.join(met, "node")
+    first = rows.groupBy("sig").agg(F.max(F.struct("met", "node")).alias("first"))
+    return groups.join(first, "sig").select("sig", F.col("first.node").alias("lead"), "node")
 
 
 def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
@@ -230,12 +243,50 @@ def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccar
     return again.join(needed, "node", "left_semi").groupBy("node").agg(F.first("features").alias("features"))
 
 
-def compared(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
-    """pairs (a, b) with whether they are linked, by their whole sets."""
-    sets = materialize(sets_of(docs, features, pairs, rule, key, text), "sets")
+def compared(sets: DataFrame, pairs: DataFrame, rule: Jaccard) -> DataFrame:
+    """pairs (a, b) with whether they are linked, by their whole sets, and two lists of features in which b differs from
+    a, for `across`: first those that only b has, then those that only a has. need and always are how many a link with a
+    third node leaves in common, if that or b isn't linked to a and in any case."""
+    p, q = 100 - rule.percent, 100 + rule.percent
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
-    common = F.size(F.array_intersect("fa", "fb"))
-    return both.select("a", "b", (100 * common >= rule.percent * (F.size("fa") + F.size("fb") - common)).alias("linked"))
+    both = both.withColumn("na", F.size("fa")).withColumn("nb", F.size("fb")).withColumn("more", F.array_except("fb", "fa"))
+    both = both.withColumn("common", F.col("nb") - F.size("more"))
+    both = both.withColumn("linked", 100 * F.col("common") >= rule.percent * (F.col("na") + F.col("nb") - F.col("common")))
+    differs = F.concat(F.array_sort("more"), F.array_sort(F.array_except("fa", "fb")))
+    both = both.withColumn("n", F.col("na") + F.col("nb") - 2 * F.col("common"))
+    least = F.floor((F.col("n") * q + p * (F.col("na") - F.col("nb"))) / (2 * q)) + 1
+    # Of how many a link leaves in common, whatever y is.
+    always = F.col("n") - F.floor(p * F.col("nb") / rule.percent)
+    least = F.greatest(F.lit(1), F.when(F.col("linked"), least).otherwise(F.greatest(least, always)))
+    always = F.greatest(F.lit(1), always)
+    first = lambda need: F.slice(differs, 1, F.greatest(F.lit(0), F.least(F.col("n"), F.col("n") - need + MATCHES)).cast("int"))
+    return both.select("a", "b", "linked", least.cast("int").alias("need"), first(least).alias("short"), F.when(~F.col("linked"), first(always)).alias("long"), always.cast("int").alias("always"))
+
+
+def across(done: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs that may be linked, among nodes compared with one lead but in different components.
+
+    Let X and Y be where x and y differ from their lead b. Then x and y differ in |X| + |Y| - 2 |X & Y| features, so a link
+    needs |X & Y| above a bound, and two sets with so great a part in common share MATCHES (or all, if fewer) of their first few elements
+    in any order. As at least one of the two, say y, is not linked to b, the bound for x is (|X| + c (|b| - |x|)) / 2 with
+    c = (1 - s) / (1 + s) for threshold s: the first elements in `short`. For y it is |Y| less the most that linked sets can
+    differ in, whatever x is: those in `long`, and `short` if x isn't linked to b either and that is shorter. Texts changed in places of their own share hardly any of these."""
+    c = lambda node, name: found.select(F.col("node").alias(node), F.col("component").alias(name))
+    rows = done.join(c("b", "cb"), "b", "left").join(c("a", "ca"), "a", "left").withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a"))
+    split = rows.where("ca <> cb").select("a").distinct()
+    rows = materialize(rows.join(split, "a", "left_semi").select("a", "b", "linked", "cb", "need", "short", "always", "long"), "families")
+
+    def first(of: str, part: str, need: str, node: str) -> DataFrame:
+        return rows.where(of).select("a", F.explode(part).alias("e"), F.col("b").alias(node), F.col("cb").alias(f"c{node}"), F.col(need).alias(f"need_{node}"))
+
+    def enough(both: DataFrame) -> DataFrame:
+        """Pairs with as many elements in common as their first ones must have."""
+        same = both.groupBy("a", "x", "y").agg(F.count("*").alias("n"), F.first(F.greatest("need_x", "need_y")).alias("need"))
+        return same.where(F.col("n") >= F.least(F.lit(MATCHES), "need")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    apart = enough(first("not linked", "short", "need", "x").join(first("not linked", "short", "need", "y"), ["a", "e"]).where("x < y and cx <> cy"))
+    mixed = enough(first("linked", "short", "need", "x").join(first("not linked", "long", "always", "y"), ["a", "e"]).where("cx <> cy"))
+    return apart.unionByName(mixed).distinct()
 
 
 def similar(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -243,22 +294,17 @@ def similar(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "te
     described = materialize(describe(docs, rule, key, text), "described")
     features = described.select(key, "n_shingles", "node")
     spread = global_groups(described.select(F.explode("sigs").alias("sig"), "node"))
-    within = described.select(F.explode("groups").alias("g"), "node").select("g.sig", "g.lead", "node")
-    groups = materialize(within.unionByName(spread), "groups")
-    pairs = materialize(groups.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    done = materialize(compared(docs, features, pairs, rule, key, text), "compared")
+    within = described.select(F.explode("shared").alias("sig"), "node")
+    groups = materialize(within.unionByName(spread).distinct(), "groups")
+    pairs = materialize(leads(groups).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    sets = materialize(sets_of(docs, features, pairs, rule, key, text), "sets")
+    done = materialize(compared(sets, pairs, rule), "compared")
     found = components(done.where("linked"))
-    # Groups of several components: pairs across them that no one has compared.
-    members = groups.select("sig", "node").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    split = members.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    members = materialize(members.join(split, "sig", "left_semi").distinct(), "members")
-    a, b = (members.select("sig", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-    rest = a.join(b, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
-    rest = materialize(rest.join(done.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    rest = materialize(across(done, found), "rest")
     if not rest.isEmpty():
-        more = materialize(compared(docs, features, rest, rule, key, text), "compared").where("linked")
+        more = materialize(compared(sets, rest, rule).where("linked").select("a", "b"), "more")
         if not more.isEmpty():
-            found = components(done.where("linked").unionByName(more))
+            found = components(done.where("linked").select("a", "b").unionByName(more))
     return features, found
 
 
