@@ -28,7 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import materialize, table
@@ -39,6 +39,8 @@ from tallyweave.llm.shingles import by_text, mix
 ROWS = 4000
 #: Elements that the first elements of two difference sets must share, where they must share as many at all.
 MATCHES = 4
+#: Documents that set the order of features, about, and the size of the table of their frequencies.
+ORDER_SAMPLE, ORDER_SLOTS = 20_000, 1 << 20
 #: Bits of the filter on documents whose sets are needed again: a fixed size, sent to all executors.
 FILTER_BITS = 1 << 22
 
@@ -214,18 +216,43 @@ def leads(groups: DataFrame) -> DataFrame:
     return groups.join(first, "sig").select("sig", F.col("first.node").alias("lead"), "node")
 
 
+def rarity(docs: DataFrame, rule: Jaccard, key: str, text: str) -> np.ndarray:
+    """How often features occur, by slots of their hashes, in a sample of about ORDER_SAMPLE documents. It only sets the order
+    in which features are looked at, on which results don't depend."""
+    share = max(1, docs.count() // ORDER_SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit("order")), F.lit(share)) == 0)
+
+    def run(batches):
+        for batch in batches:
+            features = [np.unique(s) for _, s in by_text(batch.column(0), rule.k)]
+            n = np.bincount(slots(np.concatenate([np.zeros(0, np.uint64), *features])), minlength=ORDER_SLOTS)
+            place = np.flatnonzero(n > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n[place])], ["slot", "n"])
+
+    found = some.select(text).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(ORDER_SLOTS, np.int32)
+    table[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 1 << 30)
+    return table
+
+
+def slots(features: np.ndarray) -> np.ndarray:
+    return (features & np.uint64(ORDER_SLOTS - 1)).astype(np.int64)
+
+
 def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
-    """(node, features) of all nodes in pairs. Ids of documents to be read again pass a filter of fixed size first."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """(node, features) of all nodes in pairs, rare features first. Ids of documents to be read again pass a filter of
+    fixed size."""
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
     ids = features.join(needed, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key))
     bits = np.zeros(FILTER_BITS, bool)
     for batch in ids.select(slot(F.col(key)).alias("slot")).distinct().toArrow().to_batches():
         bits[batch.column(0).to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    context = docs.sparkSession.sparkContext
+    shared, often = context.broadcast(np.packbits(bits)), context.broadcast(rarity(docs, rule, key, text))
 
     def run(batches):
-        bits = np.unpackbits(shared.value).view(bool)
+        bits, order = np.unpackbits(shared.value).view(bool), often.value
         for big in batches:
             for start in range(0, big.num_rows, ROWS):
                 batch = big.slice(start, ROWS)
@@ -234,58 +261,75 @@ def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccar
                 for _, s in by_text(texts, rule.k):
                     if len(s):
                         features = np.unique(s)
-                        found[signed(node_of(features)[None])[0]] = features
+                        node = signed(node_of(features)[None])[0]
+                        if node not in found:
+                            found[node] = features[np.argsort(order[slots(features)], kind="stable")]
                 at = np.concatenate([[0], np.cumsum([len(f) for f in found.values()])]).astype(np.int32)
                 flat = signed(np.concatenate([np.zeros(0, np.uint64), *found.values()]))
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "features"])
 
     again = docs.select(slot(F.col(key)).alias("slot"), text).mapInArrow(run, "node long, features array<long>")
-    return again.join(needed, "node", "left_semi").groupBy("node").agg(F.first("features").alias("features"))
+    return again.join(needed.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("features").alias("features"))
+
+
+def first_elements(need: Column) -> Column:
+    """The elements (kind, e, need) of a difference that are looked up, if `need` of its elements are to be in common: kind 0
+    of those that only b has, kind 1 of those that only a has. What kind 1 can't make up must be in common in kind 0."""
+    more, less = F.size("more"), F.size("less")
+    beyond = F.greatest(F.lit(1), need - less)
+    cut = lambda part, n: F.slice(part, 1, F.greatest(F.lit(0), F.least(F.size(part), n)).cast("int"))
+    listed = lambda part, kind, n: F.transform(part, lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("e"), n.cast("int").alias("need")))
+    return F.concat(listed(cut("more", more - beyond + MATCHES), 0, beyond), listed(cut("less", F.when(need <= less, less - need + MATCHES).otherwise(0)), 1, need))
 
 
-def compared(sets: DataFrame, pairs: DataFrame, rule: Jaccard) -> DataFrame:
-    """pairs (a, b) with whether they are linked, by their whole sets, and two lists of features in which b differs from
-    a, for `across`: first those that only b has, then those that only a has. need and always are how many a link with a
-    third node leaves in common, if that or b isn't linked to a and in any case."""
+def compared(sets: DataFrame, pairs: DataFrame, rule: Jaccard, differences: bool = True) -> DataFrame:
+    """pairs (a, b) with whether they are linked, by their whole sets, and for `across` the elements in which b differs from a
+    that are to be looked up: `short` if b or the third node isn't linked to a, `long` in any case."""
     p, q = 100 - rule.percent, 100 + rule.percent
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
     both = both.withColumn("na", F.size("fa")).withColumn("nb", F.size("fb")).withColumn("more", F.array_except("fb", "fa"))
     both = both.withColumn("common", F.col("nb") - F.size("more"))
     both = both.withColumn("linked", 100 * F.col("common") >= rule.percent * (F.col("na") + F.col("nb") - F.col("common")))
-    differs = F.concat(F.array_sort("more"), F.array_sort(F.array_except("fa", "fb")))
-    both = both.withColumn("n", F.col("na") + F.col("nb") - 2 * F.col("common"))
-    least = F.floor((F.col("n") * q + p * (F.col("na") - F.col("nb"))) / (2 * q)) + 1
-    # Of how many a link leaves in common, whatever y is.
-    always = F.col("n") - F.floor(p * F.col("nb") / rule.percent)
-    least = F.greatest(F.lit(1), F.when(F.col("linked"), least).otherwise(F.greatest(least, always)))
-    always = F.greatest(F.lit(1), always)
-    first = lambda need: F.slice(differs, 1, F.greatest(F.lit(0), F.least(F.col("n"), F.col("n") - need + MATCHES)).cast("int"))
-    return both.select("a", "b", "linked", least.cast("int").alias("need"), first(least).alias("short"), F.when(~F.col("linked"), first(always)).alias("long"), always.cast("int").alias("always"))
-
-
-def across(done: DataFrame, found: DataFrame) -> DataFrame:
+    if not differences:
+        return both.select("a", "b", "linked")
+    both = both.withColumn("less", F.array_except("fa", "fb")).withColumn("n", F.col("na") + F.col("nb") - 2 * F.col("common"))
+    # How many of the n a link leaves in common, by how far linked sets can differ, and by how far y does at least.
+    always = F.greatest(F.lit(1), F.col("n") - F.floor(p * F.col("nb") / rule.percent))
+    least = F.greatest(F.lit(1), F.floor((F.col("n") * q + p * (F.col("na") - F.col("nb"))) / (2 * q)) + 1)
+    least = F.when(F.col("linked"), least).otherwise(F.greatest(least, always))
+    return both.select("a", "b", "linked", "n", "nb", first_elements(least).alias("short"), F.when(~F.col("linked"), first_elements(always)).alias("long"))
+
+
+def across(done: DataFrame, found: DataFrame, rule: Jaccard) -> DataFrame:
     """Pairs that may be linked, among nodes compared with one lead but in different components.
 
     Let X and Y be where x and y differ from their lead b. Then x and y differ in |X| + |Y| - 2 |X & Y| features, so a link
-    needs |X & Y| above a bound, and two sets with so great a part in common share MATCHES (or all, if fewer) of their first few elements
-    in any order. As at least one of the two, say y, is not linked to b, the bound for x is (|X| + c (|b| - |x|)) / 2 with
-    c = (1 - s) / (1 + s) for threshold s: the first elements in `short`. For y it is |Y| less the most that linked sets can
-    differ in, whatever x is: those in `long`, and `short` if x isn't linked to b either and that is shorter. Texts changed in places of their own share hardly any of these."""
+    needs |X & Y| above a bound, and two sets with so great a part in common share MATCHES (or all, if fewer) of their first
+    elements in any order, so rare ones come first. As at least one of the two, say y, is not linked to b, the bound for
+    x is (|X| + c (|b| - |x|)) / 2 with c = (1 - s) / (1 + s) for threshold s: `short`. For y it is |Y| less the most that
+    linked sets can differ in, whatever x is: `long`, and `short` if x isn't linked to b either and that is more. Texts
+    changed in places of their own share hardly any of these."""
+    p, q = 100 - rule.percent, 100 + rule.percent
     c = lambda node, name: found.select(F.col("node").alias(node), F.col("component").alias(name))
     rows = done.join(c("b", "cb"), "b", "left").join(c("a", "ca"), "a", "left").withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a"))
     split = rows.where("ca <> cb").select("a").distinct()
-    rows = materialize(rows.join(split, "a", "left_semi").select("a", "b", "linked", "cb", "need", "short", "always", "long"), "families")
+    rows = materialize(rows.join(split, "a", "left_semi").select("a", "b", "linked", "n", "nb", "cb", "short", "long"), "families")
+    # Sizes alone, of the sets and of what differs from the lead, rule out many.
+    fits = f"cx <> cy and 100 * least(nx, ny) >= {rule.percent} * greatest(nx, ny) and {q} * abs(dx - dy) <= {p} * (nx + ny)"
 
-    def first(of: str, part: str, need: str, node: str) -> DataFrame:
-        return rows.where(of).select("a", F.explode(part).alias("e"), F.col("b").alias(node), F.col("cb").alias(f"c{node}"), F.col(need).alias(f"need_{node}"))
+    def first(of: str, part: str, node: str) -> DataFrame:
+        own = {"b": node, "cb": f"c{node}", "nb": f"n{node}", "n": f"d{node}"}
+        t = rows.where(of).select("a", F.explode(part).alias("e"), *[F.col(c).alias(name) for c, name in own.items()])
+        return t.select("a", "e.kind", "e.e", F.col("e.need").alias(f"need_{node}"), *own.values())
 
     def enough(both: DataFrame) -> DataFrame:
         """Pairs with as many elements in common as their first ones must have."""
-        same = both.groupBy("a", "x", "y").agg(F.count("*").alias("n"), F.first(F.greatest("need_x", "need_y")).alias("need"))
+        same = both.groupBy("a", "kind", "x", "y").agg(F.count("*").alias("n"), F.first(F.greatest("need_x", "need_y")).alias("need"))
         return same.where(F.col("n") >= F.least(F.lit(MATCHES), "need")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    apart = enough(first("not linked", "short", "need", "x").join(first("not linked", "short", "need", "y"), ["a", "e"]).where("x < y and cx <> cy"))
-    mixed = enough(first("linked", "short", "need", "x").join(first("not linked", "long", "always", "y"), ["a", "e"]).where("cx <> cy"))
+    keys = ["a", "kind", "e"]
+    apart = enough(first("not linked", "short", "x").join(first("not linked", "short", "y"), keys).where(f"x < y and {fits}"))
+    mixed = enough(first("linked", "short", "x").join(first("not linked", "long", "y"), keys).where(fits))
     return apart.unionByName(mixed).distinct()
 
 
@@ -300,9 +344,9 @@ def similar(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "te
     sets = materialize(sets_of(docs, features, pairs, rule, key, text), "sets")
     done = materialize(compared(sets, pairs, rule), "compared")
     found = components(done.where("linked"))
-    rest = materialize(across(done, found), "rest")
+    rest = materialize(across(done, found, rule), "rest")
     if not rest.isEmpty():
-        more = materialize(compared(sets, rest, rule).where("linked").select("a", "b"), "more")
+        more = materialize(compared(sets, rest, rule, differences=False).where("linked").select("a", "b"), "more")
         if not more.isEmpty():
             found = components(done.where("linked").select("a", "b").unionByName(more))
     return features, found
