@@ -29,7 +29,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the scratch folder and read it again: the lineage ends in files that outlive executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what `materialize` wrote for df, once all that was made of it is written too."""
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: ASCII white space as the contracts define it.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import materialize, table
+from tallyweave.llm.common import discard, materialize, table
 from tallyweave.llm.graph import components
 from tallyweave.llm.shingles import by_text, mix
 
@@ -336,19 +336,23 @@ def across(done: DataFrame, found: DataFrame, rule: Jaccard) -> DataFrame:
 def similar(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, n_shingles, node) of every row, and (node, component) of the nodes that have links."""
     described = materialize(describe(docs, rule, key, text), "described")
-    features = described.select(key, "n_shingles", "node")
+    features = materialize(described.select(key, "n_shingles", "node"), "features")
     spread = global_groups(described.select(F.explode("sigs").alias("sig"), "node"))
     within = described.select(F.explode("shared").alias("sig"), "node")
     groups = materialize(within.unionByName(spread).distinct(), "groups")
+    discard(described)
     pairs = materialize(leads(groups).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     sets = materialize(sets_of(docs, features, pairs, rule, key, text), "sets")
     done = materialize(compared(sets, pairs, rule), "compared")
     found = components(done.where("linked"))
     rest = materialize(across(done, found, rule), "rest")
+    discard(groups)
     if not rest.isEmpty():
         more = materialize(compared(sets, rest, rule, differences=False).where("linked").select("a", "b"), "more")
         if not more.isEmpty():
             found = components(done.where("linked").select("a", "b").unionByName(more))
+    discard(sets)
+    discard(done)
     return features, found
 
 
