@@ -30,6 +30,8 @@ from tallyweave.llm.common import table
 
 ORDER, OTHER, LETTERS = 4, 255, 254
 TRAIN_DOCS, CALIBRATE_DOCS = 500, 250
+#: Languages with fewer documents are counted whole.
+LEAST_KEPT_OUT = 30
 FOLDS = 5
 PIECE = 1 << 20
 #: Cross-entropy above the language's mean, over 1/sqrt(length) + SLACK, may be MARGIN times the QUANTILE of the
@@ -60,15 +62,14 @@ class Alphabet:
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the n-gram that ends at each letter or gap; where each text begins; which have letters."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
         points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
         ids = self.number[points]
-        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]).astype(np.int64) if texts else np.zeros(0, np.int64)
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]).astype(np.int64)
+        # Letters, and the first of what follows a letter: a text has no gap before its first letter.
         keep = ids != 0
         keep[1:] |= ids[:-1] != 0
-        # A text has no gap before its first letter: the context of its beginning is empty anyway.
-        before = ids[:-1] != 0
-        keep[1:] = (ids[1:] != 0) | before
-        keep[0] = ids[0] != 0 if len(ids) else False
         at = np.concatenate([[0], np.cumsum(keep)])
         ids, starts = ids[keep], at[starts]
         ends = np.append(starts[1:], len(ids))
@@ -207,7 +208,8 @@ def sample(docs: DataFrame, key: str, lang: str, text: str) -> DataFrame | None:
     share = F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(n.items()) for x in (k, min(1.0, (TRAIN_DOCS + CALIBRATE_DOCS) / v))]), F.col(lang))
     u = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     kept_out = F.pmod(F.xxhash64(F.col(key), F.lit("calibrate")), F.lit(TRAIN_DOCS + CALIBRATE_DOCS)) < CALIBRATE_DOCS
-    return learnable.where(u < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"), kept_out.alias("calibrate"))
+    enough = F.col(lang).isin(*[k for k, v in n.items() if v >= LEAST_KEPT_OUT])
+    return learnable.where(u < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"), (kept_out & enough).alias("calibrate"))
 
 
 def train(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> Model:
@@ -234,7 +236,8 @@ def train(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str =
         for x in sorted(set(by_lang)):
             keys, n = (grams.column(c).to_numpy()[by_lang == x] for c in ("key", "n"))
             order = np.argsort(keys)
-            counts[x] = (keys[order].astype(np.uint32), n[order])
+            if len(keys):
+                counts[x] = (keys[order].astype(np.uint32), n[order])
         if not counts:
             return nothing
         model = kneser_ney(alphabet, counts)
