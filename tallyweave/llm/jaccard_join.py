@@ -8,12 +8,12 @@ Signatures of empty pieces would be shared by strangers; with spare parts they a
 the few sets in which more parts than the spare ones have empty pieces.
 
 Equal sets are one node (a 64-bit hash of the set). In each group of nodes with a common signature the
-node that meets most others is compared with all of them, exactly; groups are first formed within a batch of a
-reader and only one node of each goes on to the shuffle of signatures, so no key brings more rows to a task
-than there are batches. Where these links leave more than one component, `across` finds the pairs across
-components that can still be linked, from how both differ from the node they were compared with, and those are
-compared too. Pairs within a component can't change it, and pairs in no common group can't be linked, so no
-link between components is lost.
+node that meets most others is compared with all that share as many signatures with it as linked sets must;
+groups are first formed within a batch of a reader and only one node of each goes on to the shuffle of
+signatures, so no key brings more rows to a task than there are batches. Then `across` finds the pairs of
+nodes in different components that can still be linked, by their rarest features, and those are compared too.
+Pairs within a component can't change it, and nodes in no group aren't linked, so no link between components
+is lost.
 
 Null and empty texts, and texts of white space, have an empty set: n_shingles 0, linked with nothing, their
 own component. Repeated rows are links of one node. Rows with a null id take part, but a component's id is
@@ -28,7 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import discard, materialize, table
@@ -37,7 +37,7 @@ from tallyweave.llm.shingles import by_text, mix
 
 #: Rows of a batch in which groups are formed.
 ROWS = 4000
-#: Elements that the first elements of two difference sets must share, where they must share as many at all.
+#: Features that the first features of two sets must share, where they must share as many at all.
 MATCHES = 4
 #: Documents that set the order of features, about, and the size of the table of their frequencies.
 ORDER_SAMPLE, ORDER_SLOTS = 20_000, 1 << 20
@@ -49,6 +49,7 @@ FILTER_BITS = 1 << 22
 class Scheme:
     """How the sets of one band are cut: n1 parts of n2 pieces, any n2 - k2 of which make a signature."""
 
+    k: int
     n1: int
     n2: int
     k2: int
@@ -58,12 +59,13 @@ class Scheme:
     def of(cls, k: int) -> Scheme:
         """For sets at a Hamming distance of k at most."""
         if k <= 3:
-            return cls(1, (1, 3, 5, 6)[k], k, 0)
+            return cls(k, 1, (1, 3, 5, 6)[k], k, 0)
         spare = 1 if k < 16 else 2 + k // 32
-        return cls(k // 2 + 1 + spare, 2, 1, spare)
+        return cls(k, k // 2 + 1 + spare, 2, 1, spare)
 
-    def signatures(self, features: np.ndarray, salt: int) -> np.ndarray:
-        """Of one sorted set of uniform 64-bit features."""
+    def signatures(self, features: np.ndarray, salt: int) -> tuple[np.ndarray, int]:
+        """Of one sorted set of uniform 64-bit features, and how many of them each linked set has too: at most k pieces differ, and
+        of those that agree only empty ones may have been left out."""
         pieces = self.n1 * self.n2
         piece = (features >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
         cuts = np.searchsorted(piece, np.arange(pieces + 1, dtype=np.uint64))
@@ -75,9 +77,10 @@ class Scheme:
         slots = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) + np.uint64(salt << 32)
         found = mix(sums + mix(slots + np.uint64(1)))
         empty = count == 0
+        need = pieces - self.k if self.n2 - self.k2 == 1 and self.k else 1
         if empty.any() and empty.any(axis=1).sum() <= self.spare:
-            return found[~empty]
-        return found.ravel()
+            return found[~empty], max(1, need - int(empty.sum()))
+        return found.ravel(), need
 
 
 @dataclass(frozen=True)
@@ -98,15 +101,16 @@ class Jaccard:
             low = high + 1
         return starts, schemes
 
-    def signatures(self, features: np.ndarray) -> np.ndarray:
-        """For the set's own band, and for the next where that can hold a partner."""
+    def signatures(self, features: np.ndarray) -> tuple[np.ndarray, int]:
+        """For the set's own band, and for the next where that can hold a partner; and how many of them each linked set shares."""
         starts, schemes = self.bands()
         size = len(features)
         t = int(np.searchsorted(starts, size, "right")) - 1
-        found = schemes[t].signatures(features, t)
+        found, need = schemes[t].signatures(features, t)
         if t + 1 < len(starts) and 100 * size >= self.percent * starts[t + 1]:
-            found = np.concatenate([found, schemes[t + 1].signatures(features, t + 1)])
-        return found
+            more, other = schemes[t + 1].signatures(features, t + 1)
+            return np.concatenate([found, more]), min(need, other)
+        return found, need
 
 
 def node_of(features: np.ndarray) -> np.ndarray:
@@ -143,7 +147,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, node, sigs, shared) of every row. sigs: signatures for which this row stands for all of its
+    """(key, n_shingles, node, need, sigs, shared) of every row. need: how many signatures any linked set shares. sigs: signatures for which this row stands for all of its
     batch; shared: signatures that other nodes of the batch have too."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -156,26 +160,27 @@ def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
             for start in range(0, big.num_rows, ROWS):
                 batch = big.slice(start, ROWS)
                 n = batch.num_rows
-                sizes, nodes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                sizes, nodes, needs = (np.zeros(n, np.int64) for _ in range(3))
                 every, owner, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
                 for k, (_, s) in enumerate(by_text(batch.column(1), rule.k)):
                     if len(s):
                         features = np.unique(s)
                         sizes[k], nodes[k] = len(features), signed(node_of(features)[None])[0]
+                        sigs, needs[k] = rule.signatures(features)
                         if nodes[k] not in place:
                             place[nodes[k]] = k
-                            every.append(signed(rule.signatures(features)))
+                            every.append(signed(sigs))
                             owner.append(np.full(len(every[-1]), nodes[k]))
                 sigs, own, first, many = grouped(np.concatenate(every), np.concatenate(owner))
                 row = np.fromiter(map(place.__getitem__, own.tolist()), np.int64, len(own))
                 order = np.argsort(row, kind="stable")
                 sigs, first, many, row = sigs[order], first[order], many[order], row[order]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), lists(row[first], n, sigs[first]), lists(row[many], n, sigs[many])],
-                    [key, "n_shingles", "node", "sigs", "shared"],
+                    [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.array(needs), lists(row[first], n, sigs[first]), lists(row[many], n, sigs[many])],
+                    [key, "n_shingles", "node", "need", "sigs", "shared"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, sigs array<long>, shared array<long>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, need long, sigs array<long>, shared array<long>")
 
 
 def global_groups(rows: DataFrame) -> DataFrame:
@@ -272,88 +277,60 @@ def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccar
     return again.join(needed.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("features").alias("features"))
 
 
-def first_elements(need: Column) -> Column:
-    """The elements (kind, e, need) of a difference that are looked up, if `need` of its elements are to be in common: kind 0
-    of those that only b has, kind 1 of those that only a has. What kind 1 can't make up must be in common in kind 0."""
-    more, less = F.size("more"), F.size("less")
-    beyond = F.greatest(F.lit(1), need - less)
-    cut = lambda part, n: F.slice(part, 1, F.greatest(F.lit(0), F.least(F.size(part), n)).cast("int"))
-    listed = lambda part, kind, n: F.transform(part, lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("e"), n.cast("int").alias("need")))
-    return F.concat(listed(cut("more", more - beyond + MATCHES), 0, beyond), listed(cut("less", F.when(need <= less, less - need + MATCHES).otherwise(0)), 1, need))
+def plausible(pairs: DataFrame, groups: DataFrame, needs: DataFrame) -> DataFrame:
+    """The pairs that share as many signatures as linked sets do. All that a node shares with others is in its groups."""
+    own = materialize(groups.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(needs, "node"), "own")
+    side = lambda c: own.select(F.col("node").alias(c), F.col("sigs").alias(f"s{c}"), F.col("need").alias(f"need_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.size(F.array_intersect("sa", "sb")) >= F.greatest("need_a", "need_b")).select("a", "b")
 
 
-def compared(sets: DataFrame, pairs: DataFrame, rule: Jaccard, differences: bool = True) -> DataFrame:
-    """pairs (a, b) with whether they are linked, by their whole sets, and for `across` the elements in which b differs from a
-    that are to be looked up: `short` if b or the third node isn't linked to a, `long` in any case."""
-    p, q = 100 - rule.percent, 100 + rule.percent
+def compared(sets: DataFrame, pairs: DataFrame, rule: Jaccard) -> DataFrame:
+    """The pairs (a, b) that are linked, by their whole sets."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
-    both = both.withColumn("na", F.size("fa")).withColumn("nb", F.size("fb")).withColumn("more", F.array_except("fb", "fa"))
-    both = both.withColumn("common", F.col("nb") - F.size("more"))
-    both = both.withColumn("linked", 100 * F.col("common") >= rule.percent * (F.col("na") + F.col("nb") - F.col("common")))
-    if not differences:
-        return both.select("a", "b", "linked")
-    both = both.withColumn("less", F.array_except("fa", "fb")).withColumn("n", F.col("na") + F.col("nb") - 2 * F.col("common"))
-    # How many of the n a link leaves in common, by how far linked sets can differ, and by how far y does at least.
-    always = F.greatest(F.lit(1), F.col("n") - F.floor(p * F.col("nb") / rule.percent))
-    least = F.greatest(F.lit(1), F.floor((F.col("n") * q + p * (F.col("na") - F.col("nb"))) / (2 * q)) + 1)
-    least = F.when(F.col("linked"), least).otherwise(F.greatest(least, always))
-    return both.select("a", "b", "linked", "n", "nb", first_elements(least).alias("short"), F.when(~F.col("linked"), first_elements(always)).alias("long"))
-
-
-def across(done: DataFrame, found: DataFrame, rule: Jaccard) -> DataFrame:
-    """Pairs that may be linked, among nodes compared with one lead but in different components.
-
-    Let X and Y be where x and y differ from their lead b. Then x and y differ in |X| + |Y| - 2 |X & Y| features, so a link
-    needs |X & Y| above a bound, and two sets with so great a part in common share MATCHES (or all, if fewer) of their first
-    elements in any order, so rare ones come first. As at least one of the two, say y, is not linked to b, the bound for
-    x is (|X| + c (|b| - |x|)) / 2 with c = (1 - s) / (1 + s) for threshold s: `short`. For y it is |Y| less the most that
-    linked sets can differ in, whatever x is: `long`, and `short` if x isn't linked to b either and that is more. Texts
-    changed in places of their own share hardly any of these."""
-    p, q = 100 - rule.percent, 100 + rule.percent
-    c = lambda node, name: found.select(F.col("node").alias(node), F.col("component").alias(name))
-    rows = done.join(c("b", "cb"), "b", "left").join(c("a", "ca"), "a", "left").withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a"))
-    split = rows.where("ca <> cb").select("a").distinct()
-    rows = materialize(rows.join(split, "a", "left_semi").select("a", "b", "linked", "n", "nb", "cb", "short", "long"), "families")
-    # Sizes alone, of the sets and of what differs from the lead, rule out many.
-    fits = f"cx <> cy and 100 * least(nx, ny) >= {rule.percent} * greatest(nx, ny) and {q} * abs(dx - dy) <= {p} * (nx + ny)"
-
-    def first(of: str, part: str, node: str) -> DataFrame:
-        own = {"b": node, "cb": f"c{node}", "nb": f"n{node}", "n": f"d{node}"}
-        t = rows.where(of).select("a", F.explode(part).alias("e"), *[F.col(c).alias(name) for c, name in own.items()])
-        return t.select("a", "e.kind", "e.e", F.col("e.need").alias(f"need_{node}"), *own.values())
-
-    def enough(both: DataFrame) -> DataFrame:
-        """Pairs with as many elements in common as their first ones must have."""
-        same = both.groupBy("a", "kind", "x", "y").agg(F.count("*").alias("n"), F.first(F.greatest("need_x", "need_y")).alias("need"))
-        return same.where(F.col("n") >= F.least(F.lit(MATCHES), "need")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-    keys = ["a", "kind", "e"]
-    apart = enough(first("not linked", "short", "x").join(first("not linked", "short", "y"), keys).where(f"x < y and {fits}"))
-    mixed = enough(first("linked", "short", "x").join(first("not linked", "long", "y"), keys).where(fits))
-    return apart.unionByName(mixed).distinct()
+    common = F.size(F.array_intersect("fa", "fb"))
+    return both.where(100 * common >= rule.percent * (F.size("fa") + F.size("fb") - common)).select("a", "b")
+
+
+def across(sets: DataFrame, found: DataFrame, rule: Jaccard) -> DataFrame:
+    """Pairs of nodes in different components that may be linked.
+
+    A set of n features has percent / 100 * n at least in common with any set it is linked to, so of the first
+    n - that + MATCHES of both, in one order, MATCHES agree (or all, if fewer must). Rare features come first. Those that only one
+    component has are no use and go before rows meet; sizes rule out more."""
+    least = F.ceil(rule.percent * F.size("features") / F.lit(100))
+    first = F.slice("features", 1, F.least(F.size("features"), F.size("features") - least + MATCHES).cast("int"))
+    c = sets.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"), F.size("features").alias("n"), least.alias("need"), F.explode(first).alias("e"))
+    c = materialize(c, "firsts")
+    shared = c.groupBy("e").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("e")
+    c = c.join(shared, "e", "left_semi")
+    side = lambda s: c.select("e", F.col("node").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("need").alias(f"need_{s}"))
+    met = side("a").join(side("b"), "e").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {rule.percent} * greatest(na, nb)")
+    same = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.greatest("need_a", "need_b")).alias("need"))
+    return same.where(F.col("k") >= F.least(F.lit(MATCHES), "need")).select("a", "b")
 
 
 def similar(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, n_shingles, node) of every row, and (node, component) of the nodes that have links."""
     described = materialize(describe(docs, rule, key, text), "described")
-    features = materialize(described.select(key, "n_shingles", "node"), "features")
+    features = materialize(described.select(key, "n_shingles", "node", "need"), "features")
     spread = global_groups(described.select(F.explode("sigs").alias("sig"), "node"))
     within = described.select(F.explode("shared").alias("sig"), "node")
     groups = materialize(within.unionByName(spread).distinct(), "groups")
     discard(described)
+    needs = features.where("node is not null").groupBy("node").agg(F.min("need").alias("need"))
     pairs = materialize(leads(groups).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    near = materialize(plausible(pairs, groups, needs), "near")
     sets = materialize(sets_of(docs, features, pairs, rule, key, text), "sets")
-    done = materialize(compared(sets, pairs, rule), "compared")
-    found = components(done.where("linked"))
-    rest = materialize(across(done, found, rule), "rest")
+    links = materialize(compared(sets, near, rule), "compared")
+    found = components(links)
+    rest = plausible(across(sets, found, rule), groups, needs)
+    more = materialize(compared(sets, rest, rule), "more")
     discard(groups)
-    if not rest.isEmpty():
-        more = materialize(compared(sets, rest, rule, differences=False).where("linked").select("a", "b"), "more")
-        if not more.isEmpty():
-            found = components(done.where("linked").select("a", "b").unionByName(more))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     discard(sets)
-    discard(done)
-    return features, found
+    return features.drop("need"), found
 
 
 def classes(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "text") -> DataFrame:
