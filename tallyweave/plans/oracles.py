@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyweave.functions.text import glyphs
 from tallyweave.sources.dims import CATEGORIES, CATEGORY_PREFIX, RULES, aliases
 
 Q = chr(39)
@@ -77,8 +78,28 @@ placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score
 RECEIPTS = """receipts AS (SELECT o_orderkey AS receipt, o_orderkey % 5 AS k, CAST(o_orderdate AS DATE) AS day, CAST(floor(o_totalprice / 100 * 100 + 0.5) AS BIGINT) AS c FROM orders WHERE year(o_orderdate) >= 2000)"""
 
 
+def folded(alias: str) -> str:
+    return glyphs(alias).translate(str.maketrans("0158", "olsb")).replace(" ", "")
+
+
+NAMES = [a for _, _, a, slogan in aliases() if not slogan]
+FOLDED = sorted({folded(a) for a in NAMES if len(a) >= 5 and len(folded(a)) >= 5})
+FOLD = "replace(translate(trim(regexp_replace(replace(replace(replace(replace(lower({x}), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), 'u', 'v'), '[^a-z0-9]+', ' ', 'g')), '0158', 'olsb'), ' ', '')"
+FUZZY = f"""WITH p AS (SELECT p_partkey, {listed(NAMES)}[p_partkey % {len(NAMES)} + 1] AS a FROM part WHERE p_partkey <= {2 * len(NAMES)}),
+  line AS (SELECT p_partkey, upper(substr(a, 1, p_partkey % length(a)) || 'x' || substr(a, p_partkey % length(a) + 2)) AS line FROM p),
+  w AS (SELECT *, string_split_regex(trim(line), '\\s+') AS w FROM line),
+  part AS (SELECT p_partkey, unnest(list_filter([line, CASE WHEN length(w[1]) >= 4 THEN w[1] END, CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END], lambda x: x IS NOT NULL)) AS x FROM w),
+  c AS (SELECT p_partkey, {FOLD.format(x="x")} AS c FROM part),
+  f AS (SELECT unnest({listed(FOLDED)}) AS f),
+  met AS (SELECT p_partkey, length(f) AS l, levenshtein(c, f) AS d FROM c JOIN f ON abs(length(c) - length(f)) <= 2 AND length(c) >= 5)
+  SELECT p_partkey, CAST(floor((1 - d / l::DOUBLE) * 1e6::DOUBLE + 0.5) AS BIGINT) AS ratio FROM met WHERE d <= CASE WHEN l <= 6 THEN 1 ELSE 2 END
+  QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY d, l DESC) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "fuzzy_header": FUZZY,
+        "upload_ranges": "SELECT o_orderkey, a AS start, least(a + step, size) - 1 AS stop FROM (SELECT o_orderkey, size, step, unnest(generate_series(0, size - 1, step)) AS a FROM (SELECT o_orderkey, (o_orderkey + 1) * 10007 AS size, CASE WHEN (o_orderkey + 1) * 10007 <= 4194304 THEN (o_orderkey + 1) * 10007 ELSE 5242880 END AS step FROM orders))",
         "spend_by_category": q(f"SELECT category, count(*) AS n, {units('sum(amount_cents)')} AS total, {PLACE} AS place FROM reported GROUP BY category"),
         "headline_kpis": q(f"SELECT count(*) AS n, {units('sum(amount_cents)')} AS total, {units('sum(tax_cents)')} AS tax, {units('floor(sum(amount_cents)::DOUBLE / count(*) + 0.5)')} AS average, {units('max(amount_cents)')} AS largest, count(*) FILTER (review_required AND NOT approved) AS flagged, count(DISTINCT category) AS categories FROM reported"),
         "top_vendors": q(f"""SELECT CAST(row_number() OVER (ORDER BY c DESC, n DESC, vendor) AS INTEGER) AS place, vendor, n, {units('c')} AS total FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, money, text
-from tallyweave.operators import extract, identity, merge, report
+from tallyweave.operators import extract, identity, kernels, merge, report
 from tallyweave.sources.adapters import expenses, exportable, table
 from tallyweave.sources.dims import CATEGORIES, aliases
 from tallyweave.streaming import jobs
@@ -267,6 +267,11 @@ def chart_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", money.short_label(F.col("amount_cents")).alias("short"), money.money_text(F.col("amount_cents")).alias("full"), text.sheet_name(F.col("category")).alias("sheet"))
 
 
+def upload_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") + 1) * 10_007).alias("size"))
+    return o.select("o_orderkey", F.inline(kernels.upload_ranges(F.col("size"))))
+
+
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.stream_latest_state(spark, f"{sf_dir}/events.parquet").select("user_id", "state", "events")
 
@@ -322,6 +327,7 @@ QUERIES = {
     "vision_replies": vision_replies,
     "vendor_table": vendor_table,
     "content_digests": content_digests,
+    "upload_ranges": upload_ranges,
     "stream_job_states": job_states,
     "stream_seen_receipts": seen_receipts,
     "stream_lww": stream_lww,
