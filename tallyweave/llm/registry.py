@@ -26,4 +26,20 @@ QUERIES = {
     "op10_matroska": op10_matroska,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Exact for any tables, though op5 compares all pairs that share a shingle: for small ones.
+OP5_SQL = r"""WITH RECURSIVE
+  w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+  sets AS (SELECT s, len(s) AS n, min(doc_id) AS node FROM (SELECT doc_id, list_sort(s) AS s FROM s) WHERE len(s) > 0 GROUP BY s),
+  e AS (SELECT node, n, unnest(s) AS e FROM sets),
+  links AS (SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.e = b.e AND a.node <> b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  reach AS (SELECT node, node AS other FROM sets UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+  low AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+  SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(low.component, s.doc_id) AS component_id FROM s LEFT JOIN sets ON list_sort(s.s) = sets.s LEFT JOIN low ON low.node = sets.node"""
+
+OP8_SQL = """SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest,
+    CASE WHEN octet_length(encode(h)) >= 1000 AND kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN octet_length(encode(h)) >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+  FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages)"""
+
+ORACLE_SQL = {"op5_jaccard_join": OP5_SQL, "op8_warc": OP8_SQL}
