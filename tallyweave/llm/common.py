@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -40,6 +41,19 @@ def discard(df: DataFrame) -> None:
     place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release() -> None:
+    """Give back what a task's batches took: Python workers go on to other operators' tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: ASCII white space as the contracts define it.
 SPACE = r"\x20\x09-\x0D"
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import table
+from tallyweave.llm.common import release, table
 from tallyweave.llm.shingles import shingles, word_table
 
 K, SIMILARITY, RADIUS = 5, 0.8, 15
@@ -249,6 +249,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                     keep = np.ones(batch.num_rows, bool)
                     keep[[f[0] for f in shared.value.search(batch.column(at))]] = False
                     yield batch.filter(pa.array(keep))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import table
+from tallyweave.llm.common import release, table
 
 ORDER, OTHER, LETTERS = 4, 255, 254
 TRAIN_DOCS, CALIBRATE_DOCS = 500, 250
@@ -276,6 +276,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 batch = big.slice(k, 1000)
                 lang, score, accepted = shared.value.decide(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], [key, "lang_pred", "score", "accepted"])
+        release()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, accepted boolean")
 
@@ -290,6 +291,7 @@ def keep_accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFram
                 batch = big.slice(k, 1000)
                 accepted = shared.value.decide(batch.column(at).to_pylist())[2]
                 yield batch.filter(pa.array(accepted))
+        release()
 
     at = docs.columns.index(text)
     return docs.mapInArrow(run, docs.schema)

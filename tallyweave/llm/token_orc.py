@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import scratch, table
+from tallyweave.llm.common import release, scratch, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 SCHEMA = "doc_id long, n_tokens long, part int, part_start long, ids array<int>"
@@ -34,11 +34,11 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 #: Words in the memory of one Python worker.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 #: Control marks that the cutting into words takes for white space and the tokenizer does not.
 ODD_SPACE = "[\x1c-\x1f]"
 #: Rows that are encoded at once.
-ROWS = 2000
+ROWS = 1500
 #: Marks that the tokenizer's pattern never joins to the letter or digit before them.
 TAIL = ".,*#$%&!?;:|)]}-"
 #: Words of letters whose lower case is one letter, and that are in composed form.
@@ -165,6 +165,7 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str | None = None, end_id:
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(every))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n + 1), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), lists], names)
                 at += int(offsets[-1])
+        release()
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     ordered = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -196,6 +197,7 @@ def token_digest(tokens: DataFrame) -> DataFrame:
             flat, at = ids.values.to_numpy(zero_copy_only=False).view("<u4"), ids.offsets.to_numpy()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype("int64")), pa.array(crc, pa.int64())], ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
+        release()
 
     rows = tokens.select("doc_id", "part", "part_start", "ids").mapInArrow(run, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
     return rows.join(token_offsets(tokens), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
