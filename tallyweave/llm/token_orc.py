@@ -34,11 +34,11 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 #: Words in the memory of one Python worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 #: Control marks that the cutting into words takes for white space and the tokenizer does not.
 ODD_SPACE = "[\x1c-\x1f]"
 #: Rows that are encoded at once.
-ROWS = 1500
+ROWS = 2000
 #: Marks that the tokenizer's pattern never joins to the letter or digit before them.
 TAIL = ".,*#$%&!?;:|)]}-"
 #: Words of letters whose lower case is one letter, and that are in composed form.
@@ -78,19 +78,24 @@ class WordEncoder:
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def learn(self, words: list[str]) -> None:
+        """Remember words that are not known."""
         known = self.known
         column = pa.array(words, pa.string())
         cores = pc.utf8_rtrim(column, TAIL)
         cut = pc.match_substring_regex(cores, LATIN)
-        some = cut.to_numpy(zero_copy_only=False)
         rest = set(column.filter(pc.invert(cut)).to_pylist())
-        size = pc.utf8_length(cores).to_numpy()[some].tolist()
-        words, lows = column.filter(cut).to_pylist(), pc.utf8_lower(cores.filter(cut)).to_pylist()
+        column, cores = column.filter(cut), cores.filter(cut)
+        lows = pc.utf8_lower(cores)
+        same = pc.equal(column, lows)
+        other = pc.invert(same)
+        new = column.filter(same).to_pylist()
+        words, lows, size = column.filter(other).to_pylist(), lows.filter(other).to_pylist(), pc.utf8_length(cores.filter(other)).to_pylist()
         tails = [w[n:] for w, n in zip(words, size)]
         rest.update(x for x in set(tails) if x and x not in known)
         known.update(zip(rest, self.whole(list(rest))))
-        new = [x for x in set(lows) if x not in known]
         known.update(zip(new, self.letters(new)))
+        more = [x for x in set(lows) if x not in known]
+        known.update(zip(more, self.letters(more)))
         known.update((w, known[low] + known[t] if t else known[low]) for w, low, t in zip(words, lows, tails))
 
     def ids_of(self, words: list[str]) -> list[bytes]:
