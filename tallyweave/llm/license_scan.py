@@ -25,7 +25,7 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words whatever their case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A document without any of these stems has no detection: each signature's keyword contains one.
+#: Signatures are looked for in documents with one of these stems: a name without a word of licensing is no detection.
 STEMS = ("licen", "copyright", "copyleft", "spdx", "public domain", "gnu", "creativecommons", "creative commons", "rights reserved", "opensource org", "opensource.org", "redistribution", "warranty")
 
 #: Licences: label, the words of its name as a regular expression over normalized text, and one word or
