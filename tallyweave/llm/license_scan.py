@@ -1,9 +1,10 @@
 """License scan by ordered signature rules, with DataFrame operations only.
 
-A cheap test of the whole text for a few word stems lets most documents pass by. The others are
-normalized to words parted by single blanks; each signature whose keyword they contain is then searched as
-a regular expression, and a detection inside another of higher priority, or of equal priority and greater
-length, is dropped. Everything happens within the row: one pass, no shuffle, no broadcast that grows.
+Texts are normalized to words parted by single blanks. A signature has keywords that each of its matches
+holds; documents with the keywords of none, which are most, pass by. In the others each signature whose
+keywords they contain is searched as a regular expression, and a detection inside another of higher priority,
+or of equal priority and greater length, is dropped. Everything happens within the row: one pass, no shuffle, no
+broadcast that grows.
 
 Null text counts as empty: no words, no detections, score 0. Repeated rows repeat; equal detections of one
 place are all kept if neither outranks the other. An empty table gives no rows. Extra columns are dropped.
@@ -11,8 +12,9 @@ place are all kept if neither outranks the other. An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import string
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,79 +25,75 @@ from tallyweave.llm.common import table
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Bytes that part words, once A-Z is lower-cased.
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words whatever their case.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Signatures are looked for in documents with one of these stems: a name without a word of licensing is no detection.
-STEMS = ("licen", "copyright", "copyleft", "spdx", "public domain", "gnu", "creativecommons", "creative commons", "rights reserved", "opensource org", "opensource.org", "redistribution", "warranty")
 
-#: Licences: label, the words of its name as a regular expression over normalized text, and one word or
-#: beginning of a phrase that every text with that name has.
+#: Licences: label, the words of its name as a regular expression over normalized text, and
+#: beginnings of words or phrases (a blank ends a word) of which every match of the name has one.
 FAMILIES = (
-    ("apache-1.1", r"apache (?:software )?(?:license )?(?:version )?v?1 1", "apache"),
-    ("apache-2.0", r"apache (?:software )?(?:license )?(?:version )?v?2(?: 0)?", "apache"),
-    ("mit", r"(?:the )?mit(?: x11)?", "mit"),
+    ("apache-1.1", r"apache (?:software )?(?:license )?(?:version )?v?1 1", "apache "),
+    ("apache-2.0", r"apache (?:software )?(?:license )?(?:version )?v?2(?: 0)?", "apache "),
+    ("mit", r"(?:the )?mit(?: x11)?", "mit "),
     ("mit-0", r"mit no attribution", "mit no"),
-    ("x11", r"x11", "x11"),
-    ("expat", r"expat", "expat"),
-    ("bsd-2-clause", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd"),
-    ("bsd-3-clause", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd"),
-    ("bsd-4-clause", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd"),
-    ("0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)", "bsd"),
-    ("gpl-1.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?(?: only| or later)?", "g"),
-    ("gpl-2.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?(?: only| or later)?", "g"),
-    ("gpl-3.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?(?: only| or later)?", "g"),
-    ("lgpl-2.0", r"(?:gnu )?(?:library general public license|lgpl)(?: version| v)? ?2 0", "l"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?2 1", "l"),
-    ("lgpl-3.0", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?3(?: 0)?", "l"),
-    ("agpl-3.0", r"(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?3(?: 0)?", "a"),
-    ("gfdl-1.3", r"(?:gnu )?(?:free documentation license|gfdl)(?: version| v)? ?1 3", "f"),
-    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version| v)? ?1 1", "m"),
-    ("mpl-2.0", r"(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?", "m"),
-    ("epl-1.0", r"(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?", "e"),
-    ("epl-2.0", r"(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?", "e"),
-    ("cddl-1.0", r"(?:common development and distribution license|cddl)(?: version| v)? ?1(?: 0)?", "c"),
+    ("x11", r"x11", "x11 "),
+    ("expat", r"expat", "expat "),
+    ("bsd-2-clause", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "simplified bsd|freebsd|bsd 2|2 clause bsd|two clause bsd"),
+    ("bsd-3-clause", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "new bsd|modified bsd|revised bsd|bsd 3|3 clause bsd|three clause bsd"),
+    ("bsd-4-clause", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "original bsd|bsd 4|4 clause bsd|four clause bsd"),
+    ("0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)", "0bsd|zero clause bsd|bsd zero"),
+    ("gpl-1.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?(?: only| or later)?", "general public license|gpl"),
+    ("gpl-2.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?(?: only| or later)?", "general public license|gpl"),
+    ("gpl-3.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?(?: only| or later)?", "general public license|gpl"),
+    ("lgpl-2.0", r"(?:gnu )?(?:library general public license|lgpl)(?: version| v)? ?2 0", "library general public|lgpl"),
+    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?2 1", "lesser general public|lgpl"),
+    ("lgpl-3.0", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?3(?: 0)?", "lesser general public|lgpl"),
+    ("agpl-3.0", r"(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?3(?: 0)?", "affero general public|agpl"),
+    ("gfdl-1.3", r"(?:gnu )?(?:free documentation license|gfdl)(?: version| v)? ?1 3", "free documentation license|gfdl"),
+    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version| v)? ?1 1", "mozilla public|mpl"),
+    ("mpl-2.0", r"(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?", "mozilla public|mpl"),
+    ("epl-1.0", r"(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?", "eclipse public|epl"),
+    ("epl-2.0", r"(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?", "eclipse public|epl"),
+    ("cddl-1.0", r"(?:common development and distribution license|cddl)(?: version| v)? ?1(?: 0)?", "common development and distribution|cddl"),
     ("cpl-1.0", r"common public license(?: version| v)? ?1(?: 0)?", "common public"),
-    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version| v)? ?1 2", "eu"),
-    ("osl-3.0", r"(?:open software license|osl)(?: version| v)? ?3(?: 0)?", "o"),
-    ("afl-3.0", r"(?:academic free license|afl)(?: version| v)? ?3(?: 0)?", "a"),
+    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version| v)? ?1 2", "european union public|eupl"),
+    ("osl-3.0", r"(?:open software license|osl)(?: version| v)? ?3(?: 0)?", "open software license|osl"),
+    ("afl-3.0", r"(?:academic free license|afl)(?: version| v)? ?3(?: 0)?", "academic free license|afl"),
     ("artistic-1.0", r"artistic(?: license)?(?: version| v)? ?1(?: 0)?", "artistic"),
     ("artistic-2.0", r"artistic(?: license)?(?: version| v)? ?2(?: 0)?", "artistic"),
     ("bsl-1.0", r"boost software(?: license)?(?: version| v)? ?1(?: 0)?", "boost"),
-    ("isc", r"isc", "isc"),
+    ("isc", r"isc", "isc "),
     ("zlib", r"(?:zlib|zlib libpng)", "zlib"),
     ("unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "w"),
+    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "wtfpl|do what the fuck"),
     ("postgresql", r"postgresql", "postgresql"),
-    ("python-2.0", r"(?:python software foundation|psf)(?: license)?(?: version| v)? ?2?(?: 0)?", "p"),
+    ("python-2.0", r"(?:python software foundation|psf)(?: license)?(?: version| v)? ?2?(?: 0)?", "python software foundation|psf"),
     ("openssl", r"openssl", "openssl"),
     ("php-3.01", r"php(?: license)?(?: version| v)? ?3 01", "php"),
     ("ruby", r"ruby", "ruby"),
-    ("ncsa", r"(?:university of illinois ncsa|ncsa)(?: open source)?", "ncsa"),
-    ("ms-pl", r"(?:microsoft public|ms pl)", "m"),
-    ("ms-rl", r"(?:microsoft reciprocal|ms rl)", "m"),
+    ("ncsa", r"(?:university of illinois ncsa|ncsa)(?: open source)?", "university of illinois ncsa|ncsa"),
+    ("ms-pl", r"(?:microsoft public|ms pl)", "microsoft public|ms pl"),
+    ("ms-rl", r"(?:microsoft reciprocal|ms rl)", "microsoft reciprocal|ms rl"),
     ("ofl-1.1", r"(?:sil )?open font(?: license)?(?: version| v)? ?(?:1 1)?", "open font"),
-    ("odbl-1.0", r"(?:open database license|odbl)(?: version| v)? ?(?:1 0)?", "o"),
-    ("odc-by-1.0", r"(?:open data commons attribution license|odc by)", "od|open data"),
-    ("pddl-1.0", r"(?:public domain dedication and license|pddl)", "p"),
-    ("cc0-1.0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?", "c"),
-    ("cc-by", r"(?:cc by|creative commons attribution)(?: \d \d)?", "c"),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: \d \d)?", "c"),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: \d \d)?", "c"),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)(?: \d \d)?", "c"),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: \d \d)?", "c"),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: \d \d)?", "c"),
+    ("odbl-1.0", r"(?:open database license|odbl)(?: version| v)? ?(?:1 0)?", "open database license|odbl"),
+    ("odc-by-1.0", r"(?:open data commons attribution license|odc by)", "open data commons|odc by"),
+    ("pddl-1.0", r"(?:public domain dedication and license|pddl)", "public domain dedication|pddl"),
+    ("cc0-1.0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?", "cc0|cc zero|creative commons zero"),
+    ("cc-by", r"(?:cc by|creative commons attribution)(?: \d \d)?", "cc by|creative commons attribution"),
+    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: \d \d)?", "cc by|creative commons attribution"),
+    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: \d \d)?", "cc by|creative commons attribution"),
+    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)(?: \d \d)?", "cc by|creative commons attribution"),
+    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: \d \d)?", "cc by|creative commons attribution"),
+    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: \d \d)?", "cc by|creative commons attribution"),
     ("upl-1.0", r"universal permissive(?: license)?(?: version| v)? ?(?:1 0)?", "universal permissive"),
-    ("bsl-1.1", r"(?:business source license|busl)(?: version| v)? ?(?:1 1)?", "bus"),
-    ("sspl-1.0", r"(?:server side public license|sspl)(?: version| v)? ?(?:1(?: 0)?)?", "s"),
+    ("bsl-1.1", r"(?:business source license|busl)(?: version| v)? ?(?:1 1)?", "business source license|busl"),
+    ("sspl-1.0", r"(?:server side public license|sspl)(?: version| v)? ?(?:1(?: 0)?)?", "server side public|sspl"),
     ("elastic-2.0", r"elastic license(?: version| v)? ?(?:2 0|2)?", "elastic license"),
     ("commons-clause", r"commons clause", "commons clause"),
 )
 #: How a name may be brought up: kind, pattern around the name, keyword, priority, confidence.
 FORMS = (
     ("identifier", r"spdx license identifier {}(?: only| or later)?", "spdx license identifier", 9, 1.0),
-    ("grant", r"(?:licensed|released|distributed|available|published|provided|covered|shared) (?:to you )?(?:by us )?(?:under|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: licen[cs]e)?", "licen|under|with", 8, 0.95),
+    ("grant", r"(?:licensed|released|distributed|available|published|provided|covered|shared) (?:to you )?(?:by us )?(?:under|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: licen[cs]e)?", "under |with ", 8, 0.95),
     ("title", r"(?:the )?{} (?:public )?licen[cs]e", "licen", 6, 0.85),
-    ("notice", r"(?:subject to|see|under) (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?(?: for details)?", "see|subject to|under", 5, 0.75),
+    ("notice", r"(?:subject to|see|under) (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?(?: for details)?", "see |subject to|under ", 5, 0.75),
 )
 #: Passages and notices that stand for themselves: label, pattern, keyword, priority, confidence.
 PASSAGES = (
@@ -115,7 +113,7 @@ PASSAGES = (
     ("proprietary", r"proprietary and confidential", "proprietary and", 3, 0.6),
     ("warranty-disclaimer", r"without warrant(?:y|ies) (?:or conditions )?of any kind", "warrant", 1, 0.3),
     ("copyright", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 1, 0.3),
-    ("license-notice", r"(?:licensed|released|distributed) under (?:the )?[^ ]+(?: [^ ]+)? licen[cs]e", "under", 1, 0.3),
+    ("license-notice", r"(?:licensed|released|distributed) under (?:the )?[^ ]+(?: [^ ]+)? licen[cs]e", "under &licen", 1, 0.3),
 )
 
 RULES = tuple(
@@ -139,14 +137,19 @@ def blanks(x: Column) -> Column:
 
 def has_keyword(text: Column, keyword: str) -> Column:
     """keyword: alternatives by |, all of those joined by &, each at the start of a word."""
-    every = None
-    for part in keyword.split("&"):
-        some = None
-        for x in part.split("|"):
-            one = F.contains(text, F.lit(f" {x}"))
-            some = one if some is None else some | one
-        every = some if every is None else every & some
-    return every
+    some = lambda part: reduce(or_, [F.contains(text, F.lit(f" {x}")) for x in part.split("|")])
+    return reduce(and_, [some(part) for part in keyword.split("&")])
+
+
+def gate(text: Column) -> Column:
+    """Whether the normalized text has the keywords of some rule: true wherever a rule matches."""
+    rest: dict[str, set[str]] = {}
+    for _, _, keyword, _, _ in RULES:
+        first, *more = keyword.split("&")
+        rest.setdefault(first, set()).add("&".join(more))
+    alone = [has_keyword(text, first) for first, more in rest.items() if "" in more]
+    both = [has_keyword(text, first) & reduce(or_, [has_keyword(text, m) for m in sorted(more)]) for first, more in rest.items() if "" not in more]
+    return reduce(or_, alone + both)
 
 
 def places(text: Column, pattern: Column) -> Column:
@@ -191,13 +194,8 @@ def resolved(found: Column) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: its words, base places, and the detections that stand."""
     rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
-    low = F.lower("text")
-    # Stems with a blank may be parted by other marks in the raw text, so only their first word is asked for.
-    gate = None
-    for stem in sorted({re.split(r"[ .]", s)[0] for s in STEMS}):
-        gate = F.contains("low", F.lit(stem)) if gate is None else gate | F.contains("low", F.lit(stem))
-    rows = rows.withColumn("low", low).withColumn("words", F.when(gate, normalized(F.col("text")))).drop("low")
-    rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long")).drop("text")
+    rows = rows.select(key, normalized(F.col("text")).alias("all_words"))
+    rows = rows.select(key, (blanks(F.col("all_words")) - 1).cast("long").alias("n_words"), F.when(gate(F.col("all_words")), F.col("all_words")).alias("words"))
     rows = rows.withColumn("found", F.when(F.col("words").isNotNull(), detections(F.col("words"))))
     rows = rows.withColumn("stands", resolved(F.col("found")))
     count = lambda phrase: F.regexp_count("words", F.lit(f"(?<= ){phrase}(?= )")).cast("long")

@@ -1,4 +1,6 @@
 import re
+from re import _constants as sre
+from re import _parser as sre_parser
 
 import pytest
 
@@ -53,3 +55,41 @@ def test_empty(spark):
 @pytest.mark.parametrize("rule", op.RULES, ids=lambda r: r[0])
 def test_patterns_compile(rule):
     re.compile(rule[1])
+
+
+def samples(parsed):
+    """Strings that the pattern matches, with each of its alternatives and options taken and left at least once."""
+    parts = []
+    for kind, arg in parsed:
+        if kind is sre.LITERAL:
+            parts.append([chr(arg)])
+        elif kind is sre.BRANCH:
+            parts.append([x for option in arg[1] for x in samples(option)])
+        elif kind is sre.SUBPATTERN:
+            parts.append(samples(arg[3]))
+        elif kind is sre.MAX_REPEAT and arg[1] == 1:
+            parts.append(["", *samples(arg[2])])
+        else:
+            digit = kind is sre.IN and arg[0][0] is sre.CATEGORY
+            parts.append(["3"] if digit else [chr(x) for _, x in arg] if kind is sre.IN else ["zz"])
+    first = [p[0] for p in parts]
+    return list(dict.fromkeys("".join(first[:k] + [x] + first[k + 1 :]) for k, p in enumerate(parts) for x in p))
+
+
+def unfiltered(text):
+    """Labels and score by all rules, without keywords."""
+    spans = [(m.start(), m.end(), priority, confidence, label) for label, pattern, _, priority, confidence in op.RULES for m in re.finditer(f"(?<= )(?:{pattern})(?= )", f" {text} ")]
+    stand = [a for a in spans if not any(b[0] <= a[0] and b[1] >= a[1] and (b[2], b[1] - b[0]) > (a[2], a[1] - a[0]) for b in spans)]
+    return {a[4] for a in stand}, max((a[3] for a in stand), default=0.0)
+
+
+def test_every_alternative_is_found(spark):
+    """A text that is nothing but a match gets what all rules without keywords find in it."""
+    texts = sorted({x for _, pattern, *_ in op.RULES for x in samples(sre_parser.parse(pattern))})
+    assert all(any(re.fullmatch(pattern, x) for x in texts) for _, pattern, *_ in op.RULES)
+    rows = op.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        labels, score = unfiltered(texts[r.doc_id])
+        base = set(r.base_labels.split(",")) - {""}
+        assert labels and (set(r.labels.split(",")) - {""}, r.score) == (labels | base, score), texts[r.doc_id]
