@@ -1,11 +1,15 @@
-"""Benchmark decontamination by SimHash over windows as long as the items.
+"""Benchmark decontamination over windows as long as the items, by exact weighted shingle similarity.
 
-Each item, and each window of a document that is as long as some item, gets a 64-bit SimHash of its
-weighted word shingles. The items' fingerprints are indexed by four blocks of 16 bits, each with all values
-within RADIUS // 4 bits: a window at RADIUS bits or fewer from an item agrees with it in some block that far, so
-the index finds every such pair. Pairs found are verified on the shingles themselves: the weighted Jaccard
-similarity of the two multisets must reach SIMILARITY. A shingle weighs as much as its words have bytes.
-Windows that share no shingle with any item have similarity 0 and are not fingerprinted.
+Items' word shingles are in an index, from shingle to items. For each item that shares a shingle with a
+document, the windows as long as the item get an upper bound of what they have in common with it, the weight of
+their shingles that the item has, by prefix sums. Windows whose bound allows SIMILARITY are verified on the
+shingles themselves: the weighted Jaccard similarity of the two multisets must reach SIMILARITY. A shingle weighs as much
+as its words have bytes. The bound is never below the common weight, so no window that is similar enough is lost,
+with repeated shingles or without.
+
+`distance` is the distance of the 64-bit SimHashes of window and item; it decides nothing. `candidates` looks up
+SimHashes within RADIUS bits by blocks of 16 bits, for callers that want near fingerprints; the search doesn't
+use it, as windows of similarity 0.8 may be further apart.
 
 Documents are read once, without a shuffle. Items go to the executors in blocks of BLOCK_ITEMS, one pass over
 the documents per block, so what is broadcast is bounded whatever the benchmark's size.
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,8 @@ from tallyweave.llm.shingles import shingles, word_table
 
 K, SIMILARITY, RADIUS = 5, 0.8, 15
 BLOCKS, BLOCK_BITS, BLOCK_ITEMS = 4, 16, 1000
-#: Rows that are hashed at once, windows that are fingerprinted at once, bits of the first test of a shingle.
-ROWS, WINDOWS, TEST_BITS = 2000, 4096, 20
+#: Rows that are hashed at once, bits of the first test of a shingle, what sums of weights may be off by.
+ROWS, TEST_BITS, SLACK = 2000, 20, 1e-9
 BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -84,7 +89,7 @@ class Benchmark:
         words, sizes, at = word_table(pa.array(texts, pa.string()))
         self.ids, self.sets, prints = ids, [], np.zeros(len(ids), np.uint64)
         by_words: dict[int, list[int]] = {}
-        known: dict[int, list[np.ndarray]] = {}
+        known: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
             if a == b:
                 self.sets.append({})
@@ -94,17 +99,30 @@ class Benchmark:
             self.sets.append(multiset(s, w))
             prints[k] = fingerprints((sign_bits(s) * w[:, None]).sum(axis=0)[None])[0]
             by_words.setdefault(int(b - a), []).append(k)
-            known.setdefault(int(width), []).append(s)
-        self.known = {width: np.unique(np.concatenate(s)) for width, s in known.items()}
+            kinds = np.unique(s)
+            known.setdefault(int(width), []).append((kinds, np.full(len(kinds), k)))
+        # Of each width: shingles in order, where each one's items begin (and the last ends), and the items.
+        self.known, self.holders = {}, {}
+        for width, some in known.items():
+            s, k = (np.concatenate(x) for x in zip(*some))
+            order = np.argsort(s, kind="stable")
+            self.known[width], first = np.unique(s[order], return_index=True)
+            self.holders[width] = np.append(first, len(s)), k[order]
+        self.sizes = np.array([sum(x.values()) for x in self.sets])
+        self.words = np.diff(at)
         self.lengths = [Length(n, min(K, n), np.array(items), prints[items]) for n, items in sorted(by_words.items())]
+        self.prints = prints
+
+    @cached_property
+    def index(self) -> list:
+        """Of each length and block: values in order, and the item that each is near to."""
         near = [sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in itertools.combinations(range(BLOCK_BITS), r)]
-        self.near = np.array(near, np.uint16)
-        # Of each length and block: values in order, and the item that each is near to.
-        self.index = [[self.near_values(x, j) for j in range(BLOCKS)] for x in self.lengths]
+        near = np.array(near, np.uint16)
+        return [[self.near_values(x, j, near) for j in range(BLOCKS)] for x in self.lengths]
 
-    def near_values(self, x: Length, block: int) -> tuple[np.ndarray, np.ndarray]:
-        values = (self.block(x.prints, block)[:, None] ^ self.near).ravel()
-        owner = np.repeat(np.arange(len(x.items)), len(self.near))
+    def near_values(self, x: Length, block: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values = (self.block(x.prints, block)[:, None] ^ near).ravel()
+        owner = np.repeat(np.arange(len(x.items)), len(near))
         order = np.argsort(values, kind="stable")
         return values[order], owner[order]
 
@@ -129,8 +147,8 @@ class Benchmark:
             found.update(zip(window[close].tolist(), item[close].tolist()))
         return sorted(found)
 
-    def hits(self, words: np.ndarray, at: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By width of shingle: all shingles, and the places of those that some item has, within texts."""
+    def hits(self, words: np.ndarray, at: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By width of shingle: all shingles, and the places, within texts, and numbers of those that some item has."""
         out = {}
         for width, known in self.known.items():
             s = shingles(words, width)
@@ -139,60 +157,63 @@ class Benchmark:
             test[known & mask] = True
             place = np.flatnonzero(test[s & mask])
             found = np.searchsorted(known, s[place])
-            place = place[known[np.minimum(found, len(known) - 1)] == s[place]]
-            ends = at[np.searchsorted(at, place, "right")]
-            out[width] = s, place[place + width <= ends]
+            same = known[np.minimum(found, len(known) - 1)] == s[place]
+            place, found = place[same], found[same]
+            inside = place + width <= at[np.searchsorted(at, place, "right")]
+            out[width] = s, place[inside], found[inside]
         return out
 
-    def windows(self, hits: np.ndarray, width: int, length: int, a: int, b: int) -> np.ndarray:
-        """Starts, in order, of the windows of a length in the text from a to b that hold a hit."""
-        last = max(a, b - length)
-        first, until = np.maximum(hits + width - length, a), np.minimum(hits, last)
-        change = np.zeros(last - a + 2, np.int32)
-        np.add.at(change, first - a, 1)
-        np.add.at(change, until - a + 1, -1)
-        return np.flatnonzero(np.cumsum(change[:-1]) > 0) + a
-
     def search(self, texts: pa.Array) -> list[tuple]:
         """(row, item, similarity, start, words, distance, windows) of every text and item with a verified window, the
         best of them by similarity and place."""
         words, sizes, at = word_table(texts)
         best: dict[tuple[int, int], list] = {}
-        for width, (s, places) in self.hits(words, at).items():
-            w = weights(sizes, width) if len(s) else np.zeros(0)
+        for width, (s, places, kinds) in self.hits(words, at).items():
+            if not len(places):
+                continue
+            w = weights(sizes, width)
+            total = np.concatenate([[0.0], np.cumsum(w)])
             row = np.searchsorted(at, places, "right") - 1
-            cuts = np.flatnonzero(np.diff(row)) + 1
-            for r, own in zip(row[np.concatenate([[0], cuts])] if len(row) else [], np.split(places, cuts)):
-                a, b = int(at[r]), int(at[r + 1])
-                for k, x in enumerate(self.lengths):
-                    if x.width == width:
-                        starts = self.windows(own, width, x.words, a, b)
-                        runs = np.split(starts, np.flatnonzero(np.diff(starts) > x.words) + 1)
-                        for part in (run[i : i + WINDOWS] for run in runs for i in range(0, len(run), WINDOWS)):
-                            self.verify(k, part, int(r), a, b, s, w, best)
+            # A line for each hit and item that has it, by row, item and place.
+            first, holders = self.holders[width]
+            n = first[kinds + 1] - first[kinds]
+            item = holders[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[kinds], n)]
+            row, place = np.repeat(row, n), np.repeat(places, n)
+            order = np.lexsort((place, item, row))
+            row, item, place = row[order], item[order], place[order]
+            begins = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
+            # What all windows together can have in common with the item is too little for most.
+            hit = np.add.reduceat(w[place], begins)
+            for i in np.flatnonzero(hit >= self.least(item[begins], 0.0) - SLACK):
+                r, k = int(row[begins[i]]), int(item[begins[i]])
+                own = place[begins[i] : begins[i + 1] if i + 1 < len(begins) else len(place)]
+                self.verify(k, width, own, r, int(at[r]), int(at[r + 1]), s, w, total, best)
         return [(row, item, *v) for (row, item), v in sorted(best.items())]
 
-    def verify(self, k: int, starts: np.ndarray, row: int, a: int, b: int, s: np.ndarray, w: np.ndarray, best: dict) -> None:
-        if not len(starts):
-            return
-        x = self.lengths[k]
-        low, high = starts[0], min(starts[-1] + x.words, b) - x.width + 1
-        sums = np.zeros((high - low + 1, 64))
-        np.cumsum(sign_bits(s[low:high]) * w[low:high, None], axis=0, out=sums[1:])
-        stops = np.minimum(starts + x.words, b) - x.width + 1
-        prints = fingerprints(sums[stops - low] - sums[starts - low])
-        sets: dict[int, dict] = {}
-        for window, item in self.candidates(k, prints):
-            i, j = starts[window], stops[window]
-            if window not in sets:
-                sets[window] = multiset(s[i:j], w[i:j])
-            like = similarity(sets[window], self.sets[x.items[item]])
+    def least(self, item, window):
+        """The common weight that a window of a weight needs with an item to be similar enough."""
+        return SIMILARITY / (1 + SIMILARITY) * (self.sizes[item] + window)
+
+    def verify(self, k: int, width: int, own: np.ndarray, row: int, a: int, b: int, s: np.ndarray, w: np.ndarray, total: np.ndarray, best: dict) -> None:
+        """Windows of the text from a to b that are similar to item k, whose shingles are at the places own."""
+        length = int(self.words[k])
+        last = max(a, b - length)
+        # Starts whose windows hold a hit, as runs that don't meet.
+        lo, hi = np.maximum(own + width - length, a), np.minimum(own, last)
+        cuts = np.flatnonzero(lo[1:] > hi[:-1] + 1) + 1
+        runs = zip(lo[np.concatenate([[0], cuts])], hi[np.concatenate([cuts - 1, [len(hi) - 1]])])
+        starts = np.concatenate([np.arange(x, y + 1) for x, y in runs])
+        stops = np.minimum(starts + length, b) - width + 1
+        common = np.concatenate([[0.0], np.cumsum(w[own])])
+        bound = common[np.searchsorted(own, stops)] - common[np.searchsorted(own, starts)]
+        near = bound >= self.least(k, total[stops] - total[starts]) - SLACK
+        for i, j in zip(starts[near].tolist(), stops[near].tolist()):
+            like = similarity(multiset(s[i:j], w[i:j]), self.sets[k])
             if like >= SIMILARITY:
-                new = [like, int(i) - a, int(min(i + x.words, b) - i), int(distance(prints[window], x.prints[item])), 1]
-                old = best.get(key := (row, int(x.items[item])))
-                if old is None or (-new[0], new[1]) < (-old[0], old[1]):
-                    new[4] += old[4] if old else 0
-                    best[key] = new
+                old = best.get(key := (row, k))
+                if old is None or like > old[0]:
+                    apart = fingerprints((sign_bits(s[i:j]) * w[i:j, None]).sum(axis=0)[None]) ^ self.prints[k]
+                    best[key] = [like, i - a, min(i + length, b) - i, int(np.bitwise_count(apart)[0]), 1 + (old[4] if old else 0)]
                 else:
                     old[4] += 1
 

@@ -71,3 +71,40 @@ def test_prefilter_loses_nothing():
     s, weight = op.shingles(w, 5), op.weights(sizes, 5)
     best = max((op.similarity(op.multiset(s[k : k + 16], weight[k : k + 16]), block.sets[0]), -k) for k in range(len(text) - 19))
     assert (found[2], -found[3]) == best
+
+
+def brute_force(block, text):
+    """(item, similarity, start, windows) by the similarity of every window with every item."""
+    w, sizes, _ = op.word_table(pa.array([text]))
+    out = []
+    for k, (own, length) in enumerate(zip(block.sets, block.words)):
+        width = min(op.K, int(length))
+        s, weight = op.shingles(w, width), op.weights(sizes, width)
+        n = int(length) - width + 1
+        like = [op.similarity(op.multiset(s[i : i + n], weight[i : i + n]), own) for i in range(max(1, len(w) - int(length) + 1))]
+        if max(like) >= op.SIMILARITY:
+            out.append((k, max(like), like.index(max(like)), sum(x >= op.SIMILARITY for x in like)))
+    return out
+
+
+def test_recall_near_the_threshold():
+    """Edits that leave a similarity near 0.8 are found as by brute force, also where a shingle repeats."""
+    rng = random.Random(3)
+    items = [words(rng, n) for n in (30, 55, 100)]
+    block = op.Benchmark([0, 1, 2], [" ".join(x) for x in items])
+    found, expected, apart = [], [], []
+    for trial in range(150):
+        part = list(items[trial % 3])
+        if trial % 2:  # a repeated phrase at the end
+            n = len(part) // 8
+            part[-n:] = words(rng, 1) * n
+        else:
+            for _ in range(len(part) // 30):
+                part[rng.randrange(len(part))] = "edited"
+        text = " ".join(words(rng, 20) + part + words(rng, 20))
+        expected += [(trial, *x) for x in brute_force(block, text)]
+        rows = block.search(pa.array([text]))
+        found += [(trial, item, like, start, n) for _, item, like, start, _, _, n in rows]
+        apart += [r[5] for r in rows]
+    assert found == expected and sum(x[2] < 0.83 for x in expected) >= 10
+    assert max(apart) > op.RADIUS  # SimHashes within the radius would not do
