@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from tallyweave.functions.dates import month_index
 from tallyweave.functions.money import fixed_text, months_of
 
 FIELDS = ("vendor", "day", "amount", "tax", "category")
+#: Rows of folded logs that are handed on at once, about.
+ROWS = 4096
 
 
 def semantic_key(vendor: Column, day: Column, cents: Column) -> Column:
@@ -68,20 +71,36 @@ def corrections(before: DataFrame, after: DataFrame, key: str = "id") -> DataFra
 def folded_log(log: DataFrame, user: str = "user", most: int = 2000) -> DataFrame:
     """The edit log of each user with runs of edits of one field made one, and edits taken back left out. An edit is only ever
     compared with the last entry left. Rows are (user, seq, receipt, field, old, new); only the latest `most` entries
-    stay, so a user's log is bounded."""
-    entry = "struct<seq:bigint,receipt:string,field:string,old:string,new:string>"
-    edits = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("receipt").cast("string").alias("receipt"), "field", "old", "new")))
-
-    def add(out: Column, e: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        goes_on = (last["receipt"] == e["receipt"]) & (last["field"] == e["field"]) & (last["new"] == e["old"])
-        shorter = F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
-        joined = F.struct(e["seq"].alias("seq"), e["receipt"].alias("receipt"), e["field"].alias("field"), last["old"].alias("old"), e["new"].alias("new"))
-        return F.when(~F.coalesce(goes_on, F.lit(False)), F.array_append(out, e)).when(last["old"] == e["new"], shorter).otherwise(F.array_append(shorter, joined))
-
-    t = log.groupBy(user).agg(edits.alias("edits")).withColumn("edits", F.aggregate("edits", F.array().cast(f"array<{entry}>"), add))
-    kept = F.slice("edits", F.greatest(F.size("edits") - (most - 1), F.lit(1)), most)
-    return t.select(user, F.explode(kept).alias("e")).select(user, "e.*")
+    stay. A user's edits pass one task in order, a batch at a time; it holds the entries left, not the log."""
+    entry = [F.col("seq").cast("long").alias("seq"), F.col("receipt").cast("string").alias("receipt"), "field", "old", "new"]
+    rows = log.select(user, *entry).repartition(user).sortWithinPartitions(user, "seq", "receipt", "field", "old", "new")
+
+    def add(left: list[tuple], e: tuple) -> None:
+        seq, *place, old, new = e
+        if not left or None in (*place, old) or (*left[-1][1:3], left[-1][4]) != (*place, old):
+            left.append(e)
+            return
+        first = left.pop()[3]
+        if first is None or first != new:
+            left.append((seq, *place, first, new))
+
+    def run(batches):
+        who, left, out, schema = None, [], [], None
+        for batch in batches:
+            schema = batch.schema
+            for u, *e in zip(*(c.to_pylist() for c in batch.columns)):
+                if u != who and (u == u or who == who):
+                    out += [(who, *x) for x in left[-most:]]
+                    who, left = u, []
+                    if len(out) >= ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                        out = []
+                add(left, tuple(e))
+        out += [(who, *x) for x in left[-most:]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def month_runs(rows: DataFrame, key: str, months: str) -> DataFrame:

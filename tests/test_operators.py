@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,28 @@ def test_edit_log(spark):
     assert fold(spark, [("r", "x", "a", "b"), ("q", "x", "a", "b"), ("r", "x", "b", "c")]) == [("r", "x", "a", "b"), ("q", "x", "a", "b"), ("r", "x", "b", "c")]
 
 
+def test_edit_logs_are_streamed(spark):
+    """Logs of many batches fold as by one stack per user, with nulls; no plan gathers a user's log into an array."""
+    rng = random.Random(4)
+    pick = lambda: rng.choice(("a", "b", None))
+    rows = [(rng.choice(("u", "v", None)), k, rng.choice("rq"), "x", pick(), pick()) for k in range(9000)] + [("w", k, "r", "x", str(k), str(-k - 1)) for k in range(12_000)]
+    expected = {}
+    for u, *e in rows:
+        left = expected.setdefault(u, [])
+        last = left[-1] if left else None
+        if last and None not in (last[4], e[3]) and (last[1], last[2], last[4]) == (e[1], e[2], e[3]):
+            left.pop()
+            if last[3] is None or last[3] != e[4]:
+                left.append((*e[:3], last[3], e[4]))
+        else:
+            left.append(tuple(e))
+    log = spark.createDataFrame(rows, "user string, seq long, receipt string, field string, old string, new string").repartition(7)
+    folded = merge.folded_log(log)
+    assert sorted(map(tuple, folded.collect()), key=str) == sorted(((u, *e) for u, left in expected.items() for e in left[-2000:]), key=str)
+    assert "collect_list" not in folded._jdf.queryExecution().toString()
+    assert merge.folded_log(log.where("false")).count() == 0
+
+
 def test_month_runs(spark):
     rows = spark.createDataFrame([(1, ["2026-01", "2026-03", "2026-02", "2026-05", "junk", "2026-05"]), (2, ["2025-12", "2026-01"])], "k int, m array<string>")
     assert {r.k: r.months for r in merge.month_runs(rows, "k", "m").collect()} == {1: "Jan–Mar 2026, May 2026", 2: "Dec 2025–Jan 2026"}
