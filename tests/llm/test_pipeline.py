@@ -31,3 +31,18 @@ def test_stages(spark, tmp_path):
     e = stages[4](spark, d, str(tmp_path))
     assert e.count() == d.count() and e.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == e.agg(F.sum("n_tokens")).first()[0]
     assert pipeline.run(spark, str(tmp_path)).count() == e.count()
+
+
+def test_near_copies_go_by_row(spark):
+    """A row stays where another row of its id is a near copy; of linked rows of one id one stays."""
+    import random
+
+    rng = random.Random(3)
+    base, other = words(rng, 100), words(rng, 100)
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "zz"])), (2, "alone " + " ".join(words(rng, 60)))]
+    rows += [(3, " ".join(other)), (3, " ".join([*other[:-1], "yy"])), (4, None), (4, "once"), (4, "once"), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame([(k, x, "en", "s", 1, 0.0) for k, x in rows], odd_documents(spark).schema)
+    kept = pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    left = [(r.doc_id, (r.text or "").split(" ")[0]) for r in kept.collect()]
+    assert sorted(left, key=str) == sorted([(1, base[0]), (2, "alone"), (3, other[0]), (4, ""), (4, "once"), (None, "no"), (None, "no")], key=str)
