@@ -97,3 +97,13 @@ def test_duplicates_keep_the_first(spark):
     rows = spark.createDataFrame([(3, 1, "k"), (1, 2, "k"), (2, 1, "k"), (4, 1, None)], "id int, created_at int, key string")
     assert {(r.id, r.duplicate_of) for r in merge.duplicates(rows, ["key"]).collect()} == {(3, 2), (1, 2)}
     assert rows.where(F.col("key").isNull()).count() == 1
+
+
+def test_all_brands_are_compared(spark):
+    """More brands than a block holds give what one block gives."""
+    rng = random.Random(6)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    brands = spark.createDataFrame([(b, vector()) for b in range(30)], "brand long, v array<float>")
+    queries = spark.createDataFrame([(q, vector()) for q in range(100, 120)], "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, identity.nearest_brands(queries, brands, 3).collect()))
+    assert len(whole) == 60 and sorted(map(tuple, identity.nearest_brands(queries, brands, 3, most=7).collect())) == whole
