@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; where that is unset, as in tests, below a folder of this machine."""
+    """A fresh path below spark.checkpoint.dir. Where that is unset and the session runs on this machine alone, as in tests,
+    below a folder of its own; on a cluster executors would not see each other's files there, so that is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         scratch.own = getattr(scratch, "own", None) or "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         base = scratch.own
     return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
