@@ -3,29 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.sources.scratch import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster names in spark.checkpoint.dir, which every executor
-    sees. Only where that setting is missing (as in tests) is a temporary folder of this machine set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(scratch, "own", None)
-        if base is None:
-            base = scratch.own = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the scratch folder and read it again: the lineage ends in files that outlive executors."""
     path = scratch(df.sparkSession, name)
@@ -35,10 +23,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what `materialize` wrote for df, once all that was made of it is written too."""
-    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete what `materialize` wrote for each frame, once all that was made of it is written too."""
+    for df in frames:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release() -> None:

@@ -2,14 +2,15 @@
 
 Each round sends every node to the least of itself and its neighbours and replaces links by links between
 what their ends were sent to; nodes that are hashes make the number of rounds logarithmic. Both tables are
-written to the shared folder each round. Nothing is collected but whether links are left."""
+written to the shared folder each round, and those of the round before deleted. Nothing is collected but
+whether links are left."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import materialize
+from tallyweave.llm.common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,8 +21,11 @@ def components(links: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
         least = materialize(both.groupBy(F.col("a").alias("from")).agg(F.min("b").alias("to")).select("from", F.least("from", "to").alias("to")), "least")
-        found = materialize(found.join(least, found.component == least["from"], "left").select("node", F.coalesce("to", "component").alias("component")), "components")
+        moved = materialize(found.join(least, found.component == least["from"], "left").select("node", F.coalesce("to", "component").alias("component")), "components")
         left = links.join(least, links.a == least["from"]).select(F.col("to").alias("a"), "b")
         left = left.join(least, left.b == least["from"]).select("a", F.col("to").alias("b"))
-        links = materialize(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        left = materialize(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        discard(links, least, found)
+        links, found = left, moved
+    discard(links)
     return found

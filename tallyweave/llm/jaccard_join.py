@@ -7,6 +7,11 @@ whole. A signature is a hash of what a set has in such a subset of pieces, so li
 Signatures of empty pieces would be shared by strangers; with spare parts they are only needed for
 the few sets in which more parts than the spare ones have empty pieces.
 
+Linked sets mostly share far more than one signature: a set's size bounds how far any partner can differ from
+it, and so how many signatures they share at least, its need. So each set leaves out as many signatures less one as
+it needs, those with the most sets; of any `need` shared ones the rarest is left to both. Passages that many
+documents share make signatures with many sets, which are the ones that go.
+
 Equal sets are one node (a 64-bit hash of the set). In each group of nodes with a common signature the
 node that meets most others is compared with all of them, exactly; groups are first formed within a batch of a
 reader and only one node of each goes on to the shuffle of signatures, so no key brings more rows to a task
@@ -28,7 +33,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import discard, materialize, table
@@ -41,8 +46,11 @@ ROWS = 4000
 MATCHES = 4
 #: Documents that set the order of features, about, and the size of the table of their frequencies.
 ORDER_SAMPLE, ORDER_SLOTS = 20_000, 1 << 20
-#: Bits of the filter on documents whose sets are needed again: a fixed size, sent to all executors.
-FILTER_BITS = 1 << 22
+#: Bits of the filter on documents whose sets are needed again, for each of them, and in all: 128 MB, sent to all
+#: executors. Beyond some hundred million such documents it lets more others through, which are dropped by a join.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 30
+#: Bits of one of Spark's bitmaps.
+BITMAP = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -62,8 +70,9 @@ class Scheme:
         spare = 1 if k < 16 else 2 + k // 32
         return cls(k // 2 + 1 + spare, 2, 1, spare)
 
-    def signatures(self, features: np.ndarray, salt: int) -> np.ndarray:
-        """Of one sorted set of uniform 64-bit features."""
+    def signatures(self, features: np.ndarray, salt: int) -> tuple[np.ndarray, int]:
+        """Of one sorted set of uniform 64-bit features; the lowest bit is that of salt. Also in how many parts linked sets may
+        agree in nothing but empty pieces that are left out."""
         pieces = self.n1 * self.n2
         piece = (features >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
         cuts = np.searchsorted(piece, np.arange(pieces + 1, dtype=np.uint64))
@@ -74,10 +83,17 @@ class Scheme:
             sums, count = sums[:, subsets].sum(axis=2, dtype=np.uint64), count[:, subsets].sum(axis=2)
         slots = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) + np.uint64(salt << 32)
         found = mix(sums + mix(slots + np.uint64(1)))
+        found = (found & ~np.uint64(1)) | np.uint64(salt & 1)
         empty = count == 0
-        if empty.any() and empty.any(axis=1).sum() <= self.spare:
-            return found[~empty]
-        return found.ravel()
+        parts = int(empty.any(axis=1).sum())
+        if 0 < parts <= self.spare:
+            return found[~empty], parts
+        return found.ravel(), min(parts, self.spare)
+
+    def need(self, differ: int, lost: int) -> int:
+        """How many signatures two sets share at least that differ in `differ` features at most: one for each part in which they
+        differ in one at most. Where there is one part, one."""
+        return max(1, self.n1 - differ // 2 - lost) if self.n1 > 1 else 1
 
 
 @dataclass(frozen=True)
@@ -99,14 +115,24 @@ class Jaccard:
         return starts, schemes
 
     def signatures(self, features: np.ndarray) -> np.ndarray:
-        """For the set's own band, and for the next where that can hold a partner."""
+        return self.signed_up(features)[0]
+
+    def signed_up(self, features: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Signatures for the set's own band, and for the next where that can hold a partner; for even and for odd ones, how
+        many a linked set of that band shares at least. Links of sets of two bands are found in the upper."""
         starts, schemes = self.bands()
         size = len(features)
         t = int(np.searchsorted(starts, size, "right")) - 1
-        found = schemes[t].signatures(features, t)
-        if t + 1 < len(starts) and 100 * size >= self.percent * starts[t + 1]:
-            found = np.concatenate([found, schemes[t + 1].signatures(features, t + 1)])
-        return found
+        every, needs = [], [1, 1]
+        for band in (t, t + 1):
+            if band == t or (band < len(starts) and 100 * size >= self.percent * starts[band]):
+                found, lost = schemes[band].signatures(features, band)
+                largest = 100 * size // self.percent
+                if band + 1 < len(starts):
+                    largest = min(largest, starts[band + 1] - 1)
+                every.append(found)
+                needs[band & 1] = schemes[band].need((100 - self.percent) * (size + largest) // (100 + self.percent), lost)
+        return np.concatenate(every), needs
 
 
 def node_of(features: np.ndarray) -> np.ndarray:
@@ -143,8 +169,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, node, sigs, shared) of every row. sigs: signatures for which this row stands for all of its
-    batch; shared: signatures that other nodes of the batch have too."""
+    """(key, n_shingles, node, sigs, shared, even, odd) of every row. sigs: signatures for which this row stands for all of its
+    batch; shared: signatures that other nodes of the batch have too; even, odd: how many signatures with such a lowest bit
+    linked sets share."""
     kind = docs.schema[key].dataType.simpleString()
 
     def lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
@@ -156,7 +183,7 @@ def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
             for start in range(0, big.num_rows, ROWS):
                 batch = big.slice(start, ROWS)
                 n = batch.num_rows
-                sizes, nodes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                sizes, nodes, needs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones((n, 2), np.int32)
                 every, owner, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
                 for k, (_, s) in enumerate(by_text(batch.column(1), rule.k)):
                     if len(s):
@@ -164,52 +191,62 @@ def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
                         sizes[k], nodes[k] = len(features), signed(node_of(features)[None])[0]
                         if nodes[k] not in place:
                             place[nodes[k]] = k
-                            every.append(signed(rule.signatures(features)))
+                            found, needs[k] = rule.signed_up(features)
+                            every.append(signed(found))
                             owner.append(np.full(len(every[-1]), nodes[k]))
                 sigs, own, first, many = grouped(np.concatenate(every), np.concatenate(owner))
                 row = np.fromiter(map(place.__getitem__, own.tolist()), np.int64, len(own))
                 order = np.argsort(row, kind="stable")
                 sigs, first, many, row = sigs[order], first[order], many[order], row[order]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), lists(row[first], n, sigs[first]), lists(row[many], n, sigs[many])],
-                    [key, "n_shingles", "node", "sigs", "shared"],
+                    [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), lists(row[first], n, sigs[first]), lists(row[many], n, sigs[many]), pa.array(needs[:, 0]), pa.array(needs[:, 1])],
+                    [key, "n_shingles", "node", "sigs", "shared", "even", "odd"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, sigs array<long>, shared array<long>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, sigs array<long>, shared array<long>, even int, odd int")
 
 
 def global_groups(rows: DataFrame) -> DataFrame:
-    """The rows (sig, node) whose signature has several nodes. Rows are sorted by signature and read as a stream, whatever
-    a group's size."""
+    """The rows (sig, node, ...) whose signature has several nodes. Rows are sorted by signature and read as a stream, whatever
+    a group's size; what follows the node is a property of both and comes along."""
 
     def run(batches):
-        sig = node = None  # of the row before
+        before = None  # the row before
         alone = False  # whether its signature has had one node so far
         for batch in batches:
-            sigs, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(sigs):
+            if not batch.num_rows:
                 continue
-            if sig is not None:
-                # The row before comes again: its group may go on.
-                sigs, nodes = np.concatenate([[sig], sigs]), np.concatenate([[node], nodes])
+            # The row before comes again: its group may go on.
+            rows = pa.Table.from_batches([batch] if before is None else [before, batch]).combine_chunks()
+            sigs, nodes = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             new = first_of_runs(sigs) | first_of_runs(nodes)
             group = np.cumsum(first_of_runs(sigs)) - 1
             many = np.bincount(group, new)[group] > 1
-            done = sig is not None and not alone
+            done = before is not None and not alone
             keep = new & (many | (group == 0 if done else np.zeros(len(sigs), bool)))
             if done:
                 keep[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(sigs[keep]), pa.array(nodes[keep])], ["sig", "node"])
+            yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
             alone = not many[-1] and not (done and group[-1] == 0)
-            sig, node = sigs[-1], nodes[-1]
+            before = pa.RecordBatch.from_arrays([c.take([0]) for c in batch.slice(batch.num_rows - 1).columns], schema=batch.schema)
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, rows.schema)
+
+
+def rarest(groups: DataFrame) -> DataFrame:
+    """The rows (sig, node) that are left if each node leaves out its need less one, those of the largest groups. One order
+    holds for all, so of the signatures that linked sets share, at least as many as either needs, both keep the last in
+    it. A node's rows are bounded by its set, whatever the size of groups."""
+    sizes = groups.groupBy("sig").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("node", F.col("sig").bitwiseAND(1)).orderBy(F.desc("n"), "sig")
+    rows = groups.join(sizes, "sig").withColumn("place", F.row_number().over(order))
+    return rows.where("place >= need").select("sig", "node")
 
 
 def leads(groups: DataFrame) -> DataFrame:
     """(sig, lead, node) of all rows of groups; the lead is the node that meets most others in all groups. Of copies
     that differ from one text in places of their own, it is that text, which is most like each of them."""
-    sizes = groups.groupBy("sig").agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
     met = groups.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("met"))
     rows = groups.join(met, "node")
     first = rows.groupBy("sig").agg(F.max(F.struct("met", "node")).alias("first"))
@@ -243,20 +280,22 @@ def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccar
     """(node, features) of all nodes in pairs, rare features first. Ids of documents to be read again pass a filter of
     fixed size."""
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
-    ids = features.join(needed, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key))
-    bits = np.zeros(FILTER_BITS, bool)
-    for batch in ids.select(slot(F.col(key)).alias("slot")).distinct().toArrow().to_batches():
-        bits[batch.column(0).to_numpy()] = True
+    bits = max(BITMAP, min(MOST_FILTER_BITS, 1 << (FILTER_BITS * needed.count() - 1).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    ids = features.join(needed, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key)).select((slot(F.col(key)) + 1).alias("slot"))
+    filled = np.zeros((bits // BITMAP, BITMAP // 8), np.uint8)
+    for at, part in ids.groupBy(F.bitmap_bucket_number("slot").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot"))).toLocalIterator():
+        filled[at - 1] = np.frombuffer(part, np.uint8)
     context = docs.sparkSession.sparkContext
-    shared, often = context.broadcast(np.packbits(bits)), context.broadcast(rarity(docs, rule, key, text))
+    shared, often = context.broadcast(filled.ravel()), context.broadcast(rarity(docs, rule, key, text))
 
     def run(batches):
-        bits, order = np.unpackbits(shared.value).view(bool), often.value
+        filled, order = shared.value, often.value
         for big in batches:
             for start in range(0, big.num_rows, ROWS):
                 batch = big.slice(start, ROWS)
-                texts = batch.column(1).filter(pa.array(bits[batch.column(0).to_numpy()]))
+                at = batch.column(0).to_numpy()
+                texts = batch.column(1).filter(pa.array((filled[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)))
                 found = {}
                 for _, s in by_text(texts, rule.k):
                     if len(s):
@@ -269,7 +308,9 @@ def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccar
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "features"])
 
     again = docs.select(slot(F.col(key)).alias("slot"), text).mapInArrow(run, "node long, features array<long>")
-    return again.join(needed.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("features").alias("features"))
+    sets = materialize(again.join(needed.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("features").alias("features")), "sets")
+    discard(needed)
+    return sets
 
 
 def first_elements(need: Column) -> Column:
@@ -330,29 +371,35 @@ def across(done: DataFrame, found: DataFrame, rule: Jaccard) -> DataFrame:
     keys = ["a", "kind", "e"]
     apart = enough(first("not linked", "short", "x").join(first("not linked", "short", "y"), keys).where(f"x < y and {fits}"))
     mixed = enough(first("linked", "short", "x").join(first("not linked", "long", "y"), keys).where(fits))
-    return apart.unionByName(mixed).distinct()
+    rest = materialize(apart.unionByName(mixed).distinct(), "rest")
+    discard(rows)
+    return rest
 
 
 def similar(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, n_shingles, node) of every row, and (node, component) of the nodes that have links."""
     described = materialize(describe(docs, rule, key, text), "described")
     features = materialize(described.select(key, "n_shingles", "node"), "features")
-    spread = global_groups(described.select(F.explode("sigs").alias("sig"), "node"))
-    within = described.select(F.explode("shared").alias("sig"), "node")
-    groups = materialize(within.unionByName(spread).distinct(), "groups")
+    need = F.when(F.col("sig").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd")).alias("need")
+    listed = lambda sigs: described.select(F.explode(sigs).alias("sig"), "node", "even", "odd").select("sig", "node", need)
+    groups = materialize(listed("shared").unionByName(global_groups(listed("sigs"))).distinct(), "groups")
     discard(described)
-    pairs = materialize(leads(groups).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    sets = materialize(sets_of(docs, features, pairs, rule, key, text), "sets")
+    kept = materialize(rarest(groups), "kept")
+    discard(groups)
+    pairs = materialize(leads(kept).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    discard(kept)
+    sets = sets_of(docs, features, pairs, rule, key, text)
     done = materialize(compared(sets, pairs, rule), "compared")
+    discard(pairs)
     found = components(done.where("linked"))
-    rest = materialize(across(done, found, rule), "rest")
-    discard(groups)
+    rest = across(done, found, rule)
     if not rest.isEmpty():
         more = materialize(compared(sets, rest, rule, differences=False).where("linked").select("a", "b"), "more")
         if not more.isEmpty():
+            discard(found)
             found = components(done.where("linked").select("a", "b").unionByName(more))
-    discard(sets)
-    discard(done)
+        discard(more)
+    discard(rest, sets, done)
     return features, found
 
 
@@ -360,6 +407,7 @@ def classes(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "te
     """(key, n_shingles, component_id) of every row."""
     features, found = similar(docs, rule, key, text)
     rows = materialize(features.join(found, "node", "left").select(key, "n_shingles", F.coalesce("component", "node").alias("component")), "rows")
+    discard(features, found)
     least = rows.where("component is not null").groupBy("component").agg(F.min(key).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(least, "component", "left").select(key, "n_shingles", F.coalesce("least", key).alias("component_id"))
 
