@@ -1,9 +1,8 @@
+import random
 import re
 from re import _constants as sre
 from re import _parser as sre_parser
 
-import pytest
-
 from tallyweave.llm import license_scan as op
 from tests.llm.helpers import none, odd_documents
 
@@ -52,9 +51,10 @@ def test_empty(spark):
     assert op.scan(none(odd_documents(spark))).count() == 0
 
 
-@pytest.mark.parametrize("rule", op.RULES, ids=lambda r: r[0])
-def test_patterns_compile(rule):
-    re.compile(rule[1])
+def test_rules():
+    """Each stands for itself: no two patterns or priorities out of range, and keywords are words."""
+    assert len({pattern for _, pattern, *_ in op.RULES}) == len(op.RULES) >= 200
+    assert all(p in op.PRIORITIES and 0 < c <= 1 and WORD.findall(k.replace("|", " ")) == k.replace("|", " ").split() for *_, k, p, c in op.RULES)
 
 
 def samples(parsed):
@@ -93,3 +93,21 @@ def test_every_alternative_is_found(spark):
         labels, score = unfiltered(texts[r.doc_id])
         base = set(r.base_labels.split(",")) - {""}
         assert labels and (set(r.labels.split(",")) - {""}, r.score) == (labels | base, score), texts[r.doc_id]
+
+
+def test_labels_and_score_of_mixed_texts(spark):
+    """Several notices in one text, one within another, against all rules without keywords."""
+    rng = random.Random(6)
+    every = [x for _, pattern, *_ in op.RULES for x in samples(sre_parser.parse(pattern))[:2]]
+    texts = [" ".join(x for _ in range(rng.randint(1, 6)) for x in (rng.choice(every), rng.choice(["and", "mit license", "", "version 2"]))) for _ in range(400)]
+    texts = [" ".join(t.split()) for t in texts]
+    for r in op.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        labels, score = unfiltered(texts[r.doc_id])
+        assert (set(r.labels.split(",")) - {""}, r.score) == (labels | set(r.base_labels.split(",")) - {""}, score), texts[r.doc_id]
+
+
+def test_many_places(spark):
+    n = 16_000
+    r = op.scan(spark.createDataFrame([(1, "Licensed under the MIT license. " * n)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == (5 * n, n, 3, 5 * n - 2, "mit", "mit", 0.97)
+    assert len(r.stands) == n and r.stands[n - 1].start == 32 * (n - 1) - (n - 1) + 1
