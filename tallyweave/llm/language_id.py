@@ -1,11 +1,11 @@
 """Language identification by interpolated Kneser-Ney models over characters, one per language.
 
-Letters become small numbers and runs of anything else one gap. An n-gram's hash is its numbers in base
-256; hashes stand sorted in one array per order, beside them each language's log-probability, worked out
+Letters become numbers of 16 bits and runs of anything else one gap. An n-gram's hash is its four numbers in
+64 bits; hashes stand sorted in one array per order, beside them each language's log-probability, worked out
 down to the lowest order, so that one binary search serves all languages and only n-grams that no language
 has seen go on to shorter ones. A text gets the language of lowest cross-entropy per character; it is
 rejected if that is far above what the language's own documents have, as measured on documents kept out
-of the counts.
+of the counts; those of languages too small for that are counted in halves, and each half is measured by the other.
 
 Models come from a bounded sample: about TRAIN_DOCS and CALIBRATE_DOCS documents of each language, picked
 by a hash of the id. Counting and scoring run on the executors; the driver gets n-gram counts of the sample.
@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import release, table
 
-ORDER, OTHER, LETTERS = 4, 255, 254
+ORDER = 4
+#: Bits of a letter. All letters of a sample have a number, the commonest first; LETTERS is far more than a sample has.
+BITS = 16
+OTHER, LETTERS = (1 << BITS) - 1, (1 << BITS) - 2
 TRAIN_DOCS, CALIBRATE_DOCS = 500, 250
-#: Languages with fewer documents are counted whole.
-LEAST_KEPT_OUT = 30
+#: Languages with fewer documents are counted whole, and measured by halves.
+LEAST_KEPT_OUT, KEPT_OUT = 30, -1
 FOLDS = 5
 PIECE = 1 << 20
 #: Cross-entropy above the language's mean, over 1/sqrt(length) + SLACK, may be MARGIN times the QUANTILE of the
@@ -49,21 +52,31 @@ class Alphabet:
     """Numbers of code points: 0 for what is no letter, OTHER for letters without a number of their own."""
 
     number: np.ndarray
+    letters: int = 0
+
+    @property
+    def size(self) -> int:
+        """How many symbols there are: the gap, the letters, and one for all others."""
+        return self.letters + 2
+
+    def place(self, numbers: np.ndarray) -> np.ndarray:
+        """Rows of tables by symbol."""
+        return np.minimum(numbers, np.uint64(self.letters + 1)).astype(np.int64)
 
     @classmethod
     def of(cls, letters: list[str]) -> Alphabet:
-        number = np.zeros(0x110000, np.uint8)
+        number = np.zeros(0x110000, np.uint16)
         number[[c for c in range(0x110000) if chr(c).isalpha()]] = OTHER
         for k, c in enumerate(letters[:LETTERS]):
             for x in {c, c.upper(), c.title()}:
                 if len(x) == 1:
                     number[ord(x)] = k + 1
-        return cls(number)
+        return cls(number, len(letters[:LETTERS]))
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the n-gram that ends at each letter or gap; where each text begins; which have letters."""
         if not texts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
         points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
         ids = self.number[points]
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]).astype(np.int64)
@@ -73,14 +86,14 @@ class Alphabet:
         at = np.concatenate([[0], np.cumsum(keep)])
         ids, starts = ids[keep], at[starts]
         ends = np.append(starts[1:], len(ids))
-        key = ids.astype(np.uint32)
+        key = ids.astype(np.uint64)
         for k in range(1, ORDER):
-            older = np.zeros(len(ids), np.uint32)
+            older = np.zeros(len(ids), np.uint64)
             older[k:] = ids[:-k]
             for j in range(k):
                 place = starts + j
                 older[place[place < ends]] = 0
-            key |= older << np.uint32(8 * k)
+            key |= older << np.uint64(BITS * k)
         return key, starts, ends > starts
 
 
@@ -100,7 +113,7 @@ class Model:
 
     def log2(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         if order == 1:
-            return self.logp[1][keys]
+            return self.logp[1][self.alphabet.place(keys)]
         known = self.hashes[order]
         at = np.searchsorted(known, keys)
         at[at == len(known)] = 0
@@ -108,8 +121,8 @@ class Model:
         miss = np.flatnonzero(known[at] != keys)
         if len(miss):
             few = keys[miss]
-            out[miss] = self.log2(few & np.uint32((1 << 8 * (order - 1)) - 1), order - 1)
-            context = few >> np.uint32(8)
+            out[miss] = self.log2(few & np.uint64((1 << BITS * (order - 1)) - 1), order - 1)
+            context = few >> np.uint64(BITS)
             known = self.contexts[order - 1]
             at = np.searchsorted(known, context)
             at[at == len(known)] = 0
@@ -160,7 +173,7 @@ def lookup(known: np.ndarray, values: np.ndarray, keys: np.ndarray, default: flo
 def kneser_ney(alphabet: Alphabet, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """From each language's n-grams of the highest order and their counts."""
     languages = sorted(counts)
-    cut = lambda keys, order: keys & np.uint32((1 << 8 * order) - 1)
+    cut = lambda keys, order: keys & np.uint64((1 << BITS * order) - 1)
     tables: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
     for lang, (keys, n) in counts.items():
         levels = {ORDER: (keys, n.astype(float))}
@@ -170,8 +183,8 @@ def kneser_ney(alphabet: Alphabet, counts: dict[str, tuple[np.ndarray, np.ndarra
             levels[order] = (short, many.astype(float))
         tables[lang] = levels
     hashes = {o: np.unique(np.concatenate([tables[x][o][0] for x in languages])) for o in range(2, ORDER + 1)}
-    contexts = {o - 1: np.unique(hashes[o] >> np.uint32(8)) for o in range(2, ORDER + 1)}
-    logp = {o: np.zeros((len(h), len(languages)), np.float32) for o, h in hashes.items()} | {1: np.zeros((256, len(languages)), np.float32)}
+    contexts = {o - 1: np.unique(hashes[o] >> np.uint64(BITS)) for o in range(2, ORDER + 1)}
+    logp = {o: np.zeros((len(h), len(languages)), np.float32) for o, h in hashes.items()} | {1: np.zeros((alphabet.size, len(languages)), np.float32)}
     left = {o: np.zeros((len(c), len(languages)), np.float32) for o, c in contexts.items()}
     for j, lang in enumerate(languages):
         p = None  # of the order below, for all its hashes
@@ -180,18 +193,18 @@ def kneser_ney(alphabet: Alphabet, counts: dict[str, tuple[np.ndarray, np.ndarra
             ones, twos = (n == 1).sum(), (n == 2).sum()
             d = ones / (ones + 2 * twos) if ones and twos else 0.5
             if order == 1:
-                p = np.full(256, d * len(n) / n.sum() / 256)
-                p[keys] += (n - d) / n.sum()
+                p = np.full(alphabet.size, d * len(n) / n.sum() / alphabet.size)
+                p[alphabet.place(keys)] += (n - d) / n.sum()
                 logp[1][:, j] = np.log2(p)
                 continue
-            context = keys >> np.uint32(8)
+            context = keys >> np.uint64(BITS)
             seen, at = np.unique(context, return_inverse=True)
             total, kinds = np.bincount(at, n), np.bincount(at).astype(float)
             weight = d * kinds / total
             every = hashes[order]
             shorter = cut(every, order - 1)
-            below = p[shorter] if order == 2 else p[np.searchsorted(hashes[order - 1], shorter)]
-            over = every >> np.uint32(8)
+            below = p[alphabet.place(shorter)] if order == 2 else p[np.searchsorted(hashes[order - 1], shorter)]
+            over = every >> np.uint64(BITS)
             own = np.maximum(lookup(keys, n, every) - d, 0) / lookup(seen, total, over, 1.0)
             p = own + lookup(seen, weight, over, 1.0) * below
             logp[order][:, j] = np.log2(p)
@@ -200,7 +213,8 @@ def kneser_ney(alphabet: Alphabet, counts: dict[str, tuple[np.ndarray, np.ndarra
 
 
 def sample(docs: DataFrame, key: str, lang: str, text: str) -> DataFrame | None:
-    """(lang, text, calibrate): about TRAIN_DOCS + CALIBRATE_DOCS learnable documents of each language."""
+    """(lang, text, part): about TRAIN_DOCS + CALIBRATE_DOCS learnable documents of each language. part is 0 for those that are
+    counted, KEPT_OUT for those that are not, and 1 or 2 for the halves of a language too small for that."""
     learnable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(key) != 0))
     n = {r[0]: r[1] for r in learnable.groupBy(lang).count().collect()}
     if not n:
@@ -209,7 +223,9 @@ def sample(docs: DataFrame, key: str, lang: str, text: str) -> DataFrame | None:
     u = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     kept_out = F.pmod(F.xxhash64(F.col(key), F.lit("calibrate")), F.lit(TRAIN_DOCS + CALIBRATE_DOCS)) < CALIBRATE_DOCS
     enough = F.col(lang).isin(*[k for k, v in n.items() if v >= LEAST_KEPT_OUT])
-    return learnable.where(u < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"), (kept_out & enough).alias("calibrate"))
+    half = F.pmod(F.xxhash64(F.col(key), F.lit("half")), F.lit(2)) + 1
+    part = F.when(~enough, half).when(kept_out, KEPT_OUT).otherwise(0).cast("int")
+    return learnable.where(u < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"), part.alias("part"))
 
 
 def train(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> Model:
@@ -219,45 +235,59 @@ def train(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str =
         return nothing
     rows = rows.persist()
     try:
-        letters = rows.where("not calibrate").select(F.explode(F.split(F.lower("text"), "")).alias("c")).groupBy("c").count().collect()
+        letters = rows.where(F.col("part") != KEPT_OUT).select(F.explode(F.split(F.lower("text"), "")).alias("c")).groupBy("c").count().collect()
         common = sorted((r for r in letters if len(r["c"]) == 1 and r["c"].isalpha()), key=lambda r: (-r["count"], r["c"]))
         alphabet = Alphabet.of([r["c"] for r in common])
 
         def count(batches):
             for batch in batches:
-                langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for x in sorted(set(langs)):
-                    keys, n = np.unique(alphabet.grams([t[i : i + PIECE] for t, y in zip(texts, langs) if y == x for i in range(0, len(t), PIECE)])[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
-
-        grams = rows.where("not calibrate").select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-        by_lang = grams.column("lang").to_numpy(zero_copy_only=False)
-        counts = {}
-        for x in sorted(set(by_lang)):
-            keys, n = (grams.column(c).to_numpy()[by_lang == x] for c in ("key", "n"))
-            order = np.argsort(keys)
-            if len(keys):
-                counts[x] = (keys[order].astype(np.uint32), n[order])
-        if not counts:
+                kinds = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+                texts = batch.column(1).to_pylist()
+                for x in sorted(set(kinds)):
+                    keys, n = np.unique(alphabet.grams([t[i : i + PIECE] for t, y in zip(texts, kinds) if y == x for i in range(0, len(t), PIECE)])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0]] * len(keys)), pa.array([x[1]] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "part", "key", "n"])
+
+        grams = rows.where(F.col("part") != KEPT_OUT).select("lang", "text", "part").mapInArrow(count, "lang string, part int, key long, n long").groupBy("lang", "part", "key").agg(F.sum("n").alias("n")).toArrow()
+        langs, parts, keys, n = (grams.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "part", "key", "n"))
+
+        def model_of(rows: np.ndarray) -> Model:
+            counts = {}
+            for x in sorted(set(langs[rows])):
+                own = rows & (langs == x)
+                kinds, at = np.unique(keys[own].view(np.uint64), return_inverse=True)
+                counts[x] = (kinds, np.bincount(at, n[own]).astype(np.int64))
+            return kneser_ney(alphabet, counts)
+
+        if not len(langs):
             return nothing
-        model = kneser_ney(alphabet, counts)
-        calibrate(model, rows)
+        model = model_of(parts == parts)
+        measured = {KEPT_OUT: model} | {h: model_of(parts != h) for h in (1, 2) if (parts == h).any() and (parts != h).any()}
+        calibrate(model, rows, measured)
         return model
     finally:
         rows.unpersist()
 
 
-def calibrate(model: Model, rows: DataFrame) -> None:
-    """Set each language's mean and the limit from documents kept out of the counts (all, if those are few)."""
+def calibrate(model: Model, rows: DataFrame, measured: dict[int, Model]) -> None:
+    """Set each language's mean and the limit from documents that the model which measures them has not counted: measured has
+    that model for each part. Only where there are none is the model held against what it has counted."""
 
-    def measure(batches):
-        for batch in batches:
-            h, n = model.entropies(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(h.argmin(axis=1).astype(np.int32)), batch.column(2), pa.array(h.min(axis=1)), pa.array(n)], ["best", "calibrate", "h", "n"])
-
-    found = rows.select("lang", "text", "calibrate").mapInArrow(measure, "best int, calibrate boolean, h double, n long").where("n > 0").toPandas()
-    if found.calibrate.sum() >= 30:
-        found = found[found.calibrate]
+    def measure(models: dict[int, Model]):
+        def run(batches):
+            for batch in batches:
+                langs, texts, parts = (batch.column(k).to_pylist() for k in range(3))
+                for part, by in models.items():
+                    own = [k for k, p in enumerate(parts) if p == part and langs[k] in by.languages]
+                    if own:
+                        h, n = by.entropies([texts[k] for k in own])
+                        best = [model.languages.index(by.languages[j]) for j in h.argmin(axis=1)]
+                        yield pa.RecordBatch.from_arrays([pa.array(best, pa.int32()), pa.array(h.min(axis=1)), pa.array(n)], ["best", "h", "n"])
+
+        return rows.select("lang", "text", "part").mapInArrow(run, "best int, h double, n long").where("n > 0").toPandas()
+
+    found = measure(measured)
+    if not len(found):
+        found = measure({part: model for part in (0, 1, 2)})
     h, n, best = found.h.to_numpy(float), found.n.to_numpy(float), found.best.to_numpy()
     every = (h * n).sum() / n.sum() if len(n) else np.inf
     model.mean = np.array([(h * n)[best == j].sum() / n[best == j].sum() if (best == j).any() else every for j in range(len(model.languages))])

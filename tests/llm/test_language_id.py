@@ -1,4 +1,8 @@
+import math
 import random
+from collections import Counter
+
+import numpy as np
 
 from tallyweave.llm import language_id as op
 from tests.llm.helpers import none, odd_documents
@@ -37,14 +41,67 @@ def test_batches_do_not_matter(spark):
 
 
 def test_probabilities_sum_to_one(spark):
-    import numpy as np
-
     model = op.train(corpus(spark))
-    context = np.uint32(1 << 16 | 2 << 8 | 3)
-    keys = (context << np.uint32(8)) + np.arange(256, dtype=np.uint32)
+    context = np.uint64(1 << 2 * op.BITS | 2 << op.BITS | 3)
+    symbols = np.append(np.arange(model.alphabet.size - 1, dtype=np.uint64), np.uint64(op.OTHER))
+    keys = (context << np.uint64(op.BITS)) + symbols
     assert np.allclose(np.exp2(model.log2(keys).astype(float)).sum(axis=0), 1, atol=1e-3)
 
 
+def brute_log2(texts, letters):
+    """Interpolated Kneser-Ney by its definition, with dictionaries: log2 of the probability of a symbol after three."""
+    counts = {op.ORDER: Counter()}
+    for t in texts:
+        ids = []
+        for c in t.lower() + "\n":  # a text ends in a gap
+            if c.isalpha():
+                ids.append(letters.index(c) + 1)
+            elif ids and ids[-1]:
+                ids.append(0)
+        ids = [None] * (op.ORDER - 1) + ids
+        counts[op.ORDER].update(tuple(0 if x is None else x for x in ids[k - op.ORDER + 1 : k + 1]) for k in range(op.ORDER - 1, len(ids)))
+    for o in range(op.ORDER - 1, 0, -1):
+        counts[o] = Counter(g[1:] for g in counts[o + 1])
+    def off(o):
+        ones, twos = (sum(n == k for n in counts[o].values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+    def p(g):
+        o, c = len(g), counts[len(g)]
+        if o == 1:
+            total = sum(c.values())
+            return max(c[g] - off(1), 0) / total + off(1) * len(c) / total / (len(letters) + 2)
+        after = {k: n for k, n in c.items() if k[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        return max(c[g] - off(o), 0) / sum(after.values()) + off(o) * len(after) / sum(after.values()) * p(g[1:])
+    return lambda g: math.log2(p(g))
+
+
+def test_against_kneser_ney_by_definition():
+    rng = random.Random(8)
+    letters = list("abcdé日本")
+    texts = ["".join(rng.choice("aab bcd,é日本 ") for _ in range(60)).strip() for _ in range(12)]
+    alphabet = op.Alphabet.of(letters)
+    keys, n = np.unique(alphabet.grams(texts)[0], return_counts=True)
+    model = op.kneser_ney(alphabet, {"x": (keys, n)})
+    expected = brute_log2(texts, letters)
+    for _ in range(500):
+        g = tuple(rng.randrange(len(letters) + 1) for _ in range(op.ORDER))
+        key = np.array([sum(x << op.BITS * (op.ORDER - 1 - k) for k, x in enumerate(g))], np.uint64)
+        assert math.isclose(model.log2(key)[0, 0], expected(g), abs_tol=1e-4), g
+
+
+def test_many_letters_and_small_languages(spark):
+    """Each of thousands of letters counts; a language of a few documents is measured by its halves."""
+    rng = random.Random(4)
+    hanzi, kana = [chr(0x4E00 + k) for k in range(3000)], [chr(0x3041 + k) for k in range(80)]
+    rows = [(k, "".join(rng.choice(hanzi if k % 2 else hanzi[:300] + kana * 20) for _ in range(200)), "zh" if k % 2 else "ja") for k in range(40)]
+    model = op.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.alphabet.letters > 2000 and np.isfinite(model.limit) and np.isfinite(model.mean).all()
+    lang, _, ok = model.decide([t for _, t, _ in rows])
+    assert lang == [x for *_, x in rows] and ok.all()
+
+
 def test_odd_rows_and_nothing_to_learn(spark):
     docs = odd_documents(spark)
     rows = op.predict(docs, op.train(docs)).collect()
