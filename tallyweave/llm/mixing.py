@@ -4,7 +4,9 @@ Documents start from base rates (1, or a column). The mix nearest to them in tok
 entropy that meets every source's token target tilts the rates exponentially: a document of source s is
 taken min(cap, base * exp(lambda_s)) times. The dual is convex; one row per source holds lambda, and each
 Newton iteration evaluates all sources at once over token sums per (source, base rate), which documents
-are reduced to beforehand. Rates are rounded into whole copies by systematic rounding: within a source,
+are reduced to beforehand. Targets on several columns (say source and language) overlap: a document's rate is tilted
+by the sum of its columns' lambdas, and `joint_tilts` solves them together, with the whole Hessian, over token sums
+per cell of the columns. Rates are rounded into whole copies by systematic rounding: within a source,
 documents stand by descending size and the running sum of the rates' fractions decides who gets one more.
 Large sources are cut into strips by a hash of the document, so no task orders a whole source; of a few
 starting points of the running sum the pair that comes nearest to the source's target is kept.
@@ -17,7 +19,11 @@ are kept by `mix` and ignored by the query.
 from __future__ import annotations
 
 import math
+import warnings
+from functools import reduce
+from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +37,8 @@ STRIP_ROWS = 50_000
 #: strip and for the others, each with each.
 STARTS, HEAD_ROWS = 32, 8
 TOLERANCE, MAX_ITERATIONS = 1e-12, 50
+#: Constraints that are solved jointly: the driver solves a system of as many unknowns.
+MOST_JOINT, JOINT_TOLERANCE = 2000, 1e-9
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -72,9 +80,85 @@ def tilts(groups: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
         state = state.drop("moved")
         if not most or most < TOLERANCE:
             break
+    else:
+        warnings.warn(f"the tilts of sources still move by {most:g} after {MAX_ITERATIONS} iterations", stacklevel=2)
     return state
 
 
+def joint_tilts(cells: DataFrame, columns: list[str], targets: DataFrame, cap: float = CAP) -> DataFrame:
+    """(column, value, target, tilt): the dual solution for targets on several columns. cells: (columns, base, tokens), one
+    row for each combination; targets: (column, value, target), value as text or null, for as many values as are
+    to be met. Each iteration sums the tilted tokens by constraint and by pair of constraints on the executors; only
+    these sums, for MOST_JOINT constraints at most, are on the driver, which takes the Newton step, halved while the dual
+    does not fall. Constraints that follow from others are no harm. Targets that contradict each other have no
+    solution: a warning names the gap that is left."""
+    spark = cells.sparkSession
+    rows = targets.select("column", F.col("value").cast("string").alias("value"), F.col("target").cast("double").alias("target")).distinct().limit(MOST_JOINT + 1).collect()
+    if len(rows) > MOST_JOINT:
+        raise ValueError(f"more than {MOST_JOINT} constraints")
+    number = {(r["column"], r["value"]): k for k, r in enumerate(sorted(rows, key=lambda r: (r["column"], r["value"] is None, r["value"] or "")))}
+    goal = np.zeros(len(number))
+    for r in rows:
+        goal[number[r["column"], r["value"]]] = r["target"]
+    names = spark.createDataFrame([(c, v, k) for (c, v), k in number.items()], "column string, value string, k int")
+    at = cells
+    for c in columns:
+        of = names.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("k").alias(f"_k_{c}"))
+        at = at.join(F.broadcast(of), F.col(c).cast("string").eqNullSafe(F.col("_v")), "left").drop("_v")
+    keys = F.array_compact(F.array(*[f"_k_{c}" for c in columns]))
+    at = materialize(at.select(keys.alias("keys"), "base", "tokens").groupBy("keys", "base").agg(F.sum("tokens").alias("tokens")), "cells")
+
+    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual, the tilted tokens by constraint, and their slopes by pair of constraints."""
+        tilts = F.array(*[F.lit(float(v)) for v in x])
+        s = F.aggregate("keys", F.lit(0.0), lambda a, k: a + F.get(tilts, k))
+        t = at.withColumn("s", s).withColumn("rate", F.col("base") * F.exp("s")).withColumn("edge", F.log(F.lit(float(cap)) / F.col("base")))
+        free = F.col("rate") < cap
+        potential = F.when(free, F.col("rate")).otherwise(cap * (1 + F.col("s") - F.col("edge")))
+        t = t.select("keys", (F.col("tokens") * potential).alias("p"), (F.col("tokens") * F.least("rate", F.lit(float(cap)))).alias("g"), F.when(free, F.col("tokens") * F.col("rate")).otherwise(0.0).alias("h"))
+        pairs = F.flatten(F.transform("keys", lambda i: F.transform("keys", lambda j: F.struct(i.alias("i"), j.alias("j")))))
+        sums = t.select("p", "g", "h", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))), pairs)).alias("ij")).groupBy("ij.i", "ij.j").agg(F.sum("p").alias("p"), F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+        gradient, hessian, dual = np.zeros(len(goal)), np.zeros((len(goal), len(goal))), 0.0
+        for r in sums:
+            if r["i"] < 0:
+                dual = r["p"]
+            else:
+                hessian[r["i"], r["j"]] = r["h"]
+                if r["i"] == r["j"]:
+                    gradient[r["i"]] = r["g"]
+        return dual - float(goal @ x), gradient, hessian
+
+    x, scale = np.zeros(len(goal)), max(1.0, float(np.abs(goal).max(initial=0.0)))
+    dual, value, slope = evaluate(x)
+    for _ in range(MAX_ITERATIONS):
+        gap = goal - value
+        if np.abs(gap).max(initial=0.0) <= JOINT_TOLERANCE * scale:
+            break
+        step = np.linalg.lstsq(slope + np.eye(len(goal)) * scale * 1e-12, gap, rcond=1e-10)[0]
+        step *= min(1.0, 2.0 / max(1e-300, float(np.abs(step).max())))
+        for _ in range(30):
+            lower, *rest = evaluate(x + step)
+            if lower <= dual + 1e-12 * abs(dual):
+                break
+            step /= 2
+        x, dual, (value, slope) = x + step, lower, rest
+    else:
+        warnings.warn(f"the tilted tokens are still {np.abs(goal - value).max():g} from their targets after {MAX_ITERATIONS} iterations", stacklevel=2)
+    return spark.createDataFrame([(c, v, float(goal[k]), float(x[k])) for (c, v), k in number.items()], "column string, value string, target double, tilt double")
+
+
+def joint_rates(rows: DataFrame, columns: list[str], targets: DataFrame, cap: float = CAP) -> DataFrame:
+    """rows (columns, size, base, ...) with `rate`, so that the tokens of each value in targets (column, value, target) sum to
+    its target. A value without a target is not tilted. At most MOST_JOINT rows are broadcast."""
+    cells = rows.where("size > 0").groupBy(*columns, "base").agg(F.sum("size").cast("double").alias("tokens"))
+    found = materialize(joint_tilts(cells, columns, targets, cap), "joint")
+    for c in columns:
+        of = found.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("tilt").alias(f"_tilt_{c}"))
+        rows = rows.join(F.broadcast(of), F.col(c).cast("string").eqNullSafe(F.col("_v")), "left").drop("_v")
+    tilt = reduce(add, [F.coalesce(f"_tilt_{c}", F.lit(0.0)) for c in columns])
+    return rows.withColumn("rate", F.least(F.col("base") * F.exp(tilt), F.lit(float(cap)))).drop(*[f"_tilt_{c}" for c in columns])
+
+
 def copies_for(rate: Column, before: Column, start: Column) -> Column:
     """Whole copies of a document whose strip has a running fraction of `before` ahead of it."""
     part = rate - F.floor(rate)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,37 @@ def test_base_rates_meet_targets(spark):
         assert r.mass == pytest.approx(r.t, rel=1e-6)
 
 
+def test_overlapping_targets_are_solved_jointly(spark):
+    """Targets by source and by language at once, against raking (scaling rows and columns in turn)."""
+    rng = random.Random(2)
+    sources, langs = ["a", "b", None, "c"], ["en", "de", None]
+    rows = [(k, rng.choice(sources), rng.choice(langs), rng.randint(1, 400)) for k in range(600)]
+    cells = {}
+    for _, s, x, n in rows:
+        cells[s, x] = cells.get((s, x), 0) + n
+    tilted = {c: n * (1.3 if c[0] == "a" else 0.7) * (1.2 if c[1] == "en" else 0.9) for c, n in cells.items()}
+    by_source = {s: sum(n for c, n in tilted.items() if c[0] == s) for s in sources}
+    by_lang = {x: sum(n for c, n in tilted.items() if c[1] == x) for x in langs}
+    raked = {c: float(n) for c, n in cells.items()}
+    for _ in range(500):
+        for place, goal in ((0, by_source), (1, by_lang)):
+            now = {v: sum(n for c, n in raked.items() if c[place] == v) for v in goal}
+            raked = {c: n * goal[c[place]] / now[c[place]] for c, n in raked.items()}
+    targets = spark.createDataFrame([("source", s, t) for s, t in by_source.items()] + [("lang", x, t) for x, t in by_lang.items()], "column string, value string, target double")
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, size long").withColumn("base", F.lit(1.0))
+    found = op.joint_rates(docs, ["source", "lang"], targets, cap=50).groupBy("source", "lang").agg(F.sum(F.col("rate") * F.col("size")).alias("mass")).collect()
+    assert {(r.source, r.lang) for r in found} == set(cells)
+    for r in found:
+        assert r.mass == pytest.approx(raked[r.source, r.lang], rel=1e-6)
+
+
+def test_targets_that_contradict_are_told(spark):
+    docs = spark.createDataFrame([(1, "a", "en", 10), (2, "b", "de", 10)], "doc_id long, source string, lang string, size long").withColumn("base", F.lit(1.0))
+    targets = spark.createDataFrame([("source", "a", 5.0), ("lang", "en", 15.0)], "column string, value string, target double")
+    with pytest.warns(UserWarning, match="from their targets"):
+        op.joint_rates(docs, ["source", "lang"], targets)
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     rows = op.mix_sizes(op.sized(docs), "doc_id").collect()
