@@ -16,8 +16,8 @@ Equal sets are one node (a 64-bit hash of the set). In each group of nodes with
 node that meets most others is compared with all of them, exactly; groups are first formed within a batch of a
 reader and only one node of each goes on to the shuffle of signatures, so no key brings more rows to a task
 than there are batches. Where these links leave more than one component, `across` finds the pairs across
-components that can still be linked, from how both differ from the node they were compared with; what they are
-seen to share mostly proves the link, and the others are compared too. Pairs within a component can't change it, and pairs in no common group can't be linked, so no
+components that can still be linked, from how both differ from the node they were compared with, and those are
+compared too. Pairs within a component can't change it, and pairs in no common group can't be linked, so no
 link between components is lost.
 
 Null and empty texts, and texts of white space, have an empty set: n_shingles 0, linked with nothing, their
@@ -43,7 +43,9 @@ from tallyweave.llm.shingles import by_text, mix
 #: Rows of a batch in which groups are formed.
 ROWS = 4000
 #: Elements that the first elements of two difference sets must share, where they must share as many at all.
-MATCHES = 16
+MATCHES = 4
+#: Words of 64 bits that say roughly which elements of its lead a node lacks.
+LACKS = 4
 #: Documents that set the order of features, about, and the size of the table of their frequencies.
 ORDER_SAMPLE, ORDER_SLOTS = 20_000, 1 << 20
 #: Bits of the filter on documents whose sets are needed again, for each of them, and in all: 128 MB, sent to all
@@ -314,14 +316,26 @@ def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccar
 
 
 def first_elements(need: Column) -> Column:
-    """The elements (kind, e) of a difference that are looked up, if `need` of its elements are to be in common: kind 0 of those
-    that only b has, kind 1 of those that only a has. What all of kind 1 can't make up must be in common in kind 0. Where that
-    is less than MATCHES, kind 0 is listed whole, and of kind 1 as many as find partners with less than MATCHES in kind 0."""
+    """The elements (kind, e, need) of a difference that are looked up, if `need` of its elements are to be in common: kind 0
+    of those that only b has, kind 1 of those that only a has. What kind 1 can't make up must be in common in kind 0."""
     more, less = F.size("more"), F.size("less")
-    beyond = need - less
+    beyond = F.greatest(F.lit(1), need - less)
     cut = lambda part, n: F.slice(part, 1, F.greatest(F.lit(0), F.least(F.size(part), n)).cast("int"))
-    listed = lambda part, kind, n: F.transform(cut(part, n), lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("e")))
-    return F.concat(listed("more", 0, more - F.greatest(F.lit(1), beyond) + MATCHES), listed("less", 1, F.when(beyond < MATCHES, less - need + 2 * MATCHES).otherwise(0)))
+    listed = lambda part, kind, n: F.transform(part, lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("e"), n.cast("int").alias("need")))
+    return F.concat(listed(cut("more", more - beyond + MATCHES), 0, beyond), listed(cut("less", F.when(need <= less, less - need + MATCHES).otherwise(0)), 1, need))
+
+
+def lacks(less: Column) -> Column:
+    """A bit for each element, in one of LACKS words."""
+    bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e.bitwiseAND(63).cast("int"))
+    word = lambda k: F.filter(less, lambda e: F.pmod(F.shiftright(e, 6), F.lit(LACKS)) == k)
+    return F.array(*[F.aggregate(word(k), F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(bit(e))) for k in range(LACKS)])
+
+
+def most_shared(size: Column, own: Column, other: Column) -> Column:
+    """How many of `size` elements another set can have too, at most: each bit that it hasn't stands for one that it lacks."""
+    gone = F.aggregate(F.zip_with(own, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, n: s + n)
+    return size - gone
 
 
 def compared(sets: DataFrame, pairs: DataFrame, rule: Jaccard, differences: bool = True) -> DataFrame:
@@ -339,13 +353,12 @@ def compared(sets: DataFrame, pairs: DataFrame, rule: Jaccard, differences: bool
     always = F.greatest(F.lit(1), F.col("n") - F.floor(p * F.col("nb") / rule.percent))
     least = F.greatest(F.lit(1), F.floor((F.col("n") * q + p * (F.col("na") - F.col("nb"))) / (2 * q)) + 1)
     least = F.when(F.col("linked"), least).otherwise(F.greatest(least, always))
-    lists = [first_elements(least).alias("short"), F.when(~F.col("linked"), first_elements(always)).alias("long")]
-    return both.select("a", "b", "linked", "n", "nb", F.size("less").alias("nl"), least.alias("need_short"), always.alias("need_long"), *lists)
+    own = [F.size("less").alias("nl"), lacks(F.col("less")).alias("lacks"), least.alias("need_short"), always.alias("need_long")]
+    return both.select("a", "b", "linked", "n", "nb", *own, first_elements(least).alias("short"), F.when(~F.col("linked"), first_elements(always)).alias("long"))
 
 
 def across(done: DataFrame, found: DataFrame, rule: Jaccard) -> DataFrame:
-    """Pairs (a, b) that may be linked, among nodes compared with one lead but in different components, and whether what they
-    are known to have in common proves that they are (`proven`), so that they need not be compared.
+    """Pairs that may be linked, among nodes compared with one lead but in different components.
 
     Let X and Y be where x and y differ from their lead b. Then x and y differ in |X| + |Y| - 2 |X & Y| features, so a link
     needs |X & Y| above a bound, and two sets with so great a part in common share MATCHES (or all, if fewer) of their first
@@ -357,31 +370,30 @@ def across(done: DataFrame, found: DataFrame, rule: Jaccard) -> DataFrame:
     c = lambda node, name: found.select(F.col("node").alias(node), F.col("component").alias(name))
     rows = done.join(c("b", "cb"), "b", "left").join(c("a", "ca"), "a", "left").withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a"))
     split = rows.where("ca <> cb").select("a").distinct()
-    rows = materialize(rows.join(split, "a", "left_semi").select("a", "b", "linked", "n", "nb", "nl", "cb", "need_short", "need_long", "short", "long"), "families")
+    rows = materialize(rows.join(split, "a", "left_semi").select("a", "b", "linked", "n", "nb", "nl", "lacks", "cb", "need_short", "need_long", "short", "long"), "families")
     # Sizes alone, of the sets and of what differs from the lead, rule out many.
     fits = f"cx <> cy and 100 * least(nx, ny) >= {rule.percent} * greatest(nx, ny) and {q} * abs(dx - dy) <= {p} * (nx + ny)"
 
     def first(of: str, part: str, node: str) -> DataFrame:
-        own = {"b": node, "cb": f"c{node}", "nb": f"n{node}", "n": f"d{node}", f"need_{part}": f"need_{node}"}
-        beyond = (F.col(f"need_{part}") - F.col("nl")).alias(f"beyond_{node}")
-        t = rows.where(of).select("a", F.explode(part).alias("e"), beyond, *[F.col(c).alias(name) for c, name in own.items()])
-        return t.select("a", "e.kind", "e.e", f"beyond_{node}", *own.values())
+        own = {"b": node, "cb": f"c{node}", "nb": f"n{node}", "n": f"d{node}", "nl": f"l{node}", "lacks": f"lacks_{node}", f"need_{part}": f"all_{node}"}
+        t = rows.where(of).select("a", F.explode(part).alias("e"), *[F.col(c).alias(name) for c, name in own.items()])
+        return t.select("a", "e.kind", "e.e", F.col("e.need").alias(f"need_{node}"), *own.values())
 
     def enough(both: DataFrame) -> DataFrame:
-        """Pairs with as many elements in common as their first ones must have. What these have in common also bounds how far the
-        two differ."""
-        of = [F.count_if(F.col("kind") == k).alias(f"n{k}") for k in (0, 1)]
-        most = {"need": F.greatest("need_x", "need_y"), "beyond": F.greatest("beyond_x", "beyond_y"), "apart": F.col("dx") + F.col("dy"), "sizes": F.col("nx") + F.col("ny")}
-        same = both.groupBy("a", "x", "y").agg(*of, *[F.first(c).alias(name) for name, c in most.items()])
-        either = (F.col("n0") >= MATCHES) | ((F.col("beyond") < MATCHES) & (F.col("n1") >= F.least(F.lit(MATCHES), F.col("need") - F.col("n0"))))
-        found = same.where(either)
-        proven = q * (F.col("apart") - 2 * (F.col("n0") + F.col("n1"))) <= p * F.col("sizes")
-        return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), proven.alias("proven"))
+        """Pairs with as many elements in common as their first ones must have. Where all that both have beyond their lead is
+        listed, these are exactly those in common, and with what both may lack they must make up the need."""
+        need = F.greatest("need_x", "need_y")
+        of = lambda k: (F.count_if(F.col("kind") == k).alias(f"n{k}"), F.max(F.when(F.col("kind") == k, need)).alias(f"need{k}"))
+        lacked = F.least(most_shared(F.col("lx"), F.col("lacks_x"), F.col("lacks_y")), most_shared(F.col("ly"), F.col("lacks_y"), F.col("lacks_x")))
+        more = {"lacked": lacked, "need": F.greatest("all_x", "all_y"), "beyond": F.greatest(F.col("all_x") - F.col("lx"), F.col("all_y") - F.col("ly"))}
+        same = both.groupBy("a", "x", "y").agg(*of(0), *of(1), *[F.first(c).alias(name) for name, c in more.items()])
+        found = same.where(" or ".join(f"n{k} >= least({MATCHES}, need{k})" for k in (0, 1))).where(f"beyond > {MATCHES} or n0 + lacked >= need")
+        return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     keys = ["a", "kind", "e"]
     apart = enough(first("not linked", "short", "x").join(first("not linked", "short", "y"), keys).where(f"x < y and {fits}"))
     mixed = enough(first("linked", "short", "x").join(first("not linked", "long", "y"), keys).where(fits))
-    rest = materialize(apart.unionByName(mixed).groupBy("a", "b").agg(F.max("proven").alias("proven")), "rest")
+    rest = materialize(apart.unionByName(mixed).distinct(), "rest")
     discard(rows)
     return rest
 
@@ -403,17 +415,11 @@ def similar(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "te
     discard(pairs)
     found = components(done.where("linked"))
     rest = across(done, found, rule)
-    linked = done.where("linked").select("a", "b").unionByName(rest.where("proven").select("a", "b"))
     if not rest.isEmpty():
-        discard(found)
-        found = components(linked)
-        # What is not proven is compared only where it still joins two components.
-        c = lambda node: found.select(F.col("node").alias(node), F.col("component").alias(f"c{node}"))
-        open_ = rest.where("not proven").join(c("a"), "a", "left").join(c("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        more = materialize(compared(sets, open_, rule, differences=False).where("linked").select("a", "b"), "more")
+        more = materialize(compared(sets, rest, rule, differences=False).where("linked").select("a", "b"), "more")
         if not more.isEmpty():
             discard(found)
-            found = components(linked.unionByName(more))
+            found = components(done.where("linked").select("a", "b").unionByName(more))
         discard(more)
     discard(rest, sets, done)
     return features, found
