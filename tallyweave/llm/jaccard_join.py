@@ -44,8 +44,6 @@ from tallyweave.llm.shingles import by_text, mix
 ROWS = 4000
 #: Elements that the first elements of two difference sets must share, where they must share as many at all.
 MATCHES = 4
-#: Words of 64 bits that say roughly which elements of its lead a node lacks.
-LACKS = 4
 #: Documents that set the order of features, about, and the size of the table of their frequencies.
 ORDER_SAMPLE, ORDER_SLOTS = 20_000, 1 << 20
 #: Bits of the filter on documents whose sets are needed again, for each of them, and in all: 128 MB, sent to all
@@ -326,16 +324,14 @@ def first_elements(need: Column) -> Column:
 
 
 def lacks(less: Column) -> Column:
-    """A bit for each element, in one of LACKS words."""
+    """64 bits that say roughly which elements of its lead a node lacks."""
     bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e.bitwiseAND(63).cast("int"))
-    word = lambda k: F.filter(less, lambda e: F.pmod(F.shiftright(e, 6), F.lit(LACKS)) == k)
-    return F.array(*[F.aggregate(word(k), F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(bit(e))) for k in range(LACKS)])
+    return F.aggregate(less, F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(bit(e)))
 
 
 def most_shared(size: Column, own: Column, other: Column) -> Column:
     """How many of `size` elements another set can have too, at most: each bit that it hasn't stands for one that it lacks."""
-    gone = F.aggregate(F.zip_with(own, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, n: s + n)
-    return size - gone
+    return size - F.bit_count(own.bitwiseAND(F.bitwise_not(other)))
 
 
 def compared(sets: DataFrame, pairs: DataFrame, rule: Jaccard, differences: bool = True) -> DataFrame:
