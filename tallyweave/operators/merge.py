@@ -52,12 +52,11 @@ def fold_name(s: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
 
 
-def look_up(rows: DataFrame, name: str, jobs: DataFrame, most: int = 200) -> DataFrame:
+def look_up(rows: DataFrame, name: str, jobs: DataFrame) -> DataFrame:
     """rows with the number of the newest saved job of that name; blank names find none. jobs: (name, number, saved_at), of
-    which the newest of each name count, and `most` of these: what is broadcast is bounded."""
-    newest = jobs.withColumn("k", fold_name(F.col("name"))).where("k <> ''").groupBy("k").agg(F.max_by("number", "saved_at").alias("number"), F.max("saved_at").alias("at"))
-    kept = newest.orderBy(F.desc("at"), "k").limit(most).select("k", "number")
-    return rows.withColumn("k", fold_name(F.col(name))).join(F.broadcast(kept), "k", "left").drop("k")
+    which the newest of each name count, however many names there are: an equality join that Spark broadcasts if it is small."""
+    newest = jobs.withColumn("k", fold_name(F.col("name"))).where("k <> ''").groupBy("k").agg(F.max_by("number", "saved_at").alias("number"))
+    return rows.withColumn("k", fold_name(F.col(name))).join(newest, "k", "left").drop("k")
 
 
 def corrections(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:

@@ -75,7 +75,7 @@ BRANDS = """brand AS (SELECT min(vec_id) AS vec_id, label FROM embeddings GROUP
 scored AS (SELECT e.vec_id, b.vec_id AS brand, floor(greatest(-1.0, least(1.0, list_dot_product(e.embedding::DOUBLE[], v.embedding::DOUBLE[]))) * 1e4 + 0.5) / 1e4 AS score
   FROM embeddings e, brand b JOIN embeddings v ON v.vec_id = b.vec_id WHERE e.vec_id NOT IN (SELECT vec_id FROM brand)),
 placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, brand) AS INTEGER) AS place FROM scored)"""
-RECEIPTS = """receipts AS (SELECT o_orderkey AS receipt, o_orderkey % 5 AS k, CAST(o_orderdate AS DATE) AS day, CAST(floor(o_totalprice / 100 * 100 + 0.5) AS BIGINT) AS c FROM orders WHERE year(o_orderdate) >= 2000)"""
+RECEIPTS = """receipts AS (SELECT o_orderkey AS receipt, o_orderkey % 5 AS k, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 YEAR AS DATE) AS day, CAST(floor(o_totalprice / 100 * 100 + 0.5) AS BIGINT) AS c FROM orders)"""
 
 
 def folded(alias: str) -> str:
@@ -85,7 +85,7 @@ def folded(alias: str) -> str:
 NAMES = [a for _, _, a, slogan in aliases() if not slogan]
 FOLDED = sorted({folded(a) for a in NAMES if len(a) >= 5 and len(folded(a)) >= 5})
 FOLD = "replace(translate(trim(regexp_replace(replace(replace(replace(replace(lower({x}), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), 'u', 'v'), '[^a-z0-9]+', ' ', 'g')), '0158', 'olsb'), ' ', '')"
-FUZZY = f"""WITH p AS (SELECT p_partkey, {listed(NAMES)}[p_partkey % {len(NAMES)} + 1] AS a FROM part WHERE p_partkey <= {2 * len(NAMES)}),
+FUZZY = f"""WITH p AS (SELECT p_partkey, {listed(NAMES)}[p_partkey % {len(NAMES)} + 1] AS a FROM part),
   line AS (SELECT p_partkey, upper(substr(a, 1, p_partkey % length(a)) || 'x' || substr(a, p_partkey % length(a) + 2)) AS line FROM p),
   w AS (SELECT *, string_split_regex(trim(line), '\\s+') AS w FROM line),
   part AS (SELECT p_partkey, unnest(list_filter([line, CASE WHEN length(w[1]) >= 4 THEN w[1] END, CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END], lambda x: x IS NOT NULL)) AS x FROM w),
@@ -124,7 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "exact_duplicates": q(FIRST.format(keys="batch_id, k", some="true"), "keyed AS (SELECT *, batch_id || '|' || coalesce(strftime(day, '%Y-%m'), '') AS k FROM expenses)"),
         "semantic_duplicates": q(FIRST.format(keys="k", some="true"), "keyed AS (SELECT *, concat_ws('|', lower(trim(coalesce(vendor, ''))), coalesce(strftime(day, '%Y-%m'), ''), amount_cents // 100000) AS k FROM expenses)"),
         "lww_merge": f"SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL OR b.updated_at > a.updated_at THEN b.name ELSE a.name END AS name, CASE WHEN a.id IS NULL OR b.updated_at > a.updated_at THEN b.updated_at ELSE a.updated_at END AS updated_at, coalesce(a.id IS NULL OR b.updated_at > a.updated_at, false) AS from_remote FROM ({MERGE_SIDE.format(k=0, m=7)}) a FULL JOIN ({MERGE_SIDE.format(k=1, m=11)}) b ON a.id = b.id",
-        "job_pair_lookup": "SELECT s_suppkey, CASE WHEN s_suppkey <= 150 THEN 'J-' || CAST(s_suppkey AS VARCHAR) END AS number FROM supplier",
+        "job_pair_lookup": "SELECT s_suppkey, 'J-' || CAST(s_suppkey AS VARCHAR) AS number FROM supplier",
         "blob_difference": "SELECT o_orderkey AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)",
         "correction_rows": q(f"SELECT id, c.field AS field, c.old AS old, c.new AS new FROM (SELECT id, unnest([{CHANGES}]) AS c FROM (SELECT id, trim(vendor) AS vendor, category FROM expenses)) WHERE c.old <> c.new"),
         "month_runs": """WITH m AS (SELECT DISTINCT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders),
@@ -136,7 +136,7 @@ def oracle_sql() -> dict[str, str]:
         "parse_amounts": "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 3 THEN -c ELSE c END AS cents FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS c FROM lineitem)",
         "currencies": "SELECT o_orderkey, ['GBP', 'EUR', 'MXN', 'USD', 'JPY', 'MXN', 'CHF'][o_orderkey % 7 + 1] AS currency FROM orders",
         "date_texts": """SELECT o_orderkey, CASE WHEN swap THEN make_date(year(d), day(d), month(d)) ELSE d END AS day, o_orderkey % 6 IN (1, 4) AND day(d) <= 12 AND day(d) <> month(d) AS ambiguous
-            FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, false AS swap FROM orders WHERE year(o_orderdate) >= 2000)""",
+            FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 YEAR AS DATE) AS d, false AS swap FROM orders)""",
         "text_folds": """WITH m AS (SELECT p_partkey, p_name || '-' || p_brand || '-CORNER vvall 0158 cLue' AS t FROM part),
             g AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(lower(t), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), 'u', 'v'), '[^a-z0-9]+', ' ', 'g')) AS glyph FROM m)
             SELECT p_partkey, translate(lower(t), '015', 'ols') AS label, glyph, replace(translate(glyph, '0158', 'olsb'), ' ', '') AS "full" FROM g""",
@@ -146,7 +146,7 @@ def oracle_sql() -> dict[str, str]:
         "brand_nearest": f"WITH {BRANDS} SELECT vec_id, brand, place, score FROM placed WHERE place = 1",
         "brand_topk": f"WITH {BRANDS} SELECT vec_id, place, score FROM placed WHERE place <= 3",
         "extract_roundtrip": f"""WITH {RECEIPTS} SELECT receipt, ['Shell', 'The Home Depot', 'Joe''s Diner', 'Marriott', 'Seaside Inn'][k + 1] AS vendor, day, c AS amount_cents, CAST(floor(c / 20.0::DOUBLE) AS BIGINT) AS tax_cents, 'USD' AS currency,
-            ['Fuel', 'Materials', 'Meals', 'Lodging', 'Lodging'][k + 1] AS category, false AS review, concat_ws(';', CASE WHEN c > 100000 THEN 'large_amount:info' END, CASE WHEN DATE '2002-01-01' - day > 120 THEN 'stale_date:info' END) AS flags FROM receipts""",
+            ['Fuel', 'Materials', 'Meals', 'Lodging', 'Lodging'][k + 1] AS category, false AS review, concat_ws(';', CASE WHEN c > 100000 THEN 'large_amount:info' END, CASE WHEN DATE '2012-01-01' - day > 120 THEN 'stale_date:info' END) AS flags FROM receipts""",
         "locate_amounts": f"WITH {RECEIPTS} SELECT receipt, 6 AS line_no FROM receipts",
         "scorecard": "SELECT 1.0::DOUBLE AS vendor, 1.0::DOUBLE AS amount, 1.0::DOUBLE AS day, 1.0::DOUBLE AS category, 1.0::DOUBLE AS overall",
         "vision_replies": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END AS vendor, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey * 100 + 50 END AS cents FROM orders",
