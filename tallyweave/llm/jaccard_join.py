@@ -28,6 +28,7 @@ the least id that is not null. An empty table gives no rows. Extra columns are d
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -36,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import discard, materialize, table
+from tallyweave.llm.common import discard, materialize, release, table
 from tallyweave.llm.graph import components
 from tallyweave.llm.shingles import by_text, mix
 
-#: Rows of a batch in which groups are formed.
-ROWS = 4000
+#: Rows of a batch in which groups are formed, and of those whose words are held at once.
+ROWS, TEXTS = 4000, 400
 #: Elements that the first elements of two difference sets must share, where they must share as many at all.
 MATCHES = 4
 #: Documents that set the order of features, about, and the size of the table of their frequencies.
@@ -154,13 +155,21 @@ def grouped(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sigs, nodes = sigs[order], nodes[order]
     own = first_of_runs(sigs) | first_of_runs(nodes)
     sigs, nodes = sigs[own], nodes[own]
-    group = np.cumsum(first_of_runs(sigs)) - 1
-    size = np.bincount(group)[group] if len(group) else group
-    kinds, at = np.unique(nodes, return_inverse=True)
-    met = np.bincount(at, size - 1)[at] if len(group) else size
-    order = np.lexsort((nodes, -met, sigs))
-    first = np.zeros(len(sigs), bool)
-    first[order[first_of_runs(sigs[order])]] = True
+    del order, own
+    heads = first_of_runs(sigs)
+    group = np.cumsum(heads, dtype=np.int32) - 1
+    size = np.bincount(group)[group].astype(np.int32) if len(group) else group
+    del group
+    kinds = np.unique(nodes)
+    at = np.searchsorted(kinds, nodes).astype(np.int32)
+    # Nodes in the order of their place, most met first: a node's rank is the same in all groups.
+    met = np.bincount(at, size - 1, minlength=len(kinds))
+    rank = np.empty(len(kinds), np.int32)
+    rank[np.lexsort((kinds, -met))] = np.arange(len(kinds), dtype=np.int32)
+    rank = rank[at]
+    del at
+    least = np.minimum.reduceat(rank, np.flatnonzero(heads)) if len(rank) else rank
+    first = rank == np.repeat(least, size[heads])
     return sigs, nodes, first, size > 1
 
 
@@ -168,6 +177,13 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def feature_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted features of each text, TEXTS at a time."""
+    for start in range(0, len(texts), TEXTS):
+        for _, s in by_text(texts.slice(start, TEXTS), k):
+            yield np.unique(s)
+
+
 def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
     """(key, n_shingles, node, sigs, shared, even, odd) of every row. sigs: signatures for which this row stands for all of its
     batch; shared: signatures that other nodes of the batch have too; even, odd: how many signatures with such a lowest bit
@@ -185,16 +201,17 @@ def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
                 n = batch.num_rows
                 sizes, nodes, needs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones((n, 2), np.int32)
                 every, owner, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
-                for k, (_, s) in enumerate(by_text(batch.column(1), rule.k)):
-                    if len(s):
-                        features = np.unique(s)
+                for k, features in enumerate(feature_sets(batch.column(1), rule.k)):
+                    if len(features):
                         sizes[k], nodes[k] = len(features), signed(node_of(features)[None])[0]
                         if nodes[k] not in place:
                             place[nodes[k]] = k
                             found, needs[k] = rule.signed_up(features)
                             every.append(signed(found))
                             owner.append(np.full(len(every[-1]), nodes[k]))
-                sigs, own, first, many = grouped(np.concatenate(every), np.concatenate(owner))
+                every, owner = np.concatenate(every), np.concatenate(owner)
+                sigs, own, first, many = grouped(every, owner)
+                del every, owner
                 row = np.fromiter(map(place.__getitem__, own.tolist()), np.int64, len(own))
                 order = np.argsort(row, kind="stable")
                 sigs, first, many, row = sigs[order], first[order], many[order], row[order]
@@ -202,6 +219,8 @@ def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
                     [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), lists(row[first], n, sigs[first]), lists(row[many], n, sigs[many]), pa.array(needs[:, 0]), pa.array(needs[:, 1])],
                     [key, "n_shingles", "node", "sigs", "shared", "even", "odd"],
                 )
+                del sigs, own, first, many, row, order
+                release()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, sigs array<long>, shared array<long>, even int, odd int")
 
@@ -261,8 +280,10 @@ def rarity(docs: DataFrame, rule: Jaccard, key: str, text: str) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            features = [np.unique(s) for _, s in by_text(batch.column(0), rule.k)]
-            n = np.bincount(slots(np.concatenate([np.zeros(0, np.uint64), *features])), minlength=ORDER_SLOTS)
+            n = np.zeros(ORDER_SLOTS, np.int64)
+            for features in feature_sets(batch.column(0), rule.k):
+                # Features are distinct, but slots may not be.
+                np.add.at(n, slots(features), 1)
             place = np.flatnonzero(n > 1)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n[place])], ["slot", "n"])
 
@@ -297,15 +318,16 @@ def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccar
                 at = batch.column(0).to_numpy()
                 texts = batch.column(1).filter(pa.array((filled[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)))
                 found = {}
-                for _, s in by_text(texts, rule.k):
-                    if len(s):
-                        features = np.unique(s)
+                for features in feature_sets(texts, rule.k):
+                    if len(features):
                         node = signed(node_of(features)[None])[0]
                         if node not in found:
                             found[node] = features[np.argsort(order[slots(features)], kind="stable")]
                 at = np.concatenate([[0], np.cumsum([len(f) for f in found.values()])]).astype(np.int32)
                 flat = signed(np.concatenate([np.zeros(0, np.uint64), *found.values()]))
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "features"])
+                del found, flat
+                release()
 
     again = docs.select(slot(F.col(key)).alias("slot"), text).mapInArrow(run, "node long, features array<long>")
     sets = materialize(again.join(needed.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("features").alias("features")), "sets")
