@@ -8,9 +8,11 @@ Signatures of empty pieces would be shared by strangers; with spare parts they a
 the few sets in which more parts than the spare ones have empty pieces.
 
 Linked sets mostly share far more than one signature: a set's size bounds how far any partner can differ from
-it, and so how many signatures they share at least, its need. So each set leaves out as many signatures less one as
-it needs, those with the most sets; of any `need` shared ones the rarest is left to both. Passages that many
-documents share make signatures with many sets, which are the ones that go.
+it, and each feature in which they differ spoils one piece, so they share all other pieces: its need. So each set leaves
+out as many signatures less one as it needs. About half of those, the greatest, are never sent: two sets that leave out
+the greatest of their own lose no more of those they share than the one that leaves out more. The other half are those
+with the most sets; of any that are shared the rarest is left to both. Passages that many documents share make
+signatures with many sets, which are the ones that go.
 
 Equal sets are one node (a 64-bit hash of the set). In each group of nodes with a common signature the
 node that meets most others is compared with all of them, exactly; groups are first formed within a batch of a
@@ -72,8 +74,8 @@ class Scheme:
         return cls(k // 2 + 1 + spare, 2, 1, spare)
 
     def signatures(self, features: np.ndarray, salt: int) -> tuple[np.ndarray, int]:
-        """Of one sorted set of uniform 64-bit features; the lowest bit is that of salt. Also in how many parts linked sets may
-        agree in nothing but empty pieces that are left out."""
+        """Of one sorted set of uniform 64-bit features; the lowest bit is that of salt. Also how many pieces linked sets may
+        agree in that give no signature to both, being empty."""
         pieces = self.n1 * self.n2
         piece = (features >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
         cuts = np.searchsorted(piece, np.arange(pieces + 1, dtype=np.uint64))
@@ -88,13 +90,13 @@ class Scheme:
         empty = count == 0
         parts = int(empty.any(axis=1).sum())
         if 0 < parts <= self.spare:
-            return found[~empty], parts
-        return found.ravel(), min(parts, self.spare)
+            return found[~empty], int(empty.sum())
+        return found.ravel(), self.n2 * min(parts, self.spare)
 
     def need(self, differ: int, lost: int) -> int:
-        """How many signatures two sets share at least that differ in `differ` features at most: one for each part in which they
-        differ in one at most. Where there is one part, one."""
-        return max(1, self.n1 - differ // 2 - lost) if self.n1 > 1 else 1
+        """How many signatures two sets share at least that differ in `differ` features at most: one for each piece, if pieces are
+        signatures. Where there is one part, one."""
+        return max(1, self.n1 * self.n2 - differ - lost) if self.n1 > 1 else 1
 
 
 @dataclass(frozen=True)
@@ -119,8 +121,9 @@ class Jaccard:
         return self.signed_up(features)[0]
 
     def signed_up(self, features: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """Signatures for the set's own band, and for the next where that can hold a partner; for even and for odd ones, how
-        many a linked set of that band shares at least. Links of sets of two bands are found in the upper."""
+        """Signatures for the set's own band, and for the next where that can hold a partner, less the greatest that it can spare;
+        for even and for odd ones, how many a linked set of that band still shares at least. Links of sets of two bands are
+        found in the upper."""
         starts, schemes = self.bands()
         size = len(features)
         t = int(np.searchsorted(starts, size, "right")) - 1
@@ -131,8 +134,9 @@ class Jaccard:
                 largest = 100 * size // self.percent
                 if band + 1 < len(starts):
                     largest = min(largest, starts[band + 1] - 1)
-                every.append(found)
-                needs[band & 1] = schemes[band].need((100 - self.percent) * (size + largest) // (100 + self.percent), lost)
+                need = schemes[band].need((100 - self.percent) * (size + largest) // (100 + self.percent), lost)
+                every.append(np.sort(found)[: len(found) - need // 2])
+                needs[band & 1] = need - need // 2
         return np.concatenate(every), needs
 
 
@@ -387,7 +391,7 @@ def across(done: DataFrame, found: DataFrame, rule: Jaccard) -> DataFrame:
     p, q = 100 - rule.percent, 100 + rule.percent
     c = lambda node, name: found.select(F.col("node").alias(node), F.col("component").alias(name))
     rows = done.join(c("b", "cb"), "b", "left").join(c("a", "ca"), "a", "left").withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a"))
-    split = rows.where("ca <> cb").select("a").distinct()
+    split = materialize(rows.where("ca <> cb").select("a").distinct(), "split")
     rows = materialize(rows.join(split, "a", "left_semi").select("a", "b", "linked", "n", "nb", "nl", "lacks", "cb", "need_short", "need_long", "short", "long"), "families")
     # Sizes alone, of the sets and of what differs from the lead, rule out many.
     fits = f"cx <> cy and 100 * least(nx, ny) >= {rule.percent} * greatest(nx, ny) and {q} * abs(dx - dy) <= {p} * (nx + ny)"
@@ -412,7 +416,7 @@ def across(done: DataFrame, found: DataFrame, rule: Jaccard) -> DataFrame:
     apart = enough(first("not linked", "short", "x").join(first("not linked", "short", "y"), keys).where(f"x < y and {fits}"))
     mixed = enough(first("linked", "short", "x").join(first("not linked", "long", "y"), keys).where(fits))
     rest = materialize(apart.unionByName(mixed).distinct(), "rest")
-    discard(rows)
+    discard(rows, split)
     return rest
 
 
