@@ -438,7 +438,9 @@ def similar(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "te
     found = components(done.where("linked"))
     rest = across(done, found, rule)
     if not rest.isEmpty():
-        more = materialize(compared(sets, rest, rule, differences=False).where("linked").select("a", "b"), "more")
+        ends = materialize(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        more = materialize(compared(sets.join(ends, "node", "left_semi"), rest, rule, differences=False).where("linked").select("a", "b"), "more")
+        discard(ends)
         if not more.isEmpty():
             discard(found)
             found = components(done.where("linked").select("a", "b").unionByName(more))
