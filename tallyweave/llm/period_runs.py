@@ -28,7 +28,7 @@ from tallyweave.llm.common import SPACE, release, table, word_count
 #: Least length of a run, in words.
 LEAST = 12
 #: Bytes of texts that are refined together.
-BATCH = 6 << 20
+BATCH = 12 << 20
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -84,17 +84,18 @@ class Refinement:
         return parts[np.append(whole[1:] == whole[:-1], False)] if len(parts) else parts
 
     def _moved_on(self, at: np.ndarray, to: np.ndarray) -> None:
-        """The next position of `at`'s class is another one from the next level on."""
+        """The next position of `at`'s class is another one from this level on."""
         gap = self.next[at] - at
-        found = (self.next[at] >= 0) & (self.since[at] <= gap) & (gap <= self.level)
+        found = (self.since[at] <= gap) & (gap < self.level)
         if found.any():
             self.squares.append((at[found], gap[found]))
         self.next[at] = to
-        self.since[at] = self.level + 1
+        self.since[at] = self.level
 
     def refine(self) -> bool:
         """Go on by a level; false if no class changes any more."""
-        split = self.member[_ranges(self.first[self.small], self.size[self.small])]
+        size = self.size[self.small]
+        split = self.member[self.first[self.small] if size.max(initial=0) == 1 else _ranges(self.first[self.small], size)]
         split = split[split > 0]
         at = split - 1
         fit = (self.text[at] == self.text[split]) & (self.size[self.of[at]] > 1)
@@ -104,6 +105,10 @@ class Refinement:
         old = self.of[at]
         order = np.lexsort((at, old))
         at, by, old = at[order], by[order], old[order]
+        self.level += 1
+        if (old[1:] != old[:-1]).all():
+            self._split_off(at, old)
+            return True
         # Classes that go as a whole to one part stay as they are.
         head = np.flatnonzero(_starts(old))
         count = np.diff(np.append(head, len(old)))
@@ -113,7 +118,6 @@ class Refinement:
             at, by, old = at[~stay], by[~stay], old[~stay]
             if not len(at):
                 self.small = self.small[:0]
-                self.level += 1
                 return False
             head = np.flatnonzero(_starts(old))
             count = np.diff(np.append(head, len(old)))
@@ -161,9 +165,28 @@ class Refinement:
         self.of[at] = np.repeat(number, part_size)
         some = rest > 0
         self.small = self._all_but_largest(np.concatenate([part_of, touched[some]]), np.concatenate([number, touched[some]]))
-        self.level += 1
         return True
 
+    def _split_off(self, at: np.ndarray, old: np.ndarray) -> None:
+        """Each position leaves its class of two or more alone, at most one from each: nearly all of the high levels."""
+        left, right = self.before[at], self.next[at]
+        changed, to = np.concatenate([left, at]), np.concatenate([right, np.full(len(at), -1)])
+        some = changed >= 0
+        changed, to = changed[some], to[some]
+        some = self.next[changed] != to
+        self._moved_on(changed[some], to[some])
+        self.before[right[right >= 0]] = left[right >= 0]
+        self.before[at] = -1
+        size = self.size[old] - 1
+        last, free = self.first[old] + size, self.slot[at]
+        out = self.member[last]
+        self.member[free], self.slot[out] = out, free
+        self.member[last], self.slot[at] = at, last
+        self.size[old] = size
+        self.small = np.arange(self.classes, self.classes + len(at))
+        self.classes += len(at)
+        self.first[self.small], self.size[self.small], self.of[at] = last, 1, self.small
+
 
 def find_runs(symbol: np.ndarray, text: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and period of all runs of `least` or more symbols, by start, then period."""
@@ -174,7 +197,8 @@ def find_runs(symbol: np.ndarray, text: np.ndarray, least: int = LEAST) -> tuple
     # A square of period q is known once level q has passed.
     while r.level <= most and r.refine():
         pass
-    rest = np.flatnonzero((r.next >= 0) & (r.since <= r.next - np.arange(len(symbol))) & (r.next - np.arange(len(symbol)) <= r.level))
+    gap = r.next - np.arange(len(symbol))
+    rest = np.flatnonzero((r.since <= gap) & (gap <= r.level))
     squares = [*r.squares, (rest, r.next[rest] - rest)]
     at, period = (np.concatenate([s[i] for s in squares]) for i in (0, 1))
     order = np.lexsort((at, period))

@@ -15,7 +15,7 @@ def test_oracle(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -24,4 +24,4 @@ def test_oracle(spark, name):
 
 
 def test_one_query_per_operator():
-    assert [n for n in range(1, 11) if any(q.startswith(f"op{n}_") for q in QUERIES)] == list(range(1, 11))
+    assert [n for n in range(1, 14) if any(q.startswith(f"op{n}_") for q in QUERIES)] == list(range(1, 14))
