@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import SPACE, release, table
 
 #: Rows that a task hands to DuckDB at once, bytes of text among them, and rows of a stretch.
-BLOCK, BLOCK_BYTES, STRETCH = 20_000, 16 << 20, 256
+BLOCK, BLOCK_BYTES, STRETCH = 20_000, 16 << 20, 64
 
 #: Grammar states: nothing yet, after a system row, after a user row, after an assistant row. All but 1 and 2 may end.
 STATES, ENDS = range(4), (0, 3)

@@ -38,9 +38,9 @@ LENGTH = 50
 #: Bytes of an anchor.
 SEED = 20
 #: Bytes of text that share one table of verdicts, and that one pass of numpy works on.
-BATCH, SLICE = 24 << 20, 1 << 17
+BATCH, SLICE = 8 << 20, 1 << 17
 #: Bytes of text for each bucket of anchors.
-PER_BUCKET = 32 << 20
+PER_BUCKET = 12 << 20
 #: Different pieces of an anchor that one task compares as pieces.
 CROWD = 4096
 
@@ -241,16 +241,17 @@ PIECES = "bucket int, sure int, doc binary, at binary, n binary, hash binary, ke
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Numbers as their differences, byte by byte, so that the many zeros lie together."""
-    return np.diff(x.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers byte by byte, so that their many zeros lie together."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def _from_planes(x: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+def _from_planes(x: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], buckets: int, length: int, seed: int) -> Iterator[pa.RecordBatch]:
     for held in _gathered(batches, "text", BATCH):
+        held = held.sort_by("doc_id").combine_chunks()
         ids = held.column("doc_id").to_numpy()
         found = []
         for data, parts in _slices(held.column("text").combine_chunks(), length):
@@ -280,8 +281,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], buckets: int, length: int, seed:
             if len(part):
                 gone = int(sure[part].sum())
                 key = p["anchor"][part[: len(part) - gone]].astype("<u4")
-                row = {"doc": p["doc"][part], "n": p["n"][part], "hash": p["hash"][part], "key": key}
-                rows.append({"bucket": b, "sure": gone, "at": _planes(p["at"][part])} | {k: v.tobytes() for k, v in row.items()})
+                row = {"n": p["n"][part], "hash": p["hash"][part], "key": key}
+                doc = np.diff(p["doc"][part], prepend=0)
+                rows.append({"bucket": b, "sure": gone, "doc": _planes(doc), "at": _planes(p["at"][part])} | {k: v.tobytes() for k, v in row.items()})
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("sure", pa.int32()), *[(c, pa.binary()) for c in ("doc", "at", "n", "hash", "key")]]))
     release()
 
@@ -293,16 +295,16 @@ _VERDICTS = pa.schema([("doc_id", pa.int64()), ("verdicts", pa.binary())])
 def _settled(group: pa.Table) -> pa.Table:
     parts, done = [], []
     bucket = group.column("bucket")[0].as_py()
-    for gone, doc, at, n, hashes, key in zip(*(group.column(c).to_pylist() for c in ("sure", "doc", "at", "n", "hash", "key"))):
-        p = {"doc": np.frombuffer(doc, "<i8"), "at": _from_planes(at), "n": np.frombuffer(n, "u1"), "hash": np.frombuffer(hashes, "<u8")}
+    for row in range(len(group)):
+        gone, doc, at, n, hashes, key = (group.column(c)[row].as_py() for c in ("sure", "doc", "at", "n", "hash", "key"))
+        p = {"doc": np.cumsum(_from_planes(doc, "<i8")), "at": _from_planes(at, "<u4"), "n": np.frombuffer(n, "u1"), "hash": np.frombuffer(hashes, "<u8")}
         known = len(p["doc"]) - gone
         r = np.zeros(gone, VERDICT)
         for k in ("at", "n", "hash"):
             r[k] = p[k][known:]
         done.append((p["doc"][known:], r))
         parts.append({k: v[:known] for k, v in p.items()} | {"key": np.frombuffer(key, "<u4")})
-    p = {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
-    del parts
+    p = {k: np.concatenate([x.pop(k) for x in parts]) for k in list(parts[0])}
     both = p["key"].astype(np.uint64) << np.uint64(32) | p["hash"] >> np.uint64(32)
     order = np.argsort(both)
     if ((np.diff(both[order]) == 0) & (np.diff(p["hash"][order]) != 0)).any():
