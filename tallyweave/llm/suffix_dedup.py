@@ -203,7 +203,8 @@ def cut(data: np.ndarray, bounds: np.ndarray, length: int, seed: int) -> dict[st
     at = np.flatnonzero(new & inside)
     ends = np.flatnonzero(new | ~inside)
     n = np.append(ends, strings)[np.searchsorted(ends, at, side="right")] - at
-    return {"text": text[at], "at": at - bounds[text[at]], "n": n, "anchor": anchors[where[at]], "hash": piece_hash(hashes, at, n, length)}
+    # Least hashes are small numbers: spread them again.
+    return {"text": text[at], "at": at - bounds[text[at]], "n": n, "anchor": _mixed(~anchors[where[at]]), "hash": piece_hash(hashes, at, n, length)}
 
 
 def piece_hash(hashes: PrefixHashes, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
