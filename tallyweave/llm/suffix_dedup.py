@@ -17,7 +17,7 @@ is cut into pieces, runs of strings with one anchor, and only pieces with the sa
 
 Defined results: a null text is empty; texts shorter than `length` stay whole; rows with a null doc_id stay whole and are no
 source, as nothing is smaller than null or greater; rows that repeat a doc_id are judged alone, never by one another; an empty
-table gives no rows; further columns are ignored. Pieces count as equal by 96 bits of hash; strings that differ in bytes are never merged in step 4.
+table gives no rows; further columns are ignored. Pieces count as equal by 88 bits of hash; strings that differ in bytes are never merged in step 4.
 """
 
 from __future__ import annotations
@@ -41,15 +41,16 @@ SEED = 20
 BATCH, SLICE = 8 << 20, 1 << 17
 #: Bytes of text for each bucket of anchors.
 PER_BUCKET = 12 << 20
-#: Different pieces of an anchor that one task compares as pieces.
-CROWD = 4096
+#: Different pieces of an anchor that one task compares as pieces; beyond, about as many single strings of theirs go to each shard.
+CROWD, STRINGS = 1024, 16
 
 _BASE = 0x9E3779B97F4A7C15
 _UNDO = np.uint64(pow(_BASE, -1, 1 << 64))
 #: A random odd number for each byte value.
 _CODE = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A verdict: strings at..at+n-1 of the document go (share 0) or are to be compared under `key` (share > 0).
-VERDICT = np.dtype([("at", "<u4"), ("n", "u1"), ("hash", "<u8"), ("key", "<u8"), ("share", "<u4")])
+#: Verdicts: strings at..at+n-1 of the document go, if they have this hash, or are to be compared under `key` in that many shards.
+GO = np.dtype([("at", "<u4"), ("n", "u1"), ("hash", "u1", 6)])
+COMPARE = np.dtype([*GO.descr, ("key", "<u8"), ("share", "<u4")])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -211,13 +212,19 @@ def piece_hash(hashes: PrefixHashes, at: np.ndarray, n: np.ndarray, length: int)
     return _mixed(hashes(at, n + length - 1) ^ (n.astype(np.uint64) * np.uint64(_BASE)))
 
 
-def _verdicts(doc: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Records of each document together."""
-    order = np.argsort(doc, kind="stable")
-    doc, records = doc[order], records[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-    last = np.append(first[1:], len(doc))
-    return doc[first], [records[a:b].tobytes() for a, b in zip(first, last)]
+def _verdicts(doc: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    """A row for each record."""
+    ends = pa.py_buffer(np.arange(len(doc) + 1, dtype=np.int32) * records.itemsize)
+    told = pa.Array.from_buffers(pa.binary(), len(doc), [None, ends, pa.py_buffer(np.ascontiguousarray(records).tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), told], schema=_VERDICTS)
+
+
+def _records(parts: list[bytes] | None, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(p for p in parts or [] if len(p) == kind.itemsize), kind)
+
+
+def _bytes_of(hashes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :6]
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.Table]:
@@ -265,6 +272,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], buckets: int, length: int, seed:
         if not found:
             continue
         p = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+        p["hash"] &= np.uint64((1 << 56) - 1)
         same = p["anchor"] ^ p["hash"] * np.uint64(_BASE)
         order = np.argsort(same)
         new = np.concatenate([[True], np.diff(same[order]) != 0])
@@ -282,15 +290,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], buckets: int, length: int, seed:
             if len(part):
                 gone = int(sure[part].sum())
                 key = p["anchor"][part[: len(part) - gone]].astype("<u4")
-                row = {"n": p["n"][part], "hash": p["hash"][part], "key": key}
+                row = {"n": p["n"][part], "key": key}
                 doc = np.diff(p["doc"][part], prepend=0)
-                rows.append({"bucket": b, "sure": gone, "doc": _planes(doc), "at": _planes(p["at"][part])} | {k: v.tobytes() for k, v in row.items()})
+                rows.append({"bucket": b, "sure": gone, "doc": _planes(doc), "at": _planes(p["at"][part]), "hash": _planes(p["hash"][part])[: 7 * len(part)]} | {k: v.tobytes() for k, v in row.items()})
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("sure", pa.int32()), *[(c, pa.binary()) for c in ("doc", "at", "n", "hash", "key")]]))
     release()
 
 
-VERDICTS = "doc_id long, verdicts binary"
-_VERDICTS = pa.schema([("doc_id", pa.int64()), ("verdicts", pa.binary())])
+VERDICTS = "doc_id long, verdict binary"
+_VERDICTS = pa.schema([("doc_id", pa.int64()), ("verdict", pa.binary())])
 
 
 def _settled(group: pa.Table) -> pa.Table:
@@ -298,11 +306,10 @@ def _settled(group: pa.Table) -> pa.Table:
     bucket = group.column("bucket")[0].as_py()
     for row in range(len(group)):
         gone, doc, at, n, hashes, key = (group.column(c)[row].as_py() for c in ("sure", "doc", "at", "n", "hash", "key"))
-        p = {"doc": np.cumsum(_from_planes(doc, "<i8")), "at": _from_planes(at, "<u4"), "n": np.frombuffer(n, "u1"), "hash": np.frombuffer(hashes, "<u8")}
+        p = {"doc": np.cumsum(_from_planes(doc, "<i8")), "at": _from_planes(at, "<u4"), "n": np.frombuffer(n, "u1"), "hash": _from_planes(hashes + bytes(len(n)), "<u8")}
         known = len(p["doc"]) - gone
-        r = np.zeros(gone, VERDICT)
-        for k in ("at", "n", "hash"):
-            r[k] = p[k][known:]
+        r = np.zeros(gone, GO)
+        r["at"], r["n"], r["hash"] = p["at"][known:], p["n"][known:], _bytes_of(p["hash"][known:])
         done.append((p["doc"][known:], r))
         parts.append({k: v[:known] for k, v in p.items()} | {"key": np.frombuffer(key, "<u4")})
     p = {k: np.concatenate([x.pop(k) for x in parts]) for k in list(parts[0])}
@@ -319,27 +326,27 @@ def _settled(group: pa.Table) -> pa.Table:
         several = np.minimum.reduceat(p["doc"], start) != np.maximum.reduceat(p["doc"], start)
         kinds = np.add.reduceat(piece.astype(np.int64), start)
         gone = p["doc"] > np.minimum.reduceat(p["doc"], np.flatnonzero(piece))[np.cumsum(piece) - 1]
-        tell = gone | (several & (kinds > 1))[which]
-        r = np.zeros(int(tell.sum()), VERDICT)
-        for k in ("at", "n", "hash"):
-            r[k] = p[k][tell]
-        r["key"] = np.where(gone[tell], 0, p["key"][tell].astype(np.uint64) | np.uint64(bucket) << np.uint64(32))
-        r["share"] = np.where(gone[tell], 0, -(-kinds // CROWD)[which[tell]])
-        done.append((p["doc"][tell], r))
-    doc, verdicts = _verdicts(np.concatenate([d for d, _ in done]), np.concatenate([r for _, r in done]))
+        compare = (several & (kinds > 1))[which] & ~gone
+        for tell, kind in ((gone, GO), (compare, COMPARE)):
+            r = np.zeros(int(tell.sum()), kind)
+            r["at"], r["n"], r["hash"] = p["at"][tell], p["n"][tell], _bytes_of(p["hash"][tell])
+            if kind is COMPARE:
+                r["key"] = p["key"][tell].astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
+                r["share"] = np.where(kinds > CROWD, -(-kinds * STRINGS // CROWD), 1)[which[tell]]
+            done.append((p["doc"][tell], r))
     release()
-    return pa.table([doc, pa.array(verdicts, pa.binary())], schema=_VERDICTS)
+    return pa.Table.from_batches([_verdicts(d, r) for d, r in done])
 
 
 def _own(data: np.ndarray, records: np.ndarray, hashes: PrefixHashes, length: int) -> np.ndarray:
     """Records that hold for this text: those whose bytes have the hash that was judged."""
     fits = records["at"].astype(np.int64) + records["n"] + length - 1 <= len(data)
     r = records[fits]
-    return r[piece_hash(hashes, r["at"].astype(np.int64), r["n"].astype(np.int64), length) == r["hash"]]
+    return r[(_bytes_of(piece_hash(hashes, r["at"].astype(np.int64), r["n"].astype(np.int64), length)) == r["hash"]).all(1)]
 
 
-CONTENTS = "key long, shard int, doc_id long, at long, content binary, verdicts binary"
-_CONTENTS = pa.schema([("key", pa.int64()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("verdicts", pa.binary())])
+CONTENTS = "key long, shard int, doc_id long, at long, content binary, verdict binary"
+_CONTENTS = pa.schema([("key", pa.int64()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("verdict", pa.binary())])
 
 
 def _contents(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -347,8 +354,7 @@ def _contents(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         rows: list[dict] = []
         single: dict[tuple, list] = {}
         for doc, text, parts in zip(*(held.column(c).to_pylist() for c in ("doc_id", "text", "verdicts"))):
-            records = np.frombuffer(b"".join(parts), VERDICT)
-            records = records[records["share"] > 0]
+            records = _records(parts, COMPARE)
             raw = (text or "").encode()
             if not len(records) or len(raw) < length:
                 continue
@@ -356,7 +362,7 @@ def _contents(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             hashes = PrefixHashes(data)
             for at, n, _, key, share in _own(data, records, hashes, length).tolist():
                 if share == 1:
-                    rows.append({"key": key, "shard": 0, "doc_id": doc, "at": at, "content": raw[at : at + n + length - 1], "verdicts": None})
+                    rows.append({"key": key, "shard": 0, "doc_id": doc, "at": at, "content": raw[at : at + n + length - 1], "verdict": None})
                     continue
                 for i, h in enumerate(hashes(np.arange(at, at + n), length).tolist()):
                     one = raw[at + i : at + i + length]
@@ -364,13 +370,12 @@ def _contents(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         for (key, one), found in single.items():
             least = min(found)[0]
             gone = [(d, at) for d, at, _ in found if d > least]
-            rows += [{"key": key, "shard": s, "doc_id": d, "at": at, "content": one, "verdicts": None} for d, at, s in found if d == least]
+            rows += [{"key": key, "shard": s, "doc_id": d, "at": at, "content": one, "verdict": None} for d, at, s in found if d == least]
             if gone:
-                r = np.zeros(len(gone), VERDICT)
+                r = np.zeros(len(gone), GO)
                 r["at"], r["n"] = [at for _, at in gone], 1
-                r["hash"] = piece_hash(PrefixHashes(np.frombuffer(one, np.uint8)), np.zeros(1, np.int64), np.ones(1, np.int64), length)
-                for d, v in zip(*_verdicts(np.array([d for d, _ in gone]), r)):
-                    rows.append({"key": int(d), "shard": -1, "doc_id": int(d), "at": None, "content": None, "verdicts": v})
+                r["hash"] = _bytes_of(piece_hash(PrefixHashes(np.frombuffer(one, np.uint8)), np.zeros(1, np.int64), np.ones(1, np.int64), length))
+                rows += [{"key": d, "shard": -1, "doc_id": d, "at": None, "content": None, "verdict": v.tobytes()} for (d, _), v in zip(gone, r)]
         for i in range(0, len(rows), 20_000):
             yield pa.RecordBatch.from_pylist(rows[i : i + 20_000], _CONTENTS)
     release()
@@ -381,9 +386,9 @@ def _compared(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iter
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
-        told = batch.filter(pc.is_valid(batch.column("verdicts")))
+        told = batch.filter(pc.is_valid(batch.column("verdict")))
         if len(told):
-            yield pa.RecordBatch.from_arrays([told.column("doc_id"), told.column("verdicts")], schema=_VERDICTS)
+            yield pa.RecordBatch.from_arrays([told.column("doc_id"), told.column("verdict")], schema=_VERDICTS)
         batch = batch.filter(pc.is_valid(batch.column("content")))
         if not len(batch):
             continue
@@ -426,12 +431,11 @@ def _compared_block(rows: pa.Table, length: int, seed: int) -> Iterator[pa.Recor
     first[1:] &= ~(gone[:-1] & (row[1:] == row[:-1]))
     begin = np.flatnonzero(first)
     if len(begin):
-        r = np.zeros(len(begin), VERDICT)
+        r = np.zeros(len(begin), GO)
         r["n"] = np.add.reduceat(gone.astype(np.int64), begin)
         r["at"] = rows.column("at").to_numpy()[row[begin]] + inner[begin]
-        r["hash"] = piece_hash(hashes, at[begin], r["n"].astype(np.int64), length)
-        ids, verdicts = _verdicts(doc[begin], r)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(verdicts, pa.binary())], schema=_VERDICTS)
+        r["hash"] = _bytes_of(piece_hash(hashes, at[begin], r["n"].astype(np.int64), length))
+        yield _verdicts(doc[begin], r)
 
 
 def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -442,10 +446,8 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             raw = (text or "").encode()
             runs: list[tuple[int, int]] = []
             if parts and len(raw) >= length:
-                records = np.frombuffer(b"".join(parts), VERDICT)
-                records = records[records["share"] == 0]
                 data = np.frombuffer(raw, np.uint8)
-                r = _own(data, records, PrefixHashes(data), length)
+                r = _own(data, _records(parts, GO), PrefixHashes(data), length)
                 change = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(change, r["at"].astype(np.int64), 1)
                 np.add.at(change, r["at"].astype(np.int64) + r["n"] + length - 1, -1)
@@ -482,7 +484,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
 
 
 def _by_doc(verdicts: DataFrame) -> DataFrame:
-    return verdicts.groupBy("doc_id").agg(F.collect_list("verdicts").alias("verdicts"))
+    return verdicts.groupBy("doc_id").agg(F.collect_list("verdict").alias("verdicts"))
 
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
