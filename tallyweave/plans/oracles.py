@@ -96,8 +96,27 @@ FUZZY = f"""WITH p AS (SELECT p_partkey, {listed(NAMES)}[p_partkey % {len(NAMES)
   QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY d, l DESC) = 1"""
 
 
+KNOWN = [(k, n, c, a) for k, (n, c, a, slogan) in enumerate(aliases()) if len(a) >= 5 and not slogan]
+KNOWN_ROWS = ", ".join(f"({k}, {text(n)}, {text(c)}, {text(folded(a))})" for k, n, c, a in KNOWN if len(folded(a)) >= 5)
+#: The whole table of the longest common subsequence, a row for each letter of c.
+LCS = """list_last(list_reduce([list_transform(range(length(f) + 1), lambda z: 0::BIGINT)] || list_transform(string_split(c, ''), lambda z: [ord(z)::BIGINT]),
+    lambda prior, letter: list_reduce([[0::BIGINT]] || list_transform(range(1, length(f) + 1), lambda j: [CASE WHEN ord(f[j]) = letter[1] THEN prior[j] + 1 ELSE prior[j + 1] END]), lambda row, v: row || [greatest(list_last(row), v[1])])))"""
+FUZZY_NAMES = f"""WITH known(place, name, category, f) AS (VALUES {KNOWN_ROWS}),
+  p AS (SELECT p_partkey, {listed(a for _, _, a, _ in aliases())}[p_partkey % {N_ALIASES} + 1] AS a, p_partkey // {N_ALIASES} % 4 AS kind FROM part),
+  m AS (SELECT *, p_partkey % length(a) + 1 AS pos FROM p),
+  s AS (SELECT p_partkey, substr(a, 1, pos - 1) || CASE kind WHEN 0 THEN '' WHEN 1 THEN a[pos] || a[pos] WHEN 2 THEN 'z' ELSE a[pos] || 'q' END || substr(a, pos + 1) AS shown FROM m),
+  v AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN shown || ' no ' || p_partkey ELSE upper(shown) END AS vendor FROM s),
+  c AS (SELECT p_partkey, {FOLD.format(x="vendor")} AS c FROM v WHERE length(trim(vendor)) <= 40 AND len(string_split_regex(trim(vendor), '\\s+')) <= 6),
+  r AS (SELECT *, 2 * {LCS} / (length(c) + length(f))::DOUBLE AS r FROM c JOIN known ON length(c) >= 5 AND abs(length(c) - length(f)) <= 3)
+  SELECT p_partkey, name, category, CAST(floor(r * 1e6::DOUBLE + 0.5) AS BIGINT) AS ratio, r >= 0.93 AS renamed FROM r WHERE r >= 0.88 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY r DESC, length(f) DESC, place) = 1"""
+LOGOS = """SELECT e.vec_id, b.vec_id AS brand, floor(greatest(-1.0, least(1.0, list_dot_product(e.embedding::DOUBLE[], b.embedding::DOUBLE[]))) * 1e4 + 0.5) / 1e4 AS score, score >= 0.78 AS accepted
+  FROM embeddings e JOIN embeddings b ON e.vec_id % 2 = 1 AND b.vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY score DESC, b.vec_id) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "fuzzy_names": FUZZY_NAMES,
+        "logo_matches": LOGOS,
         "fuzzy_header": FUZZY,
         "upload_ranges": "SELECT o_orderkey, a AS start, least(a + step, size) - 1 AS stop FROM (SELECT o_orderkey, size, step, unnest(generate_series(0, size - 1, step)) AS a FROM (SELECT o_orderkey, (o_orderkey + 1) * 10007 AS size, CASE WHEN (o_orderkey + 1) * 10007 <= 4194304 THEN (o_orderkey + 1) * 10007 ELSE 5242880 END AS step FROM orders))",
         "spend_by_category": q(f"SELECT category, count(*) AS n, {units('sum(amount_cents)')} AS total, {PLACE} AS place FROM reported GROUP BY category"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, money, text
-from tallyweave.operators import extract, identity, kernels, merge, report
+from tallyweave.operators import extract, identity, kernels, merge, report, similar
 from tallyweave.sources.adapters import expenses, exportable, table
 from tallyweave.sources.dims import CATEGORIES, aliases
 from tallyweave.streaming import jobs
@@ -193,13 +193,39 @@ def fuzzy_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brand_nearest(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
     brands, queries = identity.brands_and_queries(table(spark, sf_dir, "embeddings"))
-    return identity.nearest_brands(queries, brands, k)
+    return similar.nearest(queries, brands, k)
 
 
 def brand_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_nearest(spark, sf_dir, 3).select("vec_id", "place", "score")
 
 
+def logo_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each second embedding's nearest among the others, and whether it is near enough to be taken for it."""
+    e = table(spark, sf_dir, "embeddings")
+    brands = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("brand"), F.col("embedding").alias("v"))
+    found = similar.nearest(e.where("vec_id % 2 = 1"), brands, 1)
+    return found.select("vec_id", "brand", "score", (F.col("score") >= identity.ACCEPT).alias("accepted"))
+
+
+def misread_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as receipts whose vendor is an alias misread: a letter lost, doubled, changed or added, in half of them after other words."""
+    names = F.array(*[F.lit(a) for _, _, a, _ in aliases()])
+    p = table(spark, sf_dir, "part")
+    alias = F.element_at(names, (F.col("p_partkey") % len(aliases()) + 1).cast("int"))
+    at = (F.col("p_partkey") % F.length(alias) + 1).cast("int")
+    before, letter, after = F.substring(alias, F.lit(1), at - 1), F.substring(alias, at, F.lit(1)), F.substring(alias, at + 1, F.length(alias))
+    middle = F.element_at(F.array(F.lit(""), F.concat(letter, letter), F.lit("z"), F.concat(letter, F.lit("q"))), (F.floor(F.col("p_partkey") / len(aliases())) % 4 + 1).cast("int"))
+    shown = F.concat(before, middle, after)
+    return p.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.concat(shown, F.lit(" no "), F.col("p_partkey").cast("string"))).otherwise(F.upper(shown)).alias("vendor"))
+
+
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendors adopted from misread names, and whether their ratio is enough to rename them."""
+    found = similar.fuzzy_names(misread_names(spark, sf_dir), "p_partkey", "vendor", similar.known_names(spark)).where(F.col("ratio") >= similar.ADOPT)
+    return found.select("p_partkey", "name", "category", F.floor(F.col("ratio") * 1e6 + 0.5).alias("ratio"), (F.col("ratio") >= similar.RENAME).alias("renamed"))
+
+
 def lcs_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", identity.similarity_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
@@ -321,6 +347,8 @@ QUERIES = {
     "fuzzy_header": fuzzy_header,
     "brand_nearest": brand_nearest,
     "brand_topk": brand_topk,
+    "logo_matches": logo_matches,
+    "fuzzy_names": fuzzy_names,
     "lcs_ratios": lcs_ratios,
     "extract_roundtrip": extract_roundtrip,
     "locate_amounts": locate_amounts,
