@@ -96,7 +96,7 @@ def with_faults(rows: DataFrame) -> DataFrame:
     """Rows sorted by conversation and turn, each with its first fault, whether its turn is new, and whether its role may not follow the
     one before. Rows marked `dropped` come last in their conversation and count for nothing."""
     same = Window.partitionBy("conv_id", "dropped", "role", "text").orderBy(F.col("turn").asc_nulls_first())
-    before = Window.partitionBy("conv_id", "dropped").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before = Window.partitionBy("conv_id", "dropped").orderBy(F.col("turn").asc_nulls_first(), "role", "text", "nth")
     rows = rows.repartition("conv_id").withColumn("nth", F.row_number().over(same))
 
     def initial(role: Column) -> Column:
@@ -109,8 +109,9 @@ def with_faults(rows: DataFrame) -> DataFrame:
     last = F.lag("role").over(before)
     illegal = last.isNotNull() & ~F.concat(initial(last), initial(F.col("role"))).isin("su", "ua", "au")
     new_turn = F.col("turn").isNotNull() & ~F.col("turn").eqNullSafe(F.lag("turn").over(before))
-    found = rows.select("conv_id", "turn", "role", "text", "dropped", fault.alias("fault"), (illegal & ~F.col("dropped")).alias("illegal"), (new_turn & ~F.col("dropped")).alias("new_turn"))
-    return found.sortWithinPartitions("conv_id", "dropped", F.col("turn").asc_nulls_first(), "role", "text")
+    found = rows.select("conv_id", "turn", "role", "text", "dropped", fault.alias("fault"), "nth", (illegal & ~F.col("dropped")).alias("illegal"), (new_turn & ~F.col("dropped")).alias("new_turn"))
+    # Of equal rows the first is no duplicate.
+    return found.sortWithinPartitions("conv_id", "dropped", F.col("turn").asc_nulls_first(), "role", "text", "nth")
 
 
 REPAIRED = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
