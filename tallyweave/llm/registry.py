@@ -78,7 +78,8 @@ OP11_SQL = r"""WITH RECURSIVE
 
 #: Every string of 50 bytes of every document, in hexadecimal.
 OP13_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-  w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, LATERAL (SELECT unnest(range(len(h) // 2 - 49)) AS i)),
+  part AS (SELECT doc_id, b, substr(h, 2 * b + 1, 298) AS p FROM d, LATERAL (SELECT unnest(range(0, len(h) // 2 - 49, 100)) AS b)),
+  w AS (SELECT doc_id, b + i AS i, substr(p, 2 * i + 1, 100) AS s FROM part, LATERAL (SELECT unnest(range(least(100, len(p) // 2 - 49))) AS i)),
   gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
   runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(CASE WHEN i - last <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
     FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM gone)) GROUP BY doc_id, run),
