@@ -67,6 +67,17 @@ def corrections(before: DataFrame, after: DataFrame, key: str = "id") -> DataFra
     return both.select(key, F.explode(changes).alias("c")).select(key, "c.*").where("old <> new")
 
 
+def fold_edit(left: list[tuple], e: tuple) -> None:
+    """Add an edit (seq, receipt, field, old, new) to the entries left."""
+    seq, *place, old, new = e
+    if not left or None in (*place, old) or (*left[-1][1:3], left[-1][4]) != (*place, old):
+        left.append(e)
+        return
+    first = left.pop()[3]
+    if first is None or first != new:
+        left.append((seq, *place, first, new))
+
+
 def folded_log(log: DataFrame, user: str = "user", most: int = 2000) -> DataFrame:
     """The edit log of each user with runs of edits of one field made one, and edits taken back left out. An edit is only ever
     compared with the last entry left. Rows are (user, seq, receipt, field, old, new); only the latest `most` entries
@@ -74,15 +85,6 @@ def folded_log(log: DataFrame, user: str = "user", most: int = 2000) -> DataFram
     entry = [F.col("seq").cast("long").alias("seq"), F.col("receipt").cast("string").alias("receipt"), "field", "old", "new"]
     rows = log.select(user, *entry).repartition(user).sortWithinPartitions(user, "seq", "receipt", "field", "old", "new")
 
-    def add(left: list[tuple], e: tuple) -> None:
-        seq, *place, old, new = e
-        if not left or None in (*place, old) or (*left[-1][1:3], left[-1][4]) != (*place, old):
-            left.append(e)
-            return
-        first = left.pop()[3]
-        if first is None or first != new:
-            left.append((seq, *place, first, new))
-
     def run(batches):
         who, left, out, schema = None, [], [], None
         for batch in batches:
@@ -94,7 +96,7 @@ def folded_log(log: DataFrame, user: str = "user", most: int = 2000) -> DataFram
                     if len(out) >= ROWS:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                         out = []
-                add(left, tuple(e))
+                fold_edit(left, tuple(e))
         out += [(who, *x) for x in left[-most:]]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, money, text
-from tallyweave.operators import extract, identity, kernels, merge, report, similar
+from tallyweave.operators import extract, identity, images, kernels, merge, report, similar
 from tallyweave.sources.adapters import expenses, exportable, table
 from tallyweave.sources.dims import CATEGORIES, aliases
-from tallyweave.streaming import jobs
+from tallyweave.sources.scratch import scratch
+from tallyweave.streaming import jobs, state
 
 #: Orders' dates are printed as many months later, so that all lie in the years that dates are read in, before AS_OF.
 LATER, AS_OF = 120, "2012-01-01"
@@ -97,12 +98,40 @@ def correction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.corrections(before, after)
 
 
-def correction_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edits_of(e: DataFrame) -> DataFrame:
     """The log of edits made of events: each user's purchases and errors as edits of two receipts."""
-    e = table(spark, sf_dir, "events")
     old, new = (F.col("event_id") % 3).cast("string"), ((F.col("event_id") + 1) % 3).cast("string")
-    log = e.select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), (F.col("event_id") % 2).cast("string").alias("receipt"), F.col("event_type").alias("field"), old.alias("old"), new.alias("new"))
-    return merge.folded_log(log)
+    return e.select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), (F.col("event_id") % 2).cast("string").alias("receipt"), F.col("event_type").alias("field"), old.alias("old"), new.alias("new"))
+
+
+def correction_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.folded_log(edits_of(table(spark, sf_dir, "events")))
+
+
+def stream_correction_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log folded as a stream with its state in the checkpoint."""
+    out = scratch(spark, "folded")
+    log = edits_of(jobs.read_events(spark, f"{sf_dir}/events.parquet"))
+    state.write_versions(state.stream_folded_log(log), out, scratch(spark, "fold"))
+    return state.newest_log(spark, out)
+
+
+def queue_arrivals(e: DataFrame) -> DataFrame:
+    """Events as jobs of their user's queue: errors fail, every seventh worker is lost, the value tells how long a job takes."""
+    fate = F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 7 == 0, "lost").otherwise("done")
+    takes = F.floor(F.col("value") * 60_000).cast("long") + 1
+    return e.select(F.col("user_id").alias("queue"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("job"), takes.alias("takes"), fate.alias("fate"))
+
+
+def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of every event's job, from a stream. A last row without a job, long after all others, moves the watermark past their ends."""
+    arrivals = queue_arrivals(table(spark, sf_dir, "events"))
+    folder = scratch(spark, "arrivals")
+    arrivals.write.parquet(f"{folder}/jobs")
+    last = arrivals.agg(F.max("at").alias("at")).select(F.lit(None).cast("long").alias("queue"), (F.col("at") + F.expr("interval 3650 days")).alias("at"), F.lit(None).cast("long").alias("job"), F.lit(None).cast("long").alias("takes"), F.lit(None).cast("string").alias("fate"))
+    last.write.parquet(f"{folder}/last")
+    stream = spark.readStream.schema(arrivals.schema).option("recursiveFileLookup", "true").parquet(folder)
+    return state.finished_jobs(spark, stream)
 
 
 def month_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,6 +323,30 @@ def chart_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", money.short_label(F.col("amount_cents")).alias("short"), money.money_text(F.col("amount_cents")).alias("full"), text.sheet_name(F.col("category")).alias("sheet"))
 
 
+def pixel_maps(spark: SparkSession, sf_dir: str, scale: float, shift: float) -> DataFrame:
+    """Each embedding as a map of 8 by 8 pixels."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double") * scale + shift))).alias("pixels"), F.lit(8).alias("width"))
+
+
+def text_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of connected probable pixels, with scores to six places."""
+    found = images.text_regions(pixel_maps(spark, sf_dir, 3.0, 0.55), "vec_id", "pixels", "width")
+    return found.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5))
+
+
+def content_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borders, content boxes and crops of embeddings as gray maps of 16 by 16, every pixel four times, in a frame that is dark by vec_id."""
+    e = table(spark, sf_dir, "embeddings")
+    gray = lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double") * 2 + 0.5)) * 255)
+    at = lambda i: F.element_at("embedding", (F.floor(i / 32) * 8 + F.floor(i % 16 / 2) + 1).cast("int"))
+    edge = lambda i: ((i % 16 == 0) & (F.col("vec_id") % 3 == 0)) | ((F.floor(i / 16) == 15) & (F.col("vec_id") % 4 == 0))
+    blank = lambda i: (i % 16 > F.col("vec_id") % 12 + 4) & (F.col("vec_id") % 2 == 0)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.when(edge(i), 0.0).when(blank(i), 255.0).otherwise(gray(at(i))))
+    found = images.cropped(e.select("vec_id", pixels.alias("pixels"), F.lit(16).alias("width")), "vec_id", "pixels", "width")
+    return found.select("vec_id", "left", "top", "right", "bottom", "x", "y", "w", "h", *[F.floor(F.col(f"crop_{c}") * 1e4 + 0.5).alias(f"crop_{c}") for c in "xywh"])
+
+
 def upload_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") + 1) * 10_007).alias("size"))
     return o.select("o_orderkey", F.inline(kernels.upload_ranges(F.col("size"))))
@@ -357,7 +410,11 @@ QUERIES = {
     "vendor_table": vendor_table,
     "content_digests": content_digests,
     "upload_ranges": upload_ranges,
+    "text_regions": text_regions,
+    "content_crops": content_crops,
     "stream_job_states": job_states,
     "stream_seen_receipts": seen_receipts,
     "stream_lww": stream_lww,
+    "stream_correction_fold": stream_correction_fold,
+    "work_queue": work_queue,
 }
