@@ -113,8 +113,55 @@ LOGOS = """SELECT e.vec_id, b.vec_id AS brand, floor(greatest(-1.0, least(1.0, l
   FROM embeddings e JOIN embeddings b ON e.vec_id % 2 = 1 AND b.vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY score DESC, b.vec_id) = 1"""
 
 
+#: Every pixel reaches every pixel of its region; the least names it.
+REGIONS = """WITH RECURSIVE px AS (SELECT vec_id, i, greatest(0.0::DOUBLE, least(1.0::DOUBLE, embedding[i + 1]::DOUBLE * 3.0::DOUBLE + 0.55::DOUBLE)) AS p FROM embeddings, range(64) t(i)),
+  lit AS (SELECT * FROM px WHERE p > 0.3::DOUBLE),
+  reach AS (SELECT vec_id, i, i AS root FROM lit UNION SELECT r.vec_id, o.i, r.root FROM reach r JOIN lit o ON o.vec_id = r.vec_id AND ((o.i // 8 = r.i // 8 AND abs(o.i - r.i) = 1) OR abs(o.i - r.i) = 8)),
+  named AS (SELECT vec_id, i, min(root) AS root FROM reach GROUP BY vec_id, i),
+  box AS (SELECT vec_id, root, min(i % 8) AS a, min(i // 8) AS b, max(i % 8) AS c, max(i // 8) AS d, avg(p) AS score FROM named JOIN lit USING (vec_id, i) GROUP BY vec_id, root),
+  good AS (SELECT *, CAST(floor((c - a + 1) * 0.3::DOUBLE + 0.5) AS INTEGER) AS px, CAST(floor((d - b + 1) * 0.3::DOUBLE + 0.5) AS INTEGER) AS py FROM box WHERE c - a >= 2 AND d - b >= 2 AND score >= 0.5)
+  SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY root) - 1 AS INTEGER) AS box, CAST(greatest(0, a - px) AS INTEGER) AS x0, CAST(greatest(0, b - py) AS INTEGER) AS y0, CAST(least(7, c + px) AS INTEGER) AS x1, CAST(least(7, d + py) AS INTEGER) AS y1,
+    CAST(floor(score * 1e6::DOUBLE + 0.5) AS BIGINT) AS score FROM good"""
+CROPS = """WITH g AS (SELECT vec_id, i, i % 16 AS x, i // 16 AS y, CASE WHEN (i % 16 = 0 AND vec_id % 3 = 0) OR (i // 16 = 15 AND vec_id % 4 = 0) THEN 0.0 WHEN i % 16 > vec_id % 12 + 4 AND vec_id % 2 = 0 THEN 255.0
+      ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, embedding[i // 32 * 8 + i % 16 // 2 + 1]::DOUBLE * 2 + 0.5::DOUBLE)) * 255) END::DOUBLE AS v FROM embeddings, range(256) t(i)),
+  l AS (SELECT vec_id, list(v ORDER BY i) AS v FROM g GROUP BY vec_id),
+  e AS (SELECT vec_id, x, y, CASE WHEN x BETWEEN 1 AND 14 AND y BETWEEN 1 AND 14 THEN abs(l.v[i + 2] - l.v[i]) + abs(l.v[i + 17] - l.v[i - 15]) ELSE 0 END AS e FROM g JOIN l USING (vec_id)),
+  r AS (SELECT vec_id, y, sum(e) AS s, max(sum(e)) OVER (PARTITION BY vec_id) AS m FROM e GROUP BY vec_id, y), c AS (SELECT vec_id, x, sum(e) AS s, max(sum(e)) OVER (PARTITION BY vec_id) AS m FROM e GROUP BY vec_id, x),
+  rows_ AS (SELECT vec_id, min(y) AS y0, max(y) AS y1 FROM r WHERE s >= m * 0.06::DOUBLE GROUP BY vec_id), columns_ AS (SELECT vec_id, min(x) AS x0, max(x) AS x1 FROM c WHERE s >= m * 0.06::DOUBLE GROUP BY vec_id),
+  d AS (SELECT vec_id, CAST(count(*) FILTER (x = 0 AND v < 80) >= 0.3 * 16 AS INTEGER) AS "left", CAST(count(*) FILTER (y = 0 AND v < 80) >= 0.3 * 16 AS INTEGER) AS top, CAST(count(*) FILTER (x = 15 AND v < 80) >= 0.3 * 16 AS INTEGER) AS "right", CAST(count(*) FILTER (y = 15 AND v < 80) >= 0.3 * 16 AS INTEGER) AS bottom FROM g GROUP BY vec_id),
+  b AS (SELECT *, greatest(x0, "left") AS cx, greatest(y0, top) AS cy, greatest(1, least(x1 + 1, 16 - "right") - greatest(x0, "left")) AS cw, greatest(1, least(y1 + 1, 16 - bottom) - greatest(y0, top)) AS ch FROM d JOIN rows_ USING (vec_id) JOIN columns_ USING (vec_id)),
+  k AS (SELECT *, cw * ch > 0.45 * 256 AND cw > 6.4 AND ch > 6.4 AS good FROM b)
+  SELECT vec_id, "left", top, "right", bottom, CAST(x0 AS INTEGER) AS x, CAST(y0 AS INTEGER) AS y, CAST(x1 - x0 + 1 AS INTEGER) AS w, CAST(y1 - y0 + 1 AS INTEGER) AS h,
+    CAST(floor(CASE WHEN good THEN greatest(0, cx - cw * 0.02::DOUBLE) ELSE "left" END * 1e4::DOUBLE + 0.5) AS BIGINT) AS crop_x, CAST(floor(CASE WHEN good THEN greatest(0, cy - ch * 0.02::DOUBLE) ELSE top END * 1e4::DOUBLE + 0.5) AS BIGINT) AS crop_y,
+    CAST(floor(CASE WHEN good THEN least(16, cw * 1.04::DOUBLE) ELSE 16 - "left" - "right" END * 1e4::DOUBLE + 0.5) AS BIGINT) AS crop_w, CAST(floor(CASE WHEN good THEN least(16, ch * 1.04::DOUBLE) ELSE 16 - top - bottom END * 1e4::DOUBLE + 0.5) AS BIGINT) AS crop_h FROM k"""
+
+
+LOCATED = f"""WITH r AS (SELECT o_orderkey AS receipt, o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 YEAR AS DATE) AS day, CAST(floor(o_totalprice / 100 * 100 + 0.5) AS BIGINT) AS c FROM orders),
+  t AS (SELECT *, CAST(floor(c / 20.0::DOUBLE) AS BIGINT) AS tax, ['thank you for the visit', 'store copy', 'please come again'][:k % 4] AS filler, CASE WHEN k % 3 = 0 THEN ['visa'] ELSE [] END AS paid FROM r),
+  l AS (SELECT receipt, unnest(range(len(names))) AS line_no, unnest(names) AS name, unnest(cents) AS cents, unnest(days) AS day FROM (
+    SELECT receipt, filler || paid || [['shell 0042', 'home depot 4', 'joe''s diner', 'marriott downtown', 'at the seaside inn'][k % 5 + 1], 'date', 'subtotal', 'tax', 'total'] AS names,
+      list_transform(filler, lambda x: NULL::BIGINT) || list_transform(paid, lambda x: c) || [NULL, NULL, c - tax, tax, c] AS cents,
+      list_transform(filler || paid, lambda x: NULL::DATE) || [NULL, day, NULL, NULL, NULL] AS days FROM t)),
+  w AS (SELECT receipt, c * 10 + [0, 4, -5, 5, 9, -6][k % 6 + 1] AS mils, ['shell oil', 'the home depot', 'joe''s diner', 'marriott', 'seaside inn'][k % 5 + 1] AS vendor, CASE WHEN k % 7 = 0 THEN day + 1 ELSE day END AS day FROM r),
+  met AS (SELECT receipt, 'amount' AS kind, CASE WHEN name = 'visa' THEN 1 ELSE 0 END AS rank, line_no FROM l JOIN w USING (receipt) WHERE mils > 0 AND abs(10 * cents - mils) <= 5
+    UNION ALL SELECT receipt, 'vendor', p, line_no FROM l JOIN (SELECT receipt, p, CASE p WHEN 0 THEN vendor ELSE split_part(vendor, ' ', 1) END AS probe FROM w, range(2) x(p)) USING (receipt) WHERE contains(name, probe)
+    UNION ALL SELECT receipt, 'date', 0, line_no FROM l JOIN w USING (receipt, day))
+  SELECT receipt, kind, CAST(arg_min(line_no, (rank, line_no)) AS INTEGER) AS line_no FROM met GROUP BY receipt, kind"""
+#: The log of a user as one list; the lists left after each edit.
+FOLDED_LOG = """SELECT "user", e.seq AS seq, e.receipt AS receipt, e.field AS field, e.old AS old, e.new AS new FROM (SELECT "user", unnest(list_reduce(es, lambda s, e:
+    CASE WHEN len(s) = 0 OR list_last(s).receipt <> e[1].receipt OR list_last(s).field <> e[1].field OR list_last(s).new <> e[1].old THEN s || e
+      WHEN list_last(s).old = e[1].new THEN s[:len(s) - 1] ELSE s[:len(s) - 1] || [{'seq': e[1].seq, 'receipt': e[1].receipt, 'field': e[1].field, 'old': list_last(s).old, 'new': e[1].new}] END)[-2000:]) AS e
+  FROM (SELECT user_id AS "user", list([{'seq': event_id, 'receipt': CAST(event_id % 2 AS VARCHAR), 'field': event_type, 'old': CAST(event_id % 3 AS VARCHAR), 'new': CAST((event_id + 1) % 3 AS VARCHAR)}] ORDER BY event_id) AS es FROM events GROUP BY user_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "locate_values": LOCATED,
+        "correction_fold": FOLDED_LOG,
+        "stream_correction_fold": FOLDED_LOG,
+        "lcs_ratios": f"SELECT p_partkey, 2.0::DOUBLE * {LCS} / (length(c) + length(f)) AS ratio FROM (SELECT p_partkey, p_name AS c, p_type AS f FROM part)",
+        "text_regions": REGIONS,
+        "content_crops": CROPS,
         "fuzzy_names": FUZZY_NAMES,
         "logo_matches": LOGOS,
         "fuzzy_header": FUZZY,

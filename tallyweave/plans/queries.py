@@ -286,6 +286,23 @@ def locate_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.located(lines, wanted)
 
 
+def locate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts, vendors and days looked for in receipts whose lines shift by order: payments before totals, amounts some mils off, names that are
+    printed in part, three date styles, days that are on no line."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    pick = lambda xs, k=5: F.element_at(F.array(*[F.lit(x) for x in xs]), (key % k + 1).cast("int"))
+    total, day = money.cents(F.col("o_totalprice") / 100), F.add_months("o_orderdate", LATER)
+    tax = F.floor(total / 20).cast("long")
+    printed = F.element_at(F.array(F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "MMM d, yyyy"), F.date_format(day, "d MMM yyyy")), (key % 3 + 1).cast("int"))
+    filler = F.slice(F.array(F.lit("Thank you for the visit"), F.lit("Store copy"), F.lit("Please come again")), F.lit(1), (key % 4).cast("int"))
+    paid = F.when(key % 3 == 0, F.array(F.concat(F.lit("VISA "), money.fixed_text(total)))).otherwise(F.array())
+    rest = F.array(pick(["SHELL 0042", "HOME DEPOT 4", "Joe's Diner", "MARRIOTT DOWNTOWN", "At the Seaside Inn"]), printed, F.concat(F.lit("Subtotal "), money.fixed_text(total - tax)), F.concat(F.lit("Tax "), money.fixed_text(tax)), F.concat(F.lit("Total "), money.fixed_text(total)))
+    lines = o.select(key.alias("receipt"), F.posexplode(F.concat(filler, paid, rest)).alias("line_no", "text"))
+    off = F.element_at(F.array(*[F.lit(x) for x in (0, 4, -5, 5, 9, -6)]), (key % 6 + 1).cast("int"))
+    wanted = o.select(key.alias("receipt"), (total * 10 + off).alias("mils"), pick(["Shell Oil", "The Home Depot", "joe's diner ", "Marriott", "Seaside Inn"]).alias("vendor"), F.when(key % 7 == 0, F.date_add(day, 1)).otherwise(day).alias("day"))
+    return extract.located_values(lines, wanted)
+
+
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract.extract(receipt_lines(spark, sf_dir), AS_OF)
     o = table(spark, sf_dir, "orders")
@@ -405,6 +422,7 @@ QUERIES = {
     "lcs_ratios": lcs_ratios,
     "extract_roundtrip": extract_roundtrip,
     "locate_amounts": locate_amounts,
+    "locate_values": locate_values,
     "scorecard": scorecard,
     "vision_replies": vision_replies,
     "vendor_table": vendor_table,

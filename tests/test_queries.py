@@ -41,7 +41,7 @@ def test_oracle(spark, duck, name):
     assert normal(tuple(r) for r in df.select(*cols).collect()) == normal(expected)
 
 
-@pytest.mark.parametrize("name", ["correction_fold", "lcs_ratios"])
+@pytest.mark.parametrize("name", ["work_queue"])
 def test_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
