@@ -154,8 +154,18 @@ FOLDED_LOG = """SELECT "user", e.seq AS seq, e.receipt AS receipt, e.field AS fi
   FROM (SELECT user_id AS "user", list([{'seq': event_id, 'receipt': CAST(event_id % 2 AS VARCHAR), 'field': event_type, 'old': CAST(event_id % 3 AS VARCHAR), 'new': CAST((event_id + 1) % 3 AS VARCHAR)}] ORDER BY event_id) AS es FROM events GROUP BY user_id))"""
 
 
+VISION = """WITH o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice / 100 * 100 + 0.5) AS BIGINT) AS c, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 YEAR AS DATE) AS d FROM orders WHERE o_orderkey % 11 > 1),
+  f AS (SELECT k, ['Shell', 'Corner Bakery', NULL, 'Zxq', 'Chevron 12'][k % 5 + 1] AS vendor, CASE WHEN k % 3 = 0 THEN d END AS day, CASE WHEN k % 6 IN (0, 1, 4) AND c <= 100000000 THEN c ELSE 0 END AS amount_cents, [125, 250][k % 2 + 1]::BIGINT AS tax_cents,
+    CASE WHEN k % 2 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN k % 4 > 0 AND k % 3 = 0 THEN 'Meals' ELSE ['Fuel', 'Meals', NULL, NULL, 'Fuel'][k % 5 + 1] END AS found FROM o),
+  g AS (SELECT *, list_filter([CASE WHEN amount_cents <= 0 THEN 'no_amount:error' END, CASE WHEN day IS NULL THEN 'no_date:warn' END, CASE WHEN vendor IS NULL THEN 'no_vendor:warn' END, CASE WHEN found IS NULL THEN 'uncategorized:info' END,
+    CASE WHEN amount_cents > 100000 THEN 'large_amount:info' END, CASE WHEN day > DATE '2012-01-02' THEN 'future_date:warn' END, CASE WHEN DATE '2012-01-01' - day > 120 THEN 'stale_date:info' END], lambda x: x IS NOT NULL) AS flags FROM f),
+  n AS (SELECT *, round(greatest(0, 0.92::DOUBLE - (CASE WHEN amount_cents <= 0 THEN 0.6::DOUBLE ELSE 0 END + CASE WHEN day IS NULL THEN 0.22::DOUBLE ELSE 0 END + CASE WHEN vendor IS NULL THEN 0.22::DOUBLE ELSE 0 END + CASE WHEN day > DATE '2012-01-02' THEN 0.07::DOUBLE ELSE 0 END)), 9) AS confidence FROM g)
+  SELECT k AS o_orderkey, vendor, day, amount_cents, tax_cents, currency, coalesce(found, 'Other') AS category, confidence, array_to_string(CASE WHEN confidence < 0.8 THEN flags || ['low_confidence:info'] ELSE flags END, ';') AS flags, confidence < 0.8 OR amount_cents <= 0 AS review FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "vision_fields": VISION,
         "locate_values": LOCATED,
         "correction_fold": FOLDED_LOG,
         "stream_correction_fold": FOLDED_LOG,

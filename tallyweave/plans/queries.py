@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, money, text
-from tallyweave.operators import extract, identity, images, kernels, merge, report, similar
+from tallyweave.operators import extract, identity, images, kernels, merge, report, similar, vision
 from tallyweave.sources.adapters import expenses, exportable, table
 from tallyweave.sources.dims import CATEGORIES, aliases
-from tallyweave.sources.scratch import scratch
+from tallyweave.sources.scratch import scratch, written
 from tallyweave.streaming import jobs, state
 
 #: Orders' dates are printed as many months later, so that all lie in the years that dates are read in, before AS_OF.
@@ -320,6 +320,25 @@ def vision_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("o_orderkey", F.get_json_object("j", "$.vendor").alias("vendor"), money.parse_cents(F.get_json_object("j", "$.amount")).alias("cents"))
 
 
+def vision_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of replies about orders: fenced, in prose, broken, no object; amounts as numbers and texts, dates of other forms, categories and
+    currencies that there are not, fields that are missing."""
+    key, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    c = money.cents(F.col("o_totalprice") / 100)
+    day = F.add_months("o_orderdate", LATER)
+    number, quoted = money.fixed_text(c), F.concat(F.lit('"$'), money.fixed_text(c), F.lit('"'))
+    pick = lambda xs, k: F.element_at(F.array(*[x if hasattr(x, "cast") else F.lit(x) for x in xs]), (key % k + 1).cast("int"))
+    body = F.concat(
+        F.lit('{"vendor": '), pick(['"Shell"', '" Corner Bakery "', "null", '"Zxq"', '"Chevron 12"'], 5), F.lit(', "date": '), pick([F.date_format(day, '\'"\'yyyy-MM-dd\'"\''), F.date_format(day, '\'"\'MM/dd/yyyy\'"\''), F.lit("20260102")], 3),
+        F.lit(', "amount": '), pick([number, quoted, F.lit("0"), F.lit("[1]"), number, F.lit('"none"')], 6), F.lit(', "tax": '), pick([F.lit("1.25"), F.lit('"2.50"')], 2), F.lit(', "currency": '), pick(['"eur"', '"XXX"'], 2),
+        F.when(key % 4 == 0, F.lit("}")).otherwise(F.concat(F.lit(', "category": '), pick(['"Meals"', '"Nothing"', "7"], 3), F.lit("}"))),
+    )
+    fence = F.concat(F.lit("Sure!\n```json\n"), body, F.lit("\n```\nAnything else?"))
+    reply = F.when(key % 11 == 0, "no reply").when(key % 11 == 1, F.concat(F.lit("{broken "), body)).when(key % 11 == 2, fence).when(key % 11 == 3, F.concat(F.lit("Here: "), body, F.lit(" done."))).otherwise(body)
+    found = vision.vision_fields(written(o.select("o_orderkey", reply.alias("reply")), "replies"), "o_orderkey", "reply", AS_OF)
+    return found.withColumn("flags", F.array_join("flags", ";"))
+
+
 def vendor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     curated = n.where("n_nationkey % 2 = 0").select(F.initcap("n_name").alias("name"), F.lit("Fuel").alias("category"), F.array(F.lower("n_name")).alias("aliases"))
@@ -425,6 +444,7 @@ QUERIES = {
     "locate_values": locate_values,
     "scorecard": scorecard,
     "vision_replies": vision_replies,
+    "vision_fields": vision_fields,
     "vendor_table": vendor_table,
     "content_digests": content_digests,
     "upload_ranges": upload_ranges,

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -19,3 +19,11 @@ def scratch(spark: SparkSession, name: str) -> str:
         scratch.own = getattr(scratch, "own", None) or "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         base = scratch.own
     return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that what uses it several times works it out once and lost executors cost
+    no more than their own tasks."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,6 +22,7 @@ RECEIPTS = {
     "label_only": (["Corner Store", "Coffee beans 4.50", "TOTAL", "05/01/2026"], {"amount_cents": 450}),
     "fuzzy": (["MOBTL", "TOTAL 10.00"], {"vendor": "Mobil"}),
     "fuzzy_two": (["FARMER 80YS", "TOTAL 10.00"], {"vendor": "Farmer Boys"}),
+    "misread": (["AMERXICAN AIRXLINESX", "TOTAL 10.00"], {"vendor": "American Airlines"}),
     "nothing": (["???"], {"amount_cents": 0, "vendor": None, "review": True, "category": "Other"}),
 }
 
