@@ -31,6 +31,17 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return first_of(rows, keys).where("first <> id").select("id", F.col("first").alias("duplicate_of"))
 
 
+def likely_duplicates(rows: DataFrame) -> DataFrame:
+    """(id, duplicate_of, via): receipts of which an earlier one of their batch has the same image, or, only where none has, the same vendor,
+    day and whole amount in cents. rows: (id, batch_id, image_hash, vendor, day, amount_cents, created_at)."""
+    keyed = rows.withColumn("key", semantic_key(F.col("vendor"), F.col("day"), F.col("amount_cents")))
+    image = first_of(keyed, ["batch_id", "image_hash"]).withColumnRenamed("first", "by_image")
+    both = first_of(image, ["batch_id", "key"])
+    seen, alike = F.when(F.col("by_image") != F.col("id"), F.col("by_image")), F.when(F.col("first") != F.col("id"), F.col("first"))
+    found = both.select("id", F.coalesce(seen, alike).alias("duplicate_of"), F.when(seen.isNotNull(), "image").otherwise("details").alias("via"))
+    return found.where("duplicate_of is not null")
+
+
 def last_write_wins(local: DataFrame, remote: DataFrame, key: str, stamp: str) -> DataFrame:
     """The local rows, but where the remote row is newer or there is none."""
     a, b = local.alias("a"), remote.alias("b")
@@ -52,11 +63,23 @@ def fold_name(s: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
 
 
-def look_up(rows: DataFrame, name: str, jobs: DataFrame) -> DataFrame:
-    """rows with the number of the newest saved job of that name; blank names find none. jobs: (name, number, saved_at), of
-    which the newest of each name count, however many names there are: an equality join that Spark broadcasts if it is small."""
-    newest = jobs.withColumn("k", fold_name(F.col("name"))).where("k <> ''").groupBy("k").agg(F.max_by("number", "saved_at").alias("number"))
-    return rows.withColumn("k", fold_name(F.col(name))).join(newest, "k", "left").drop("k")
+def look_up(rows: DataFrame, typed: str, jobs: DataFrame, by: str = "name", give: str = "number") -> DataFrame:
+    """rows with the number of the newest saved job of a typed name, or the name of a typed number; blank texts find none. jobs: (name,
+    number, saved_at), of which the newest of each name or number count, however many there are: an equality join that
+    Spark broadcasts if it is small."""
+    newest = jobs.withColumn("_typed", fold_name(F.col(by))).where("_typed <> ''").groupBy("_typed").agg(F.max_by(give, "saved_at").alias(give))
+    return rows.withColumn("_typed", fold_name(F.col(typed))).join(newest, "_typed", "left").drop("_typed")
+
+
+def saved_jobs(jobs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Saved jobs (name, number, saved_at) after changes (name, number, saved_at, removed): of each name, by letters of any case and blanks
+    of any number, the latest change or else the job; names that were removed last are gone, and what has neither name nor number is no job.
+    The latest are found by partial sums, so a name that changes often is no group in one task."""
+    tidy = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")).alias(c)
+    every = jobs.withColumn("removed", F.lit(False)).unionByName(changes)
+    every = every.select(tidy("name"), tidy("number"), "saved_at", "removed").where("removed or name <> '' or number <> ''")
+    latest = F.max_by(F.struct("name", "number", "saved_at", "removed"), F.struct("saved_at", "removed", "name", "number"))
+    return every.groupBy(F.lower("name")).agg(latest.alias("j")).where("not j.removed").select("j.name", "j.number", "j.saved_at")
 
 
 def corrections(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:

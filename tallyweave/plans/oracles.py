@@ -163,8 +163,18 @@ VISION = """WITH o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice / 100 * 1
   SELECT k AS o_orderkey, vendor, day, amount_cents, tax_cents, currency, coalesce(found, 'Other') AS category, confidence, array_to_string(CASE WHEN confidence < 0.8 THEN flags || ['low_confidence:info'] ELSE flags END, ';') AS flags, confidence < 0.8 OR amount_cents <= 0 AS review FROM n"""
 
 
+BOARD = ", ".join(f"CAST(row_number() OVER (PARTITION BY batch_id ORDER BY {o}created_at DESC, id DESC) AS INTEGER) AS {n}" for n, o in (("newest", ""), ("by_date", "day DESC NULLS LAST, "), ("by_amount", "amount_cents DESC, "), ("by_vendor", "lower(trim(vendor)) NULLS LAST, "), ("by_category", "lower(category), ")))
+SCANS = """scans AS (SELECT id, batch_id, vendor, day, amount_cents AS c, created_at AS at_, id::VARCHAR AS image FROM expenses UNION ALL SELECT id + 10000000000, batch_id, vendor, day, amount_cents, created_at + 10000000000, id::VARCHAR FROM expenses WHERE id % 11 = 0
+    UNION ALL SELECT id + 20000000000, batch_id, lower(vendor), day, amount_cents, created_at + 20000000000, 'new ' || id FROM expenses WHERE id % 7 = 0),
+  firsts AS (SELECT id, first_value(id) OVER (PARTITION BY batch_id, image ORDER BY at_, id) AS i, CASE WHEN c > 0 THEN first_value(id) OVER (PARTITION BY batch_id, lower(trim(coalesce(vendor, ''))), day, c ORDER BY at_, id) END AS d FROM scans)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "board_sorts": q(f"SELECT batch_id, id, {BOARD} FROM expenses"),
+        "receipt_duplicates": q("SELECT id, CASE WHEN i <> id THEN i ELSE d END AS duplicate_of, CASE WHEN i <> id THEN 'image' ELSE 'details' END AS via FROM firsts WHERE i <> id OR d <> id", SCANS),
+        "saved_jobs": """WITH j AS (SELECT s_suppkey AS k, upper(s_name) AS name, CASE s_suppkey % 3 WHEN 1 THEN 'k- ' || (s_suppkey + 1) ELSE 'j-' || s_suppkey END AS number, CASE WHEN s_suppkey % 3 = 1 THEN 1000000000 ELSE 0 END + s_suppkey AS saved FROM supplier WHERE s_suppkey % 3 > 0)
+            SELECT s_suppkey, (SELECT arg_max(name, saved) FROM j WHERE j.number = CASE WHEN s_suppkey % 2 = 0 THEN 'j-' || s_suppkey ELSE 'k- ' || (s_suppkey + 1) END) AS name FROM supplier""",
         "vision_fields": VISION,
         "locate_values": LOCATED,
         "correction_fold": FOLDED_LOG,
@@ -192,7 +202,7 @@ def oracle_sql() -> dict[str, str]:
         "sheet_rows": q("SELECT id, CAST(4 * (row_number() OVER (PARTITION BY batch_id, category ORDER BY id) - 1) + 3 AS BIGINT) AS sheet_row FROM reported"),
         "status_counts": q("SELECT s.status, count(e.id) AS n FROM (VALUES ('queued'), ('processing'), ('needs_review'), ('done'), ('failed')) s(status) LEFT JOIN expenses e ON e.status = s.status GROUP BY s.status"),
         "board_lanes": q("SELECT CASE WHEN status = 'processing' THEN 'working' WHEN status = 'needs_review' THEN 'review' ELSE status END AS lane, count(*) AS n FROM expenses GROUP BY 1"),
-        "board_order": q("SELECT batch_id, id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY lower(trim(vendor)) NULLS LAST, id DESC) AS INTEGER) AS place FROM expenses QUALIFY place <= 200"),
+        "board_order": q("SELECT batch_id, id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY lower(trim(vendor)) NULLS LAST, id DESC) AS INTEGER) AS place FROM expenses"),
         "next_open": q("SELECT e.batch_id, e.id, coalesce(min(o.id) FILTER (o.id > e.id), min(o.id)) AS next_open FROM expenses e LEFT JOIN expenses o ON o.batch_id = e.batch_id AND o.review_required AND NOT o.approved GROUP BY e.batch_id, e.id"),
         "within_budget": q("SELECT id, sum(amount_cents) OVER (PARTITION BY batch_id ORDER BY id) <= 1000000 AS fits FROM expenses"),
         "needs_review": q("SELECT id, confidence < 0.8::DOUBLE OR amount_cents <= 0 AS review FROM expenses"),

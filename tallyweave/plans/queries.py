@@ -42,7 +42,17 @@ def summary_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def board_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each batch's receipts by vendor, blank last."""
     rows = expenses(spark, sf_dir).select("batch_id", "id", F.trim("vendor").alias("vendor"))
-    return identity.ranked(rows, "batch_id", [F.lower("vendor").asc_nulls_last(), F.desc("id")], 200).select("batch_id", "id", F.col("place").alias("place"))
+    return identity.ranked(rows, "batch_id", place=[F.lower("vendor").asc_nulls_last(), F.desc("id")]).select("batch_id", "id", "place")
+
+
+def board_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each receipt in its batch by each of the board's orders; ties go by the newest."""
+    newest = [F.desc("created_at"), F.desc("id")]
+    orders = {
+        "newest": newest, "by_date": [F.col("day").desc_nulls_last(), *newest], "by_amount": [F.desc("amount_cents"), *newest],
+        "by_vendor": [F.lower(F.trim("vendor")).asc_nulls_last(), *newest], "by_category": [F.lower("category"), *newest],
+    }
+    return identity.ranked(expenses(spark, sf_dir), "batch_id", **orders).select("batch_id", "id", *orders)
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +71,25 @@ def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.duplicates(rows.withColumn("key", merge.semantic_key(F.col("vendor"), F.trunc("day", "month"), coarse)), ["key"])
 
 
+def receipt_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every receipt, some with their image uploaded again, some with a new image of the same paper."""
+    base = expenses(spark, sf_dir).select("id", "batch_id", "vendor", "day", "amount_cents", "created_at", F.sha2(F.col("id").cast("string"), 256).alias("image_hash"))
+    later = lambda step: [(F.col("id") + step).alias("id"), "batch_id"]
+    again = base.where("id % 11 = 0").select(*later(10**10), "vendor", "day", "amount_cents", (F.col("created_at") + 10**10).alias("created_at"), "image_hash")
+    retaken = base.where("id % 7 = 0").select(*later(2 * 10**10), F.lower("vendor").alias("vendor"), "day", "amount_cents", (F.col("created_at") + 2 * 10**10).alias("created_at"), F.sha2(F.concat(F.lit("new "), F.col("id").cast("string")), 256).alias("image_hash"))
+    return merge.likely_duplicates(base.unionByName(again).unionByName(retaken))
+
+
+def saved_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as saved jobs, two thirds of them saved again or removed, and the name that each number finds afterwards."""
+    s, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    saved = s.select(F.concat(F.lit("  "), F.upper("s_name"), F.lit(" ")).alias("name"), F.concat(F.lit("J-"), key.cast("string")).alias("number"), key.alias("saved_at"))
+    changes = s.where("s_suppkey % 3 < 2").select(F.lower("s_name").alias("name"), F.concat(F.lit("K- "), (key + 1).cast("string")).alias("number"), (key + 10**9).alias("saved_at"), (key % 3 == 0).alias("removed"))
+    jobs = merge.saved_jobs(saved, changes)
+    typed = s.select("s_suppkey", F.when(key % 2 == 0, F.concat(F.lit("j-"), key.cast("string"))).otherwise(F.concat(F.lit(" k-  "), (key + 1).cast("string"))).alias("typed"))
+    return merge.look_up(typed, "typed", jobs, "number", "name").select("s_suppkey", F.upper("name").alias("name"))
+
+
 def versions(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
     """Versions of part rows on one device."""
     p = table(spark, sf_dir, "part").where(F.col("p_partkey") % 3 != parity)
@@ -413,6 +442,9 @@ QUERIES = {
     "status_counts": on_all(report.status_counts),
     "board_lanes": on_all(report.lanes),
     "board_order": board_order,
+    "board_sorts": board_sorts,
+    "receipt_duplicates": receipt_duplicates,
+    "saved_jobs": saved_jobs,
     "next_open": on_all(report.open_next),
     "within_budget": on_all(report.within_budget, cap_cents=1_000_000),
     "needs_review": on_all(report.needs_review),

@@ -108,3 +108,31 @@ def test_all_brands_are_compared(spark):
     queries = spark.createDataFrame([(q, vector()) for q in range(100, 120)], "vec_id long, embedding array<float>")
     whole = sorted(map(tuple, identity.nearest_brands(queries, brands, 3).collect()))
     assert len(whole) == 60 and sorted(map(tuple, identity.nearest_brands(queries, brands, 3, most=7).collect())) == whole
+
+
+def test_likely_duplicates(spark):
+    """The image decides first; details only where no image is the same; no key without an amount."""
+    kind = "id long, batch_id long, image_hash string, vendor string, day date, amount_cents long, created_at long"
+    d = datetime.date(2026, 1, 2)
+    rows = [(1, 1, "a", "Shell", d, 100, 1), (2, 1, "a", "Other", d, 7, 2), (3, 1, "b", " SHELL ", d, 100, 3), (4, 1, "c", "Shell", d, 0, 4), (5, 1, "d", "Shell", d, 0, 5), (6, 2, "a", "Shell", d, 100, 6), (7, 1, None, None, None, 100, 7), (8, 1, None, "", None, 100, 8), (9, 1, "e", "Shell", d, 101, 9)]
+    found = {r.id: (r.duplicate_of, r.via) for r in merge.likely_duplicates(spark.createDataFrame(rows, kind)).collect()}
+    assert found == {2: (1, "image"), 3: (1, "details"), 8: (7, "details")}
+
+
+def test_saved_jobs(spark):
+    jobs = spark.createDataFrame([("North  Yard", "1", 1), ("South", "2", 2), ("", "", 3), (None, None, 4)], "name string, number string, saved_at long")
+    changes = spark.createDataFrame([(" north yard ", "9", 10, False), ("SOUTH", None, 11, True), ("East", "", 12, False), ("Gone", "5", 13, False), ("gone", "", 14, True)], "name string, number string, saved_at long, removed boolean")
+    kept = merge.saved_jobs(jobs, changes)
+    assert sorted(map(tuple, kept.collect())) == [("East", "", 12), ("north yard", "9", 10)]
+    typed = spark.createDataFrame([(1, " 9"), (2, ""), (3, None), (4, "2")], "k int, t string")
+    assert {r.k: r.name for r in merge.look_up(typed, "t", kept, "number", "name").collect()} == {1: "north yard", 2: None, 3: None, 4: None}
+
+
+def test_located_values(spark):
+    """Half a cent off still counts, payments come last, a first word of three letters stands for a name, nulls and nothing find nothing."""
+    lines = [(1, ["VISA 10.00", "the AB store", "Total 10.00", "3/4/2026 and Mar 9, 2026"]), (2, ["Total 10.01", "10.00 0.50"]), (3, [])]
+    rows = spark.createDataFrame([(r, k, t) for r, ts in lines for k, t in enumerate(ts)], "receipt long, line_no int, text string")
+    day = datetime.date(2026, 3, 9)
+    wanted = [(1, 10004, " THE shop ", day), (2, 10005, "AB", datetime.date(2026, 3, 10)), (3, 5, None, None), (1, None, "ab Store", None), (1, -10000, "", None)]
+    found = extract.located_values(rows, spark.createDataFrame(wanted, "receipt long, mils long, vendor string, day date"))
+    assert sorted(map(tuple, found.collect())) == [(1, "amount", 2), (1, "date", 3), (1, "vendor", 1), (2, "amount", 0)]
