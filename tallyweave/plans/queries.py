@@ -400,6 +400,17 @@ def text_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5))
 
 
+def page_tilts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tilt of lines in masks of 64 by 64 pixels: level lines where an embedding is above 0, moved up or down along the row by vec_id."""
+    e = table(spark, sf_dir, "embeddings")
+    slope = F.tan(F.radians((F.col("vec_id") % 13 - 6).cast("double")))
+    row = lambda i: F.floor(i / 64) + F.round((i % 64 - 32) * slope)
+    ink = lambda i: (F.pmod(row(i), F.lit(8)) < 2) & (F.element_at("embedding", (F.pmod(F.floor(row(i) / 8), F.lit(8)) * 8 + F.floor(i % 64 / 8) + 1).cast("int")) > -0.1)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(64 * 64 - 1)), lambda i: F.when(ink(i), 1.0).otherwise(0.0))
+    found = images.tilts(e.select("vec_id", pixels.alias("pixels"), F.lit(64).alias("width")), "vec_id", "pixels", "width")
+    return found.withColumn("degrees", F.round("degrees", 1))
+
+
 def content_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Borders, content boxes and crops of embeddings as gray maps of 16 by 16, every pixel four times, in a frame that is dark by vec_id."""
     e = table(spark, sf_dir, "embeddings")
@@ -482,6 +493,7 @@ QUERIES = {
     "upload_ranges": upload_ranges,
     "text_regions": text_regions,
     "content_crops": content_crops,
+    "page_tilts": page_tilts,
     "stream_job_states": job_states,
     "stream_seen_receipts": seen_receipts,
     "stream_lww": stream_lww,

@@ -41,10 +41,19 @@ def test_oracle(spark, duck, name):
     assert normal(tuple(r) for r in df.select(*cols).collect()) == normal(expected)
 
 
-@pytest.mark.parametrize("name", ["work_queue"])
+@pytest.mark.parametrize("name", ["work_queue", "page_tilts"])
 def test_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["page_tilts"])
+def test_tilts_are_those_printed(spark, name):
+    """Most lines are found at the angle that their order by vec_id gave them, none at another sign."""
+    rows = entry.queries()[name](spark, SF).collect()
+    printed = [(r.degrees, r.vec_id % 13 - 6) for r in rows]
+    assert sum(abs(found - angle) <= 0.6 for found, angle in printed) >= 0.8 * len(printed)
+    assert all(found * angle >= 0 for found, angle in printed)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 12
