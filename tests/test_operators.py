@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import extract, identity, merge
+from tallyweave.operators import extract, identity, merge, similar
 
 AS_OF = "2026-06-01"
 RECEIPTS = {
@@ -101,13 +101,13 @@ def test_duplicates_keep_the_first(spark):
 
 
 def test_all_brands_are_compared(spark):
-    """More brands than a block holds give what one block gives."""
+    """However many cells the brands are in, the result is that of one cell."""
     rng = random.Random(6)
     vector = lambda: [rng.uniform(-1, 1) for _ in range(4)]
     brands = spark.createDataFrame([(b, vector()) for b in range(30)], "brand long, v array<float>")
     queries = spark.createDataFrame([(q, vector()) for q in range(100, 120)], "vec_id long, embedding array<float>")
-    whole = sorted(map(tuple, identity.nearest_brands(queries, brands, 3).collect()))
-    assert len(whole) == 60 and sorted(map(tuple, identity.nearest_brands(queries, brands, 3, most=7).collect())) == whole
+    whole = sorted(map(tuple, similar.nearest(queries, brands, 3, pivots=1).collect()))
+    assert len(whole) == 60 and sorted(map(tuple, similar.nearest(queries, brands, 3, pivots=7).collect())) == whole
 
 
 def test_likely_duplicates(spark):
