@@ -2,11 +2,12 @@
 
 Each stage works on all rows its predecessor kept and returns the columns of `documents`, but for the last,
 which returns the digest of the token files. Rows with a null doc_id are never taken for one another.
+Extra columns are kept, whatever their names, but for names with dots, which Spark's mapInArrow refuses.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate, jaccard_join, language_id, mixing, token_orc
@@ -18,6 +19,11 @@ NEAR = jaccard_join.Jaccard(percent=80, k=5)
 ROW = "_row"
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns in one, `doc`, so that no name of theirs meets those of a join."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is rejected: no text, no letters, or unlike every language learned."""
     return language_id.keep_accepted(docs, language_id.train(docs))
@@ -29,15 +35,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by id and a 64-bit hash of their text, so a row goes only for its own text. The small side of
     each join is the one that is hashed, so texts move once and are not sorted."""
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h")))
-    rows = docs.withColumn(ROW, row)
-    found = materialize(jaccard_join.classes(rows, NEAR, ROW), "classes")
+    found = materialize(jaccard_join.classes(docs.select(row.alias(ROW), "text"), NEAR, ROW), "classes")
+    rows = docs.select(whole(docs), row.alias(ROW))
     others = found.where(F.col(ROW) != F.col("component_id")).select(ROW).distinct()
     kept = rows.join(others.hint("shuffle_hash"), ROW, "left_anti")
     again = materialize(found.where(F.col(ROW) == F.col("component_id")).groupBy(ROW).count().where("count > 1").select(ROW), "again")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(again.hint("shuffle_hash"), ROW, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again.hint("shuffle_hash"), ROW, "left_anti").unionByName(once).select(*docs.columns)
+        return kept.select("doc.*")
+    once = kept.join(again.hint("shuffle_hash"), ROW, "left_semi").select("doc", "doc.doc_id", "doc.text").dropDuplicates(["doc_id", "text"])
+    return kept.join(again.hint("shuffle_hash"), ROW, "left_anti").select("doc").unionByName(once.select("doc")).select("doc.*")
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +52,14 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that sources meet their target weights. Rows equal in id, source and size get
+    """Repeat or drop documents so that sources meet their target weights. Rows equal in id, source and text get
     equally many copies."""
-    copies = mixing.mix_sizes(mixing.sized(docs), "doc_id").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    copies = copies.where("copies > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (word_count(F.col("text")) == F.col("n"))
-    taken = docs.join(copies.hint("shuffle_hash"), same)
-    return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    same = ["doc_id", "source", "text_hash"]
+    mix = mixing.mix_sizes(mixing.sized(docs), "doc_id").groupBy(*same).agg(F.max("copies").alias("copies")).where("copies > 0")
+    mix = mix.select(F.struct(*same).alias("mixed"), "copies")
+    rows = docs.select(whole(docs), F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")).alias("own"))
+    taken = rows.join(mix.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("mixed")))
+    return taken.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

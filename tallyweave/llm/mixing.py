@@ -8,8 +8,11 @@ are reduced to beforehand. Targets on several columns (say source and language)
 by the sum of its columns' lambdas, and `joint_tilts` solves them together, with the whole Hessian, over token sums
 per cell of the columns. Rates are rounded into whole copies by systematic rounding: within a source,
 documents stand by descending size and the running sum of the rates' fractions decides who gets one more.
-Large sources are cut into strips by a hash of the document, so no task orders a whole source; of a few
-starting points of the running sum the pair that comes nearest to the source's target is kept.
+Large sources are cut into strips by a hash of the document's key and text, so no task orders a whole source; of a few
+starting points of the running sum the pair that comes nearest to the source's target is kept. What is then left of
+the gap is closed by changing FLIPS documents at most: the largest, and some of all sizes, of the source's first strip,
+each by one copy between its rate's two whole neighbours. All subsets of either half of them are summed, and the two sums that
+together come nearest to the gap (fewest changes first) are found by one ordering of both lists.
 
 Null text has size 0, as has empty text; null is a source of its own, last in order. Rows of size 0 are
 taken 0 words. Repeated rows count each time. An empty table gives no rows. Reruns agree. Extra columns
@@ -36,6 +39,8 @@ STRIP_ROWS = 50_000
 #: Starting points tried for the running sum, evenly spread over [0, 1): for the largest documents of each
 #: strip and for the others, each with each.
 STARTS, HEAD_ROWS = 32, 8
+#: Documents of a source that may be changed after rounding, in two halves.
+FLIPS = 20
 TOLERANCE, MAX_ITERATIONS = 1e-12, 50
 #: Constraints that are solved jointly: the driver solves a system of as many unknowns.
 MOST_JOINT, JOINT_TOLERANCE = 2000, 1e-9
@@ -166,20 +171,22 @@ def copies_for(rate: Column, before: Column, start: Column) -> Column:
 
 
 def mix_sizes(rows: DataFrame, key: str, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """rows (key, source, size, base) with source_size, target and copies."""
+    """rows (key, source, size, base, text_hash) with source_size, target and copies."""
     targets = materialize(source_targets(rows, weights, cap), "targets")
     groups = materialize(rows.where("size > 0").groupBy("source", "base").agg(F.sum("size").cast("double").alias("tokens")), "groups")
     solved = tilts(groups, targets, cap)
     t = solved.withColumnRenamed("source", "s")
     r = rows.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    r = r.withColumn("strip", F.pmod(hash64(F.col(key)), F.ceil(F.col("n_rows") / STRIP_ROWS)))
+    r = r.withColumn("strip", F.pmod(hash64(F.col(key), F.col("text_hash")), F.ceil(F.col("n_rows") / STRIP_ROWS)))
     # Rates a hair off a whole number by the exponential are that number.
     rate = F.least(F.col("base") * F.exp("tilt"), F.lit(float(cap)))
     r = r.withColumn("rate", F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate))
-    order = Window.partitionBy("source", "strip").orderBy(F.col("size").desc(), key)
+    strip = Window.partitionBy("source", "strip")
+    order = strip.orderBy(F.col("size").desc(), key, "text_hash")
     so_far = order.rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("before", F.coalesce(F.sum(F.col("rate") - F.floor("rate")).over(so_far), F.lit(0.0)))
-    r = materialize(r.withColumn("head", F.row_number().over(order) <= HEAD_ROWS), "rates")
+    r = r.withColumn("place", F.row_number().over(order)).withColumn("step", F.ceil(F.count("*").over(strip) / (FLIPS - HEAD_ROWS)))
+    r = materialize(r.withColumn("head", F.col("place") <= HEAD_ROWS), "rates")
     starts = [k / STARTS for k in range(STARTS)]
 
     def words(which: Column, start: float) -> Column:
@@ -187,16 +194,70 @@ def mix_sizes(rows: DataFrame, key: str, weights: tuple[int, ...] = WEIGHTS, cap
 
     heads, rests = (F.array(*[F.struct(words(which, x).alias("words"), F.lit(x).alias("start")) for x in starts]) for which in (F.col("head"), ~F.col("head")))
     taken = r.groupBy("source").agg(F.first("target").alias("t"), heads.alias("heads"), rests.alias("rests"))
-    pairs = F.flatten(F.transform("heads", lambda h: F.transform("rests", lambda x: F.struct(F.abs(h["words"] + x["words"] - F.col("t")).alias("off"), h["start"].alias("head_start"), x["start"].alias("rest_start")))))
-    best = taken.select(F.col("source").alias("s"), F.array_min(pairs).alias("best"))
+
+    def pair(h: Column, x: Column) -> Column:
+        gap = F.col("t") - h["words"] - x["words"]
+        return F.struct(F.abs(gap).alias("off"), h["start"].alias("head_start"), x["start"].alias("rest_start"), gap.alias("gap"))
+
+    pairs = F.flatten(F.transform("heads", lambda h: F.transform("rests", lambda x: pair(h, x))))
+    best = materialize(taken.select(F.col("source").alias("s"), F.array_min(pairs).alias("best")), "starts")
     out = r.join(best, F.col("source").eqNullSafe(F.col("s")))
     start = F.when(F.col("head"), F.col("best.head_start")).otherwise(F.col("best.rest_start"))
+    most = int(math.floor(cap))
     copies = F.when(F.col("size") > 0, copies_for(F.col("rate"), F.col("before"), start)).otherwise(0)
-    return out.select(key, "source", "size", "source_size", "target", "rate", F.least(copies, F.lit(int(math.floor(cap)))).cast("long").alias("copies"))
+    out = out.withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
+    changed = materialize(changes(out, most), "changes")
+    out = out.drop("s").join(changed, F.col("source").eqNullSafe(F.col("s")), "left")
+    mine = (F.col("strip") == F.col("at")) & F.array_contains("places", F.col("place"))
+    change = F.when(mine, one_copy(most)).otherwise(0)
+    return out.select(key, "source", "size", "source_size", "target", "rate", "text_hash", (F.col("copies") + change).alias("copies"))
+
+
+def one_copy(most: int) -> Column:
+    """+1 or -1 for a document that may go to its rate's other whole neighbour, else 0."""
+    low = F.floor("rate")
+    may = (F.col("size") > 0) & (F.col("rate") > low)
+    return F.when(may & (F.col("copies") > low), -1).when(may & (F.col("copies") < most), 1).otherwise(0)
+
+
+def changes(out: DataFrame, most: int) -> DataFrame:
+    """(s, at, places): of each source whose words miss the target, the strip and places of the documents to change by
+    one copy. Only FLIPS documents of a source and 2 ** (FLIPS / 2) sums of either half are ever in one group."""
+    half = FLIPS // 2
+    some = out.where((F.col("best.off") >= 0.5) & (F.col("head") | (F.col("place") % F.col("step") == 0)))
+    some = some.withColumn("change", one_copy(most) * F.col("size")).where("change <> 0")
+    item = F.struct("place", "change")
+    # The least strip that has any; within it the places are few and stand in order.
+    by_strip = some.groupBy("source", "strip", F.col("best.gap").alias("gap")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lists = by_strip.groupBy("source", "gap").agg(F.min(F.struct("strip", "items")).alias("one")).select("source", "gap", F.col("one.strip").alias("at"), F.slice("one.items", 1, FLIPS).alias("items"))
+    # Large and small documents alternate between the halves.
+    lists = materialize(lists.withColumn("a", F.filter("items", lambda x, i: i % 2 == 0)).withColumn("b", F.filter("items", lambda x, i: i % 2 == 1)), "flips")
+
+    def sums(name: str) -> DataFrame:
+        masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), half) - 1)
+        of = lists.select("source", "gap", name, F.explode(F.filter(masks, lambda m: m < F.pow(F.lit(2), F.size(name)))).alias("mask"))
+        total = F.aggregate(F.transform(name, lambda x, i: x["change"] * F.getbit("mask", i).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+        return of.select("source", "gap", total.cast("double").alias("total"), F.struct(F.bit_count("mask").alias("n"), F.col("mask").alias("m")).alias("mask"))
+
+    # Of equal sums the fewest changes; then each sum of one half meets the nearest of the other on either side.
+    least = [sums(name).groupBy("source", "gap", "total").agg(F.min("mask").alias("mask")) for name in ("a", "b")]
+    nothing = F.lit(None).cast(least[0].schema["mask"].dataType)
+    a = least[0].select("source", "gap", F.col("total").alias("v"), F.col("mask").alias("a"), nothing.alias("b"))
+    b = least[1].select("source", "gap", (F.col("gap") - F.col("total")).alias("v"), nothing.alias("a"), F.col("mask").alias("b"))
+    by = Window.partitionBy("source").orderBy("v", F.col("a").isNotNull())
+    at = F.when(F.col("b").isNotNull(), F.struct("v", "b"))
+    both = a.unionByName(b).withColumn("below", F.last(at, ignorenulls=True).over(by)).withColumn("above", F.first(at, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    near = both.where("a is not null").select("source", "gap", "a", "v", F.explode(F.array_compact(F.array("below", "above"))).alias("other"))
+    off = F.abs(F.col("v") - F.col("other.v"))
+    found = near.select("source", "gap", F.struct(off.alias("off"), (F.col("a.n") + F.col("other.b.n")).alias("n"), F.col("a.m").alias("a"), F.col("other.b.m").alias("b")).alias("found"))
+    found = found.groupBy("source", "gap").agg(F.min("found").alias("found")).where(F.col("found.off") < F.abs("gap"))
+    chosen = F.concat(F.filter("a", lambda x, i: F.getbit("found.a", i) == 1), F.filter("b", lambda x, i: F.getbit("found.b", i) == 1))
+    halves = lists.select(F.col("source").alias("s"), "at", "a", "b")
+    return found.join(halves, F.col("source").eqNullSafe(F.col("s"))).select("s", "at", F.transform(chosen, lambda x: x["place"]).alias("places"))
 
 
 def sized(docs: DataFrame, key: str = "doc_id", base: Column | None = None) -> DataFrame:
-    return materialize(docs.select(key, "source", word_count(F.col("text")).alias("size"), (F.lit(1.0) if base is None else base.cast("double")).alias("base")), "sizes")
+    return materialize(docs.select(key, "source", word_count(F.col("text")).alias("size"), (F.lit(1.0) if base is None else base.cast("double")).alias("base"), F.xxhash64("text").alias("text_hash")), "sizes")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

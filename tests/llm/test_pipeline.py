@@ -46,3 +46,23 @@ def test_near_copies_go_by_row(spark):
     assert kept.columns == docs.columns
     left = [(r.doc_id, (r.text or "").split(" ")[0]) for r in kept.collect()]
     assert sorted(left, key=str) == sorted([(1, base[0]), (2, "alone"), (3, other[0]), (4, ""), (4, "once"), (None, "no"), (None, "no")], key=str)
+
+
+def test_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    """Columns named like those that stages make for themselves are kept as they are."""
+    import random
+
+    rng = random.Random(6)
+    extra = ("i", "s", "n", "copies", "copy", "_row", "doc", "own", "mixed", "component_id", "h", "size", "text_hash", "col", "strip", "place")
+    base = words(rng, 60)
+    rows = [(k, " ".join(words(rng, 40)), "en", f"s{k % 2}", 1, 0.0) for k in range(30)]
+    rows += [(50, " ".join(base), "en", "s0", 1, 0.0), (51, " ".join([*base[:-1], "zz"]), "en", "s0", 1, 0.0), (51, " ".join(base), "en", "s0", 1, 0.0)]
+    docs = odd_documents(spark, rows).select("*", *[F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in extra])
+    spark.createDataFrame([(1, "no such words in any of the texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for _, stage in pipeline.STAGES[:4]:
+        now = materialize(stage(spark, now, str(tmp_path)), "named")
+        assert now.columns == docs.columns and now.count() > 0
+        assert now.where(F.concat(*[F.coalesce(f"`{c}`", F.lit(f"{c}:-")) for c in extra]) != F.concat(*[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in extra])).count() == 0
+    docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
