@@ -1,15 +1,18 @@
-"""Benchmark decontamination over windows as long as the items, by exact weighted shingle similarity.
-
-Items' word shingles are in an index, from shingle to items. For each item that shares a shingle with a
-document, the windows as long as the item get an upper bound of what they have in common with it, the weight of
-their shingles that the item has, by prefix sums. Windows whose bound allows SIMILARITY are verified on the
-shingles themselves: the weighted Jaccard similarity of the two multisets must reach SIMILARITY. A shingle weighs as much
-as its words have bytes. The bound is never below the common weight, so no window that is similar enough is lost,
-with repeated shingles or without.
-
-`distance` is the distance of the 64-bit SimHashes of window and item; it decides nothing. `candidates` looks up
-SimHashes within RADIUS bits by blocks of 16 bits, for callers that want near fingerprints; the search doesn't
-use it, as windows of similarity 0.8 may be further apart.
+"""Benchmark decontamination by SimHash of item-sized windows, Hamming blocks and exact weighted-shingle similarity.
+
+A gate comes first: items' word shingles are in an index, from shingle to items, and only texts that share enough
+weight of shingles with an item have windows to look at, those as long as the item that hold one of its shingles.
+These windows are fingerprinted (SimHash of 64 bits, by prefix sums over the shingles' weighted bits) and looked up in a
+multi-index of the items of that length: a fingerprint within RADIUS bits of an item's agrees with it, but for at most
+RADIUS // BLOCKS bits, in one of BLOCKS blocks of 16 bits, so all items within the radius are found. Each candidate is
+verified on the shingles themselves: the weighted Jaccard similarity of the two multisets must reach SIMILARITY. A
+shingle weighs as much as its words have bytes.
+
+Windows of similarity 0.8 may be further apart than RADIUS, most of all where a shingle repeats. So an exact arm adds what
+the lookup leaves: windows that are no candidates get an upper bound of what they have in common with the item, the weight
+of their shingles that it has, by prefix sums, and are verified if the bound allows SIMILARITY. The bound is
+never below the common weight, so nothing is lost. `n_far` counts the windows that only this arm found:
+1 - n_far / n_windows, over all rows, is the recall of the lookup. `distance` is that of the best window's SimHash.
 
 Documents are read once, without a shuffle. Items go to the executors in blocks of BLOCK_ITEMS, one pass over
 the documents per block, so what is broadcast is bounded whatever the benchmark's size.
@@ -36,8 +39,9 @@ from tallyweave.llm.shingles import shingles, word_table
 
 K, SIMILARITY, RADIUS = 5, 0.8, 15
 BLOCKS, BLOCK_BITS, BLOCK_ITEMS = 4, 16, 1000
-#: Rows that are hashed at once, bits of the first test of a shingle, what sums of weights may be off by.
-ROWS, TEST_BITS, SLACK = 2000, 20, 1e-9
+#: Rows that are hashed at once, windows that are fingerprinted at once, bits of the first test of a shingle, what sums of
+#: weights may be off by.
+ROWS, WINDOWS, TEST_BITS, SLACK = 2000, 4000, 20, 1e-9
 BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -112,6 +116,10 @@ class Benchmark:
         self.words = np.diff(at)
         self.lengths = [Length(n, min(K, n), np.array(items), prints[items]) for n, items in sorted(by_words.items())]
         self.prints = prints
+        # Of each item: the number of its length, and its place among the items of the length.
+        self.length_of, self.place_of = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for n, x in enumerate(self.lengths):
+            self.length_of[x.items], self.place_of[x.items] = n, np.arange(len(x.items))
 
     @cached_property
     def index(self) -> list:
@@ -122,7 +130,7 @@ class Benchmark:
 
     def near_values(self, x: Length, block: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values = (self.block(x.prints, block)[:, None] ^ near).ravel()
-        owner = np.repeat(np.arange(len(x.items)), len(near))
+        owner = np.repeat(np.arange(len(x.items), dtype=np.int32), len(near))
         order = np.argsort(values, kind="stable")
         return values[order], owner[order]
 
@@ -164,8 +172,8 @@ class Benchmark:
         return out
 
     def search(self, texts: pa.Array) -> list[tuple]:
-        """(row, item, similarity, start, words, distance, windows) of every text and item with a verified window, the
-        best of them by similarity and place."""
+        """(row, item, similarity, start, words, distance, windows, far windows) of every text and item with a verified
+        window, the best of them by similarity and place."""
         words, sizes, at = word_table(texts)
         best: dict[tuple[int, int], list] = {}
         for width, (s, places, kinds) in self.hits(words, at).items():
@@ -195,27 +203,39 @@ class Benchmark:
         return SIMILARITY / (1 + SIMILARITY) * (self.sizes[item] + window)
 
     def verify(self, k: int, width: int, own: np.ndarray, row: int, a: int, b: int, s: np.ndarray, w: np.ndarray, total: np.ndarray, best: dict) -> None:
-        """Windows of the text from a to b that are similar to item k, whose shingles are at the places own."""
+        """Windows of the text from a to b that are similar to item k, whose shingles are at the places own: those whose
+        fingerprints the multi-index brings to the item, then those that only the bound leaves."""
         length = int(self.words[k])
         last = max(a, b - length)
         # Starts whose windows hold a hit, as runs that don't meet.
         lo, hi = np.maximum(own + width - length, a), np.minimum(own, last)
         cuts = np.flatnonzero(lo[1:] > hi[:-1] + 1) + 1
         runs = zip(lo[np.concatenate([[0], cuts])], hi[np.concatenate([cuts - 1, [len(hi) - 1]])])
-        starts = np.concatenate([np.arange(x, y + 1) for x, y in runs])
-        stops = np.minimum(starts + length, b) - width + 1
         common = np.concatenate([[0.0], np.cumsum(w[own])])
-        bound = common[np.searchsorted(own, stops)] - common[np.searchsorted(own, starts)]
-        near = bound >= self.least(k, total[stops] - total[starts]) - SLACK
-        for i, j in zip(starts[near].tolist(), stops[near].tolist()):
-            like = similarity(multiset(s[i:j], w[i:j]), self.sets[k])
-            if like >= SIMILARITY:
-                old = best.get(key := (row, k))
-                if old is None or like > old[0]:
-                    apart = fingerprints((sign_bits(s[i:j]) * w[i:j, None]).sum(axis=0)[None]) ^ self.prints[k]
-                    best[key] = [like, i - a, min(i + length, b) - i, int(np.bitwise_count(apart)[0]), 1 + (old[4] if old else 0)]
-                else:
-                    old[4] += 1
+        for x, y in runs:
+            for first in range(int(x), int(y) + 1, WINDOWS):
+                starts = np.arange(first, min(first + WINDOWS, int(y) + 1))
+                stops = np.minimum(starts + length, b) - width + 1
+                prints = window_prints(s, w, starts, stops)
+                close = np.zeros(len(starts), bool)
+                close[[window for window, item in self.candidates(self.length_of[k], prints) if item == self.place_of[k]]] = True
+                bound = common[np.searchsorted(own, stops)] - common[np.searchsorted(own, starts)]
+                far = ~close & (bound >= self.least(k, total[stops] - total[starts]) - SLACK)
+                for i in np.flatnonzero(close | far).tolist():
+                    begin, end = int(starts[i]), int(stops[i])
+                    like = similarity(multiset(s[begin:end], w[begin:end]), self.sets[k])
+                    if like < SIMILARITY:
+                        continue
+                    old = best.get((row, k), (-1.0, 0, 0, 0, 0, 0))
+                    now = old[:4] if like <= old[0] else (like, begin - a, min(begin + length, b) - begin, int(distance(prints[i], self.prints[k])))
+                    best[row, k] = (*now, old[4] + 1, old[5] + int(far[i]))
+
+
+def window_prints(s: np.ndarray, w: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """SimHashes of the windows of shingles from starts to stops, both ascending and close together."""
+    a, b = int(starts[0]), int(stops[-1])
+    sums = np.concatenate([np.zeros((1, 64)), np.cumsum(sign_bits(s[a:b]) * w[a:b, None], axis=0)])
+    return fingerprints(sums[stops - a] - sums[starts - a])
 
 
 def blocks(benchmark: DataFrame, item: str, text: str):
@@ -230,8 +250,8 @@ def blocks(benchmark: DataFrame, item: str, text: str):
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for every document and item that it holds: the most similar window, and how many windows are similar enough."""
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item}` {item_kind}, similarity double, start_word long, n_words long, distance int, n_windows long"
-    names = [key, item, "similarity", "start_word", "n_words", "distance", "n_windows"]
+    schema = f"`{key}` {kind}, `{item}` {item_kind}, similarity double, start_word long, n_words long, distance int, n_windows long, n_far long"
+    names = [key, item, "similarity", "start_word", "n_words", "distance", "n_windows", "n_far"]
 
     def search(block: Benchmark) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -245,7 +265,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                     if found:
                         row, items, *rest = zip(*found)
                         ids = pa.array([shared.value.ids[k] for k in items], item_type)
-                        kinds = [pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                        kinds = [pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ids, *(pa.array(c, t) for c, t in zip(rest, kinds))], names)
 
         return docs.select(key, text).mapInArrow(run, schema)

@@ -104,7 +104,54 @@ def test_recall_near_the_threshold():
         text = " ".join(words(rng, 20) + part + words(rng, 20))
         expected += [(trial, *x) for x in brute_force(block, text)]
         rows = block.search(pa.array([text]))
-        found += [(trial, item, like, start, n) for _, item, like, start, _, _, n in rows]
+        found += [(trial, item, like, start, n) for _, item, like, start, _, _, n, _ in rows]
         apart += [r[5] for r in rows]
     assert found == expected and sum(x[2] < 0.83 for x in expected) >= 10
     assert max(apart) > op.RADIUS  # SimHashes within the radius would not do
+
+
+def test_the_multi_index_finds_nearly_all_by_itself():
+    """Over planted edits down to 0.8, repeated shingles included, the lookup within RADIUS finds at least 0.9 of the windows."""
+    rng = random.Random(8)
+    items = [words(rng, n) for n in (12, 30, 55, 100)]
+    block = op.Benchmark([0, 1, 2, 3], [" ".join(x) for x in items])
+    found = []
+    for trial in range(400):
+        part = list(items[trial % 4])
+        if trial % 5 == 0:
+            n = max(1, len(part) // 10)
+            part[-n:] = words(rng, 1) * n
+        else:
+            for _ in range(rng.randint(0, max(1, len(part) // 30))):
+                part[rng.randrange(len(part))] = "edited"
+        found += block.search(pa.array([" ".join(words(rng, 15) + part + words(rng, 15))]))
+    windows, far = sum(r[6] for r in found), sum(r[7] for r in found)
+    assert windows > 300 and any(r[2] < 0.85 for r in found) and 1 - far / windows >= 0.9
+
+
+def test_window_prints_are_those_of_each_window():
+    rng = np.random.default_rng(3)
+    s, w = rng.integers(0, 2**63, 80).astype(np.uint64), rng.integers(1, 60, 80).astype(float)
+    starts = np.arange(5, 60)
+    stops = np.minimum(starts + 26, 78)
+    alone = [op.fingerprints((op.sign_bits(s[a:b]) * w[a:b, None]).sum(axis=0)[None])[0] for a, b in zip(starts, stops)]
+    assert op.window_prints(s, w, starts, stops).tolist() == alone
+
+
+def test_a_whole_table_as_by_brute_force(spark):
+    """Repeated rows and items, several lengths, repeated phrases: all pairs with similarity, place and count."""
+    rng = random.Random(12)
+    items = [words(rng, n) for n in (4, 9, 20, 20, 45)]
+    benchmark = [(k, " ".join(x)) for k, x in enumerate(items)] + [(2, " ".join(items[2])), (None, " ".join(items[4]))]
+    rows = []
+    for k in range(40):
+        part = list(rng.choice(items))
+        if k % 3 == 0:
+            part[rng.randrange(len(part))] = "edited"
+        rows.append((k % 30, " ".join(words(rng, rng.randint(0, 40)) + part * (1 + k % 2) + words(rng, rng.randint(0, 40)))))
+    rows += [rows[0], (None, rows[1][1]), (99, None), (98, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(benchmark, "item_id long, text string")
+    block = op.Benchmark([i for i, _ in benchmark], [x for _, x in benchmark])
+    expected = [(doc, block.ids[item], like, start, n) for doc, text in rows if text for item, like, start, n in brute_force(block, text)]
+    found = [(r.doc_id, r.item_id, r.similarity, r.start_word, r.n_windows) for r in op.matches(docs, bench).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
