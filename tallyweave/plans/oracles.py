@@ -169,8 +169,40 @@ SCANS = """scans AS (SELECT id, batch_id, vendor, day, amount_cents AS c, create
   firsts AS (SELECT id, first_value(id) OVER (PARTITION BY batch_id, image ORDER BY at_, id) AS i, CASE WHEN c > 0 THEN first_value(id) OVER (PARTITION BY batch_id, lower(trim(coalesce(vendor, ''))), day, c ORDER BY at_, id) END AS d FROM scans)"""
 
 
+ROUTED = """scans AS (SELECT id, batch_id, vendor, day, amount_cents AS c, confidence, created_at AS at_, id::VARCHAR AS image FROM expenses
+    UNION ALL SELECT id + 10000000000, batch_id, upper(vendor), day, amount_cents, confidence, created_at + 10000000000, CASE WHEN id % 2 = 0 THEN id::VARCHAR ELSE 'new ' || id END FROM expenses WHERE id % 7 = 0),
+  firsts AS (SELECT *, first_value(id) OVER (PARTITION BY batch_id, image ORDER BY at_, id) AS i, CASE WHEN c > 0 THEN first_value(id) OVER (PARTITION BY batch_id, lower(trim(coalesce(vendor, ''))), day, c ORDER BY at_, id) ELSE id END AS d FROM scans)"""
+ROUTES = """SELECT id, array_to_string(list_filter([CASE WHEN i = id AND d <> id THEN 'duplicate:warn' END, CASE WHEN c <= 0 THEN 'no_amount:error' END, CASE WHEN vendor IS NULL THEN 'no_vendor:warn' END, CASE WHEN id % 23 = 0 THEN 'total_suspect:warn' END,
+    CASE WHEN id % 31 = 0 THEN 'vendor_unclear:warn' END, CASE WHEN id % 5 = 0 THEN 'total_mismatch:info' END], lambda x: x IS NOT NULL), ';') AS flags,
+  i <> id OR d <> id OR c <= 0 OR id % 23 = 0 OR id % 31 = 0 OR confidence < 0.8::DOUBLE AS review, c <= 0 OR confidence < 0.8::DOUBLE AS assist FROM firsts"""
+RESCUED = """WITH r AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice / 100 * 100 + 0.5) AS BIGINT) * 10 AS m FROM orders),
+  t AS (SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE m END AS a, CASE WHEN id % 4 = 0 THEN 0 ELSE m + [0, 4, 5, -4, 1000][id % 5 + 1] END AS b, id % 50 AS ca, id % 37 AS cb FROM r),
+  s AS (SELECT *, id % 13 <> 0 AND id % 11 <> 0 AND (id % 100 < 65 OR a <= 0) AND ((b > 0 AND a <= 0) OR (abs(a - b) < 5 AND cb > ca)) AS swapped FROM t)
+  SELECT id, CASE WHEN swapped THEN 'second' ELSE 'first' END AS vendor, CASE WHEN swapped THEN b ELSE a END AS mils, CASE WHEN swapped THEN cb ELSE ca END / 100.0::DOUBLE AS confidence, CASE WHEN swapped THEN 80 ELSE id % 100 END::DOUBLE AS page_conf, swapped FROM s"""
+COSTS = """SELECT event_id, CAST(floor((CASE WHEN event_id % 6 > 0 THEN event_id % 3000 ELSE 0 END / 1e6::DOUBLE * coalesce(p_size, 0)::DOUBLE + (event_id % 700) / 1e6::DOUBLE * (coalesce(p_size, 0) * 5)::DOUBLE) * 1e9::DOUBLE + 0.5) AS BIGINT) AS nanos FROM events LEFT JOIN part ON p_partkey = event_id % 400 + 1"""
+#: Where each style of line has its rightmost money: by its words' boxes, or by characters of a line half as wide as the page.
+WORDS = """WITH l AS (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 5 AS k, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS c FROM lineitem),
+  n AS (SELECT *, length(CAST(c // 100 AS VARCHAR)) + 3 AS la, length(CAST((c + 100) // 100 AS VARCHAR)) + 3 AS lb, length(CAST(l_orderkey AS VARCHAR)) AS lk FROM l),
+  h AS (SELECT l_orderkey, l_linenumber, CASE WHEN k IN (1, 2) THEN c + 100 WHEN k = 4 THEN l_orderkey * 100 ELSE c END AS cents,
+    CASE k WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 0.4::DOUBLE WHEN 2 THEN 0.25::DOUBLE + 0.5::DOUBLE * (la + 3) / (la + 3 + lb) WHEN 3 THEN 0.25::DOUBLE + 0.5::DOUBLE * 4 / (la + 5) ELSE 0.25::DOUBLE + 0.5::DOUBLE * 10 / (lk + 11) END AS x, CASE WHEN k < 2 THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END AS y,
+    CASE k WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN 0.5::DOUBLE * lb / (la + 3 + lb) WHEN 3 THEN 0.5::DOUBLE * la / (la + 5) ELSE 0.5::DOUBLE * (lk + 1) / (lk + 11) END AS w FROM n)
+  SELECT l_orderkey, l_linenumber, CAST(cents AS BIGINT) AS cents, CAST(floor(x * 1e6::DOUBLE + 0.5) AS BIGINT) AS x, CAST(floor(y * 1e6::DOUBLE + 0.5) AS BIGINT) AS y, CAST(floor(w * 1e6::DOUBLE + 0.5) AS BIGINT) AS w FROM h"""
+INTAKE = """WITH f AS (SELECT l_suppkey AS batch_id, l_orderkey * 10 + l_linenumber AS file_id, 'a ' || l_orderkey || ['.jpg', '.PNG', '', '.txt', '.pdf'][(l_orderkey + l_linenumber) % 5 + 1] AS name, l_orderkey % 1000 AS at_,
+    CASE WHEN l_orderkey % 4 <> 1 AND (l_orderkey + l_linenumber) % 5 IN (2, 3) THEN 'type' WHEN l_orderkey % 17 = 0 THEN 'empty' WHEN floor(l_extendedprice * 400) > 26214400 THEN 'size' END AS no FROM lineitem),
+  p AS (SELECT *, count(*) FILTER (no IS NULL) OVER (PARTITION BY batch_id ORDER BY at_, file_id) + CASE WHEN batch_id % 2 = 0 THEN batch_id * 10 ELSE 0 END AS place FROM f)
+  SELECT batch_id, file_id, name, CASE WHEN no IS NULL AND place > 200 THEN 'full' ELSE no END AS refused FROM p"""
+REPORT = f"""SELECT {DISPLAY} AS category, coalesce(CAST(day AS VARCHAR), '') AS "date", coalesce(CASE id % 4 WHEN 0 THEN 'a "b", ' || vendor WHEN 1 THEN 'two' || chr(10) || 'lines ' || vendor ELSE vendor END, '') AS vendor, {fixed('amount_cents')} AS amount, currency,
+  CAST(CAST(floor(confidence * 100 + 0.5) AS INTEGER) AS VARCHAR) AS confidence, CASE WHEN review_required AND NOT approved THEN 'Needs review' WHEN approved THEN 'Approved' ELSE 'OK' END AS status, CASE WHEN review_required AND NOT approved THEN 'Low confidence — please review.' ELSE '' END AS notes FROM reported"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "review_routing": q(ROUTES, ROUTED),
+        "rescue_reads": RESCUED,
+        "model_costs": COSTS,
+        "word_amounts": WORDS,
+        "file_intake": INTAKE,
+        "report_file": q(REPORT),
         "board_sorts": q(f"SELECT batch_id, id, {BOARD} FROM expenses"),
         "receipt_duplicates": q("SELECT id, CASE WHEN i <> id THEN i ELSE d END AS duplicate_of, CASE WHEN i <> id THEN 'image' ELSE 'details' END AS via FROM firsts WHERE i <> id OR d <> id", SCANS),
         "saved_jobs": """WITH j AS (SELECT s_suppkey AS k, upper(s_name) AS name, CASE s_suppkey % 3 WHEN 1 THEN 'k- ' || (s_suppkey + 1) ELSE 'j-' || s_suppkey END AS number, CASE WHEN s_suppkey % 3 = 1 THEN 1000000000 ELSE 0 END + s_suppkey AS saved FROM supplier WHERE s_suppkey % 3 > 0)

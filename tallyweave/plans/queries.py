@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, money, text
-from tallyweave.operators import extract, identity, images, kernels, merge, report, similar, vision
+from tallyweave.operators import extract, identity, images, kernels, merge, report, review, similar, vision, words
+from tallyweave.sources import files
 from tallyweave.sources.adapters import expenses, exportable, table
 from tallyweave.sources.dims import CATEGORIES, aliases
 from tallyweave.sources.scratch import scratch, written
@@ -436,6 +437,72 @@ def seen_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.stream_first_seen(spark, f"{sf_dir}/events.parquet")
 
 
+def routed_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rule of what a person must see, over receipts scanned again: flags by id, duplicates by image or details."""
+    rows = expenses(spark, sf_dir).select("id", "batch_id", "vendor", "day", "amount_cents", "confidence", "created_at", F.sha2(F.col("id").cast("string"), 256).alias("image_hash"))
+    again = rows.where("id % 7 = 0").withColumns({"id": F.col("id") + 10**10, "created_at": F.col("created_at") + 10**10, "vendor": F.upper("vendor"), "image_hash": F.when(F.col("id") % 2 == 0, F.col("image_hash")).otherwise(F.sha2(F.concat(F.lit("new "), F.col("id").cast("string")), 256))})
+    both = written(rows.unionByName(again), "scans")
+    flag = lambda k, code: F.when(F.col("id") % k == 0, code)
+    flags = F.array_compact(F.array(F.when(F.col("amount_cents") <= 0, "no_amount:error"), F.when(F.col("vendor").isNull(), "no_vendor:warn"), flag(23, "total_suspect:warn"), flag(31, "vendor_unclear:warn"), flag(5, "total_mismatch:info")))
+    found = review.routed(both.withColumn("flags", flags), merge.likely_duplicates(both), True)
+    return found.select("id", F.array_join("flags", ";").alias("flags"), "review", "assist")
+
+
+def rescue_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages read twice: amounts missed by either reading, some mils apart, or another's."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    mils = money.cents(F.col("o_totalprice") / 100) * 10
+    first = o.select(key.alias("id"), F.lit("first").alias("vendor"), F.when(key % 3 == 0, 0).otherwise(mils).alias("mils"), (key % 50 / 100.0).alias("confidence"), (key % 100).cast("double").alias("page_conf"), (key % 11 == 0).alias("cached"))
+    off = F.element_at(F.array(*[F.lit(x) for x in (0, 4, 5, -4, 1000)]), (key % 5 + 1).cast("int"))
+    second = o.where("o_orderkey % 13 <> 0").select(key.alias("id"), F.lit("second").alias("vendor"), F.when(key % 4 == 0, 0).otherwise(mils + off).alias("mils"), (key % 37 / 100.0).alias("confidence"), F.lit(80.0).alias("page_conf"), F.lit(False).alias("cached"))
+    return review.rescued(first, second)
+
+
+def model_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as model calls, with parts as the models and their prices; calls of models that have none cost nothing."""
+    e, p = table(spark, sf_dir, "events"), table(spark, sf_dir, "part")
+    prices = p.select(F.col("p_partkey").alias("model"), F.col("p_size").cast("double").alias("price_in"), (F.col("p_size") * 5).cast("double").alias("price_out"))
+    calls = e.select("event_id", (F.col("event_id") % 400 + 1).alias("model"), F.when(F.col("event_id") % 6 > 0, F.col("event_id") % 3000).alias("tokens_in"), (F.col("event_id") % 700).alias("tokens_out"))
+    return review.priced(calls, prices).select("event_id", F.floor(F.col("cost") * 1e9 + 0.5).alias("nanos"))
+
+
+def word_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rightmost money of lines: words whose boxes are in another order than the words, equally far right, without boxes of words, with a
+    blank about the separator, and whole numbers beside a date."""
+    li, c = table(spark, sf_dir, "lineitem"), money.cents(F.col("l_extendedprice"))
+    a, b = money.fixed_text(c), money.fixed_text(c + 100)
+    style = (F.col("l_orderkey") + F.col("l_linenumber")) % 5
+    gap = F.concat(F.substring(a, F.lit(1), F.length(a) - 2), F.lit(" "), F.substring(a, F.length(a) - 1, F.lit(2)))
+    line = F.when(style < 3, F.concat(a, F.lit(" x "), b)).when(style == 3, F.concat(F.lit("sum "), gap)).otherwise(F.concat(F.lit("05/10/2026 "), F.col("l_orderkey").cast("string")))
+    word = lambda t, x: F.struct(t.alias("text"), F.lit(x).alias("x"), F.lit(0.1).alias("y"), F.lit(0.2).alias("w"), F.lit(0.05).alias("h"))
+    boxed = F.when(style == 0, F.array(word(a, 0.7), word(F.lit("x"), 0.5), word(b, 0.1))).when(style == 1, F.array(word(F.concat(F.lit("2@"), a), 0.4), word(b, 0.4)))
+    box = F.struct(F.lit(0.25).alias("x"), F.lit(0.5).alias("y"), F.lit(0.5).alias("w"), F.lit(0.125).alias("h"))
+    t = li.select("l_orderkey", "l_linenumber", line.alias("text"), box.alias("box"), boxed.alias("words"))
+    found = t.withColumn("hit", words.rightmost(words.money_hits(F.col("text"), F.col("box"), F.col("words"), True)))
+    return found.select("l_orderkey", "l_linenumber", "hit.cents", *[F.floor(F.col(f"hit.{k}") * 1e6 + 0.5).alias(k) for k in "xyw"])
+
+
+def file_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as uploads to their supplier's batch, which has some files already."""
+    li, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    pick = lambda xs, by: F.element_at(F.array(*[F.lit(x) for x in xs]), (by % len(xs) + 1).cast("int"))
+    key, n = F.col("l_orderkey"), F.col("l_linenumber")
+    name = F.concat(F.lit("C:\\scans/a "), key.cast("string"), pick([".jpg", ".PNG", "", ".txt", ".pdf"], key + n))
+    uploads = li.select(F.col("l_suppkey").alias("batch_id"), (key * 10 + n).alias("file_id"), name.alias("name"), pick(["", "image/PNG", None, "text/plain"], key), F.when(key % 17 == 0, 0).otherwise(F.floor(F.col("l_extendedprice") * 400)).cast("long").alias("size"), (key % 1000).alias("at"))
+    uploads = uploads.toDF("batch_id", "file_id", "name", "mime", "size", "at")
+    taken = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("batch_id"), (F.col("s_suppkey") * 10).alias("n"))
+    return files.intake(uploads, taken).select("batch_id", "file_id", "name", "refused")
+
+
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV report written and read back, its vendors with commas, quotes and line ends."""
+    dirty = F.when(F.col("id") % 4 == 0, F.concat(F.lit('a "b", '), F.col("vendor"))).when(F.col("id") % 4 == 1, F.concat(F.lit("two\nlines "), F.col("vendor"))).otherwise(F.col("vendor"))
+    rows = reported(spark, sf_dir).withColumn("vendor", dirty)
+    folder = scratch(spark, "report")
+    files.write_report(report.csv_lines(rows).join(rows.select("id", "day"), "id"), folder)
+    return files.read_report(spark, folder)
+
+
 QUERIES = {
     "spend_by_category": on_reported(report.by_category),
     "headline_kpis": on_reported(report.headline),
@@ -499,4 +566,10 @@ QUERIES = {
     "stream_lww": stream_lww,
     "stream_correction_fold": stream_correction_fold,
     "work_queue": work_queue,
+    "review_routing": routed_receipts,
+    "rescue_reads": rescue_reads,
+    "model_costs": model_costs,
+    "word_amounts": word_amounts,
+    "file_intake": file_intake,
+    "report_file": report_file,
 }
