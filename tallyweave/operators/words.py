@@ -18,6 +18,20 @@ WORDS = "array<struct<text:string,x:double,y:double,w:double,h:double>>"
 MARK = "\x01"
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is worked out once: lambdas would work it out again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def cut(text: Column, pattern: str) -> Column:
+    """The text cut before and after each match: every second piece is one."""
+    return F.split(F.regexp_replace(F.translate(text, MARK, " "), f"({pattern})", f"{MARK}$1{MARK}"), MARK)
+
+
+def or_else(other: Column):
+    return lambda hits: F.when(F.size(hits) > 0, hits).otherwise(other)
+
+
 def hit(cents: Column, box: Column) -> Column:
     return F.struct(cents.alias("cents"), *[box[c].cast("double").alias(c) for c in "xywh"]).cast(HIT)
 
@@ -34,10 +48,9 @@ def slice_box(box: Column, length: Column, start: Column, end: Column) -> Column
 
 def placed(text: Column, pattern: str) -> Column:
     """(raw, start) of all matches: the text is cut before and after each, and starts are lengths of what comes before."""
-    pieces = F.split(F.regexp_replace(F.translate(text, MARK, " "), f"({pattern})", f"{MARK}$1{MARK}"), MARK)
-    before = lambda i: F.length(F.array_join(F.slice(pieces, F.lit(1), i), ""))
-    cut = F.transform(pieces, lambda p, i: F.struct(p.alias("raw"), before(i).alias("start"), (i % 2 == 1).alias("match")))
-    return F.filter(cut, lambda p: p["match"])
+    before = lambda pieces, i: F.length(F.array_join(F.slice(pieces, F.lit(1), i), ""))
+    each = lambda pieces: F.transform(pieces, lambda p, i: F.struct(p.alias("raw"), before(pieces, i).alias("start"), (i % 2 == 1).alias("match")))
+    return F.filter(bound(cut(text, pattern), each), lambda p: p["match"])
 
 
 def hits_of_line(text: Column, box: Column, width: Column, pattern: str) -> Column:
@@ -49,8 +62,7 @@ def hits_of_line(text: Column, box: Column, width: Column, pattern: str) -> Colu
 def blanked(text: Column) -> Column:
     """Dates and times made blanks of the same length: by pieces, as the blanks depend on the match."""
     for pattern in (r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b", r"\b\d{1,2}:\d{2}(?::\d{2})?\b"):
-        pieces = F.split(F.regexp_replace(F.translate(text, MARK, " "), f"({pattern})", f"{MARK}$1{MARK}"), MARK)
-        text = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
+        text = F.array_join(F.transform(cut(text, pattern), lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
     return text
 
 
@@ -64,10 +76,11 @@ def money_hits(text: Column, box: Column, words: Column, lenient: bool = False)
     stages = [by_word, hits_of_line(text, box, width, MONEY), hits_of_line(closed, box, width, MONEY)]
     if lenient:
         stages.append(hits_of_line(blanked(text), box, width, LENIENT_MONEY))
-    found = None
-    for stage in stages[:-1]:
-        found = F.when(F.size(stage) > 0, stage) if found is None else found.when(F.size(stage) > 0, stage)
-    return F.coalesce(found.otherwise(stages[-1]), F.array().cast(f"array<{HIT}>"))
+    # Later stages are only looked at where all before are empty, and each is worked out once.
+    found = stages[0]
+    for stage in stages[1:]:
+        found = bound(found, or_else(stage))
+    return F.coalesce(found, F.array().cast(f"array<{HIT}>"))
 
 
 def rightmost(hits: Column) -> Column:
