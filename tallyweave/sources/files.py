@@ -10,7 +10,7 @@ MOST_FILES, MOST_BYTES = 200, 25 * 1024 * 1024
 TYPES = ("image/jpeg", "image/png", "image/webp", "image/heic", "image/heif", "application/pdf")
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".heic", ".heif", ".pdf")
 HEADERS = ("Category", "Date", "Vendor", "Amount", "Currency", "Confidence", "Status", "Notes")
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def base_name(name: Column) -> Column:

@@ -75,6 +75,6 @@ def test_report_file(spark, tmp_path):
     folder = str(tmp_path / "report")
     files.write_report(lines.withColumn("day", F.to_date("day")), folder)
     whole = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{folder}/part-*"))).decode()
-    assert whole == "﻿" + ",".join(files.HEADERS) + "\r\n" + 'Fuel,2026-05-01,"two\r\nlines\n",45.20,USD,90,OK,"a; b"\r\nMeals,2026-05-02,"Butch\'s, ""Grinders""",18.50,USD,90,OK,\r\n'
+    assert whole == "\ufeff" + ",".join(files.HEADERS) + "\r\n" + 'Fuel,2026-05-01,"two\r\nlines\n",45.20,USD,90,OK,"a; b"\r\nMeals,2026-05-02,"Butch\'s, ""Grinders""",18.50,USD,90,OK,\r\n'
     found = {tuple(r) for r in files.read_report(spark, folder).collect()}
     assert found == {("Fuel", "2026-05-01", "two\nlines\n", "45.20", "USD", "90", "OK", "a; b"), ("Meals", "2026-05-02", "Butch's, \"Grinders\"", "18.50", "USD", "90", "OK", "")}
