@@ -56,3 +56,8 @@ def test_folds(spark):
 @pytest.mark.parametrize("t,c", [("Dinner Club", None), ("Seaside Inn", "Lodging"), ("CAFÉ Rouge", "Meals"), ("price/gal 3", "Fuel")])
 def test_category(spark, t, c):
     assert column(spark, t, text.category_by_rules) == c
+
+
+def test_amounts_of_any_limit(spark):
+    assert column(spark, "$1000001.50", lambda x: money.parse_cents(x, money.EXACT)) == 100000150
+    assert column(spark, "$" + "9" * 40, lambda x: money.parse_cents(x, money.EXACT)) is None
