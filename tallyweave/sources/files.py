@@ -52,9 +52,10 @@ def write_report(lines: DataFrame, folder: str) -> None:
 
 def read_report(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of report files, what is empty as an empty text: quoted fields may hold commas, quotes and line ends, of which CR LF is read
-    as LF. Heads and byte order marks are left out. A part is read by one task, as its line ends can't be told from those in fields."""
+    as LF. Heads and byte order marks are left out. A part is read by one task, as its line ends can't be told from those in fields. What ends
+    a row is stated: the reader would guess it from the first line end of each part, which may be one in a field."""
     schema = ", ".join(f"`{h.lower()}` string" for h in HEADERS)
-    rows = spark.read.schema(schema).csv(folder, multiLine=True, escape='"', quote='"', emptyValue="")
-    rows = rows.select(*[F.coalesce(h.lower(), F.lit("")).alias(h.lower()) for h in HEADERS])
+    rows = spark.read.schema(schema).csv(folder, multiLine=True, lineSep="\r\n", escape='"', quote='"', emptyValue="")
+    rows = rows.select(*[F.coalesce(F.replace(h.lower(), F.lit("\r\n"), F.lit("\n")), F.lit("")).alias(h.lower()) for h in HEADERS])
     first = F.ltrim(F.translate(F.col("category"), BOM, ""))
     return rows.where(~((first == HEADERS[0]) & (F.col("notes") == HEADERS[-1])))

@@ -78,3 +78,16 @@ def test_report_file(spark, tmp_path):
     assert whole == "\ufeff" + ",".join(files.HEADERS) + "\r\n" + 'Fuel,2026-05-01,"two\r\nlines\n",45.20,USD,90,OK,"a; b"\r\nMeals,2026-05-02,"Butch\'s, ""Grinders""",18.50,USD,90,OK,\r\n'
     found = {tuple(r) for r in files.read_report(spark, folder).collect()}
     assert found == {("Fuel", "2026-05-01", "two\nlines\n", "45.20", "USD", "90", "OK", "a; b"), ("Meals", "2026-05-02", "Butch's, \"Grinders\"", "18.50", "USD", "90", "OK", "")}
+
+
+def test_report_parts_that_begin_with_a_line_end_in_a_field(spark, tmp_path):
+    (tmp_path / "part-0").write_bytes(b'Fuel,,"two\nlines",1.00,USD,90,OK,\r\nMeals,,x,2.00,USD,90,OK,"a\r\nb"\r\n')
+    found = {tuple(r) for r in files.read_report(spark, str(tmp_path)).collect()}
+    assert found == {("Fuel", "", "two\nlines", "1.00", "USD", "90", "OK", ""), ("Meals", "", "x", "2.00", "USD", "90", "OK", "a\nb")}
+
+
+def test_words_over_the_limit(spark):
+    t = spark.createDataFrame([("05/10/2026 1234567", BOX, None), ("$2,345,678.50", BOX, None), ("", BOX, [word("3000000.25", 0.5)])], LINE).coalesce(1)
+    hits = lambda **limit: words.rightmost(words.money_hits(F.col("text"), F.col("box"), F.col("words"), True, **limit))["cents"]
+    found = t.select(hits(limit=10**9).alias("a"), hits().alias("b")).collect()
+    assert [r.a for r in found] == [123456700, 234567850, 300000025] and found[0].b is None
