@@ -55,7 +55,7 @@ def placed(text: Column, pattern: str) -> Column:
 
 def hits_of_line(text: Column, box: Column, width: Column, pattern: str, limit: int = LIMIT) -> Column:
     """Hits with their parts of the line's box; width is the length of the line as printed."""
-    found = F.transform(placed(text, pattern), lambda m: hit(parse_cents(m["raw"], limit), slice_box(box, width, m["start"], m["start"] + F.length(m["raw"]))))
+    found = F.transform(placed(text, pattern), lambda m: hit(parse_cents(m["raw"], limit=limit), slice_box(box, width, m["start"], m["start"] + F.length(m["raw"]))))
     return F.filter(found, lambda h: h["cents"].isNotNull())
 
 
@@ -70,7 +70,7 @@ def money_hits(text: Column, box: Column, words: Column, lenient: bool = False,
     """The first money of each word; if no word has any, all money of the line; of the line with blanks about separators closed;
     if lenient, any numbers but dates and times. Amounts over the limit are none."""
     width = F.length(text)
-    first = F.transform(F.coalesce(words.cast(WORDS), F.array().cast(WORDS)), lambda w: hit(parse_cents(F.nullif(F.regexp_extract(w["text"], f"({MONEY})", 1), F.lit("")), limit), w))
+    first = F.transform(F.coalesce(words.cast(WORDS), F.array().cast(WORDS)), lambda w: hit(parse_cents(F.nullif(F.regexp_extract(w["text"], f"({MONEY})", 1), F.lit("")), limit=limit), w))
     by_word = F.filter(first, lambda h: h["cents"].isNotNull())
     closed = F.regexp_replace(F.regexp_replace(text, r"(\d)\s+([.,])\s*(\d{2})(?!\d)", "$1$2$3"), r"(\d)([.,])\s+(\d{2})(?!\d)", "$1$2$3")
     stages = [by_word, hits_of_line(text, box, width, MONEY, limit), hits_of_line(closed, box, width, MONEY, limit)]

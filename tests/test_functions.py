@@ -59,5 +59,5 @@ def test_category(spark, t, c):
 
 
 def test_amounts_of_any_limit(spark):
-    assert column(spark, "$1000001.50", lambda x: money.parse_cents(x, money.EXACT)) == 100000150
-    assert column(spark, "$" + "9" * 40, lambda x: money.parse_cents(x, money.EXACT)) is None
+    assert column(spark, "$1000001.50", lambda x: money.parse_cents(x, limit=money.EXACT)) == 100000150
+    assert column(spark, "$" + "9" * 40, lambda x: money.parse_cents(x, limit=money.EXACT)) is None
