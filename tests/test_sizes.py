@@ -16,3 +16,10 @@ def test_great_keys(spark, tmp_path, name, table, key):
     c.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
     expected = c.sql("select " + ", ".join(f'"{x}"' for x in df.columns) + f" from ({entry.oracle_sql()[name]})").fetchall()
     assert normal(tuple(r) for r in df.collect()) == normal(expected)
+
+
+@pytest.mark.parametrize("name", ["locate_values", "locate_amounts"])
+def test_nothing_is_broadcast(spark, name):
+    """Printed lines are more than the files tell from which their size is guessed."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning(o_orderkey") == 2
