@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Least probability of a text pixel (exclusive) and of a region's mean, growth of a box by its sides, least side, most boxes.
 BIN, BOX, EXPAND, LEAST_SIDE, MOST_BOXES = 0.3, 0.5, 0.3, 3, 1000
@@ -156,25 +157,45 @@ def crops(gray: np.ndarray) -> np.ndarray:
     return np.where(good[:, None], padded, inner)
 
 
+#: Values of maps that are worked on at once.
+MOST_VALUES = 1 << 20
+
+
+def _parts(lists: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of parts of at most MOST_VALUES values or of one row."""
+    share = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) // MOST_VALUES
+    at = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(lists)]
+    return ((a, b - a) for a, b in zip(at, at[1:]) if b > a)
+
+
 def on_maps(images: DataFrame, key: str, values: str, width: str, use: Callable[[np.ndarray], list], schema: str) -> DataFrame:
-    """Apply use, a function of maps (n, h, w), to all maps of each shape of a batch, and hand on (key, its row) of each map; several rows
-    if it gives a list of them."""
+    """Apply use, a function of maps (n, h, w), to all maps of each shape of a part of a batch, and hand on (key, its row) of each map;
+    several rows if it gives a list of them. Parts are bounded by their values, which stay in arrays, so that memory is too."""
     rows = images.select(key, values, width)
     arrow = _arrow(f"{rows.schema[key].name} {rows.schema[key].dataType.simpleString()}, {schema}")
 
+    def on_part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, lists = batch.column(0).to_pylist(), batch.column(1)
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = lists.flatten()
+        gaps = flat.is_null().to_numpy(zero_copy_only=False)
+        data = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+        spans = [(int(a), int(b)) for a, b in zip([0, *ends[:-1]], ends)]
+        shapes: dict[tuple[int, int], list[int]] = {}
+        for i, ((a, b), w) in enumerate(zip(spans, batch.column(2).to_pylist())):
+            if b > a and w and w > 0 and (b - a) % w == 0 and not gaps[a:b].any():
+                shapes.setdefault(((b - a) // w, w), []).append(i)
+        found = []
+        for (h, w), which in shapes.items():
+            maps = np.stack([data[slice(*spans[i])] for i in which]).reshape(len(which), h, w)
+            for i, r in zip(which, use(maps)):
+                found += [(keys[i], *x) for x in (r if isinstance(r, list) else [tuple(r)])]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], f.type) for c, f in enumerate(arrow)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, every = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            shapes: dict[tuple[int, int], list[int]] = {}
-            for i, (v, w) in enumerate(zip(every, batch.column(2).to_pylist())):
-                if v and w and w > 0 and len(v) % w == 0 and None not in v:
-                    shapes.setdefault((len(v) // w, w), []).append(i)
-            found = []
-            for (h, w), which in shapes.items():
-                maps = np.array([every[i] for i in which], float).reshape(len(which), h, w)
-                for i, r in zip(which, use(maps)):
-                    found += [(keys[i], *x) for x in (r if isinstance(r, list) else [tuple(r)])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], f.type) for c, f in enumerate(arrow)], schema=arrow)
+            for at, n in _parts(batch.column(1)):
+                yield on_part(batch.slice(at, n))
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, {schema}")
 
@@ -192,8 +213,9 @@ def text_regions(images: DataFrame, key: str, values: str, width: str) -> DataFr
 
 
 def tilts(images: DataFrame, key: str, values: str, width: str) -> DataFrame:
-    """(key, degrees): the tilt of each mask's ink, which is what is not 0."""
-    return on_maps(images, key, values, width, lambda m: [(tilt(x != 0),) for x in m], "degrees double")
+    """(key, degrees): the tilt of each mask's ink, which is what is not 0. A mask goes to Python as a bit a pixel."""
+    masks = images.select(key, F.transform(values, lambda x: x != 0).alias(values), width)
+    return on_maps(masks, key, values, width, lambda m: [(tilt(x != 0),) for x in m], "degrees double")
 
 
 def cropped(images: DataFrame, key: str, values: str, width: str) -> DataFrame:

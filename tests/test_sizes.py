@@ -23,3 +23,14 @@ def test_nothing_is_broadcast(spark, name):
     """Printed lines are more than the files tell from which their size is guessed."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning(o_orderkey") == 2
+
+
+def test_maps_in_bounded_parts(spark):
+    """A batch of many maps reaches the kernel in parts of bounded size, and each map's row is that of the map alone."""
+    from tallyweave.operators import images
+
+    t = spark.range(300).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(0), F.lit(8191)), lambda i: F.when(i == F.col("id"), 1.0).otherwise(0.0)).alias("v"), F.lit(64).alias("w"))
+    odd = spark.createDataFrame([(1000, None, 1), (1001, [1.0, None], 2), (1002, [1.0, 2.0, 3.0], 2), (1003, [], 1), (1004, [5.0], 1), (1005, [5.0], 0)], "k long, v array<double>, w int")
+    found = images.on_maps(t.unionByName(odd).coalesce(1), "k", "v", "w", lambda m: [(int(x.argmax()), len(m)) for x in m], "at int, n int").collect()
+    assert {r.k: r.at for r in found} == {**{k: k for k in range(300)}, 1004: 0}
+    assert max(r.n for r in found) <= 129
