@@ -34,3 +34,19 @@ def test_maps_in_bounded_parts(spark):
     found = images.on_maps(t.unionByName(odd).coalesce(1), "k", "v", "w", lambda m: [(int(x.argmax()), len(m)) for x in m], "at int, n int").collect()
     assert {r.k: r.at for r in found} == {**{k: k for k in range(300)}, 1004: 0}
     assert max(r.n for r in found) <= 129
+
+
+@pytest.mark.parametrize("name", ["extract_roundtrip"])
+def test_receipts_are_printed_once(spark, name):
+    """What comes after the gathering, vendors too, reads what was written; no line is printed, matched or read again."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "o_orderkey" not in plan
+
+
+def test_days_that_there_are(spark):
+    from tallyweave.functions.dates import dates_in
+
+    texts = ["2024-02-29", "2023-02-29", "2100-02-29", "2000-02-29", "2024-04-31", "31 Dec 2024", "13/31/2024", "0 Jan 2024", "no date 12.50", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", dates_in(F.col("t")).alias("d")).orderBy("k").collect()
+    days = [None if r.d is None else [h.date.isoformat() for h in r.d] for r in rows]
+    assert days == [["2024-02-29"], [], [], ["2000-02-29"], [], ["2024-12-31"], [], [], [], [], None]
