@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.money import cents, parse_cents
+from tallyweave.functions.money import bound, cents, parse_cents
 from tallyweave.functions.text import category_by_rules, vision_json
 from tallyweave.operators.extract import LARGE_CENTS, REVIEW_BELOW
 from tallyweave.operators.identity import alias_hits, best_alias
 from tallyweave.sources.dims import CATEGORIES, CURRENCY_CODES
+from tallyweave.sources.scratch import written
 
 # Confidence of a whole reply, what missing fields and flags of each severity cost, longest vendor, greatest amount in cents.
 WHOLE, NO_AMOUNT, NO_DATE, NO_VENDOR, ERROR, WARN, LONGEST, MOST_CENTS = 0.92, 0.45, 0.15, 0.15, 0.15, 0.07, 80, 100_000_000
@@ -30,21 +31,25 @@ def _amount(v: Column, field: str) -> Column:
     number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), cents(F.try_variant_get(v, f"$.{field}", "double")))
     written = F.when(kind == "STRING", parse_cents(F.try_variant_get(v, f"$.{field}", "string")))
     found = F.coalesce(number, written, F.lit(0))
-    return F.when((found > 0) & (found <= MOST_CENTS), found).otherwise(0).cast("long")
+    return bound(found, lambda c: F.when((c > 0) & (c <= MOST_CENTS), c).otherwise(0).cast("long"))
 
 
 def vision_fields(replies: DataFrame, key: str, reply: str, as_of: str, fallback_currency: str = "USD") -> DataFrame:
     """(key, vendor, day, amount_cents, tax_cents, currency, category, confidence, flags, review) of each reply that holds a JSON object; flags
     as code:severity in the order in which they are told."""
-    v = F.col("v")
     # The parser stops after the first value, so that more than one is told by a list of them.
-    found = replies.select(F.col(key), vision_json(F.col(reply)).alias("j")).where(F.json_array_length(F.concat(F.lit("["), F.col("j"), F.lit("]"))) == 1)
-    t = found.select(key, F.try_parse_json("j").alias("v")).where(F.schema_of_variant(v).startswith("OBJECT"))
-    t = t.select(
-        key, F.substring(_text(v, "vendor"), 1, LONGEST).alias("vendor"), _amount(v, "amount").alias("amount_cents"), _amount(v, "tax").alias("tax_cents"),
-        F.when(_text(v, "date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(_text(v, "date"), "yyyy-MM-dd")).alias("day"),
-        F.upper(_text(v, "currency")).alias("code"), _text(v, "category").alias("told"),
-    )
+    parsed = bound(vision_json(F.col(reply)), lambda j: F.when(F.json_array_length(F.concat(F.lit("["), j, F.lit("]"))) == 1, F.try_parse_json(j)))
+
+    def fields(v: Column) -> Column:
+        day = bound(_text(v, "date"), lambda d: F.when(d.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(d, "yyyy-MM-dd")))
+        return F.struct(
+            F.substring(_text(v, "vendor"), 1, LONGEST).alias("vendor"), _amount(v, "amount").alias("amount_cents"), _amount(v, "tax").alias("tax_cents"),
+            day.alias("day"), F.upper(_text(v, "currency")).alias("code"), _text(v, "category").alias("told"),
+        )
+
+    # A reply is parsed in a generator, which filters do not repeat, and its fields are written, as they are used twice.
+    objects = F.filter(F.array(parsed), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    t = written(replies.select(F.col(key), F.inline(F.transform(objects, fields))), "fields")
     sure = F.when(F.col("told").isin(*CATEGORIES), F.col("told"))
     # Vendors are looked up for the rest alone, each once.
     unsure = t.where(sure.isNull() & (F.col("vendor") != "")).select("vendor").distinct()

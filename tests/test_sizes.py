@@ -50,3 +50,10 @@ def test_days_that_there_are(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", dates_in(F.col("t")).alias("d")).orderBy("k").collect()
     days = [None if r.d is None else [h.date.isoformat() for h in r.d] for r in rows]
     assert days == [["2024-02-29"], [], [], ["2000-02-29"], [], ["2024-12-31"], [], [], [], [], None]
+
+
+@pytest.mark.parametrize("name", ["vision_fields"])
+def test_replies_are_parsed_once(spark, name):
+    """Filters and the look-up of vendors read fields that were written; no reply is cut out or parsed again."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "```" not in plan and "parse" not in plan.lower()
