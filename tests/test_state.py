@@ -64,3 +64,41 @@ def test_queue(spark, tmp_path, files):
     found = state.finished_jobs(spark, stream)
     assert sorted(map(tuple, found.collect())) == expected
     assert state.replayed_queue(table.where("false")).count() == 0
+
+
+def test_queue_state_is_put_at_once():
+    """However many jobs wait, a batch puts one value and gets one, and the jobs come back as they were."""
+
+    class Value:
+        kept, puts = None, 0
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept, self.puts = value, self.puts + 1
+
+        def clear(self):
+            self.kept = None
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, *_):
+            return self.value
+
+        def listTimers(self):
+            return iter(())
+
+        def registerTimer(self, at):
+            self.at = at
+
+    p = state.QueueProcessor()
+    p.init(Handle())
+    q = state.Queue([(k, k, 0, 1000, 'lo"st' if k % 2 else "done") for k in range(500)], [(7, 1, 0, 0, 1, 5, "done")])
+    p._save(q)
+    again = p._load()
+    assert Handle.value.puts == 1 and p.handle.at == 7
+    assert sorted(again.waiting) == sorted(q.waiting) and again.working == q.working
+    p._save(state.Queue())
+    assert Handle.value.kept is None and p._load().waiting == []
