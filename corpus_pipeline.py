@@ -64,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the mix into ORC files and return their digest, a row for each copy."""
-    return token_orc.token_digest(token_orc.write_tokens(docs, scratch(spark, "tokens")))
+    return token_orc.token_digest(token_orc.write_tokens(docs, scratch(spark, "tokens"), lean=True))
 
 
 STAGES = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,24 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What a Python worker keeps from task to task, of one operator at a time.
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What make() returned in an earlier task of this worker, unless another operator's tasks have come between."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """At the start of a task: drop what another operator's tasks have kept in this worker."""
+    _KEPT.clear()
+    release()
+
+
 #: ASCII white space as the contracts define it.
 SPACE = r"\x20\x09-\x0D"
 

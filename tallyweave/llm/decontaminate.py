@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import release, table
+from tallyweave.llm.common import forget, release, table
 from tallyweave.llm.shingles import shingles, word_table
 
 K, SIMILARITY, RADIUS = 5, 0.8, 15
@@ -284,12 +284,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
+            forget()
             for big in batches:
                 for start in range(0, big.num_rows, ROWS):
                     batch = big.slice(start, ROWS)
                     keep = np.ones(batch.num_rows, bool)
                     keep[[f[0] for f in shared.value.search(batch.column(at))]] = False
                     yield batch.filter(pa.array(keep))
+            big = batch = None
             release()
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import discard, materialize, release, table
+from tallyweave.llm.common import discard, forget, materialize, release, table
 from tallyweave.llm.graph import components
 from tallyweave.llm.shingles import by_text, mix
 
@@ -181,6 +181,13 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def rows_of(nodes: np.ndarray, place: dict[int, int]) -> np.ndarray:
+    """place of every node, without a Python number for each."""
+    known, row = (np.fromiter(x, np.int64, len(place)) for x in (place.keys(), place.values()))
+    order = np.argsort(known)
+    return row[order].astype(np.int32)[np.searchsorted(known, nodes, sorter=order)]
+
+
 def feature_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted features of each text, TEXTS at a time."""
     for start in range(0, len(texts), TEXTS):
@@ -199,6 +206,7 @@ def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
     def run(batches):
+        forget()
         for big in batches:
             for start in range(0, big.num_rows, ROWS):
                 batch = big.slice(start, ROWS)
@@ -216,15 +224,19 @@ def describe(docs: DataFrame, rule: Jaccard, key: str, text: str) -> DataFrame:
                 every, owner = np.concatenate(every), np.concatenate(owner)
                 sigs, own, first, many = grouped(every, owner)
                 del every, owner
-                row = np.fromiter(map(place.__getitem__, own.tolist()), np.int64, len(own))
+                row = rows_of(own, place)
+                del own
                 order = np.argsort(row, kind="stable")
                 sigs, first, many, row = sigs[order], first[order], many[order], row[order]
+                del order
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), lists(row[first], n, sigs[first]), lists(row[many], n, sigs[many]), pa.array(needs[:, 0]), pa.array(needs[:, 1])],
                     [key, "n_shingles", "node", "sigs", "shared", "even", "odd"],
                 )
-                del sigs, own, first, many, row, order
+                del sigs, first, many, row
                 release()
+        big = batch = None
+        release()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, sigs array<long>, shared array<long>, even int, odd int")
 
@@ -234,6 +246,7 @@ def global_groups(rows: DataFrame) -> DataFrame:
     a group's size; what follows the node is a property of both and comes along."""
 
     def run(batches):
+        forget()
         before = None  # the row before
         alone = False  # whether its signature has had one node so far
         for batch in batches:
@@ -283,6 +296,7 @@ def rarity(docs: DataFrame, rule: Jaccard, key: str, text: str) -> np.ndarray:
     some = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit("order")), F.lit(share)) == 0)
 
     def run(batches):
+        forget()
         for batch in batches:
             n = np.zeros(ORDER_SLOTS, np.int64)
             for features in feature_sets(batch.column(0), rule.k):
@@ -290,6 +304,10 @@ def rarity(docs: DataFrame, rule: Jaccard, key: str, text: str) -> np.ndarray:
                 np.add.at(n, slots(features), 1)
             place = np.flatnonzero(n > 1)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n[place])], ["slot", "n"])
+            del n, place
+            release()
+        batch = None
+        release()
 
     found = some.select(text).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(ORDER_SLOTS, np.int32)
@@ -315,6 +333,7 @@ def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccar
     shared, often = context.broadcast(filled.ravel()), context.broadcast(rarity(docs, rule, key, text))
 
     def run(batches):
+        forget()
         filled, order = shared.value, often.value
         for big in batches:
             for start in range(0, big.num_rows, ROWS):
@@ -330,8 +349,10 @@ def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccar
                 at = np.concatenate([[0], np.cumsum([len(f) for f in found.values()])]).astype(np.int32)
                 flat = signed(np.concatenate([np.zeros(0, np.uint64), *found.values()]))
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "features"])
-                del found, flat
+                del found, flat, texts, at
                 release()
+        big = batch = None
+        release()
 
     again = docs.select(slot(F.col(key)).alias("slot"), text).mapInArrow(run, "node long, features array<long>")
     sets = materialize(again.join(needed.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("features").alias("features")), "sets")

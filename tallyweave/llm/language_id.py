@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import release, table
+from tallyweave.llm.common import forget, release, table
 
 ORDER = 4
 #: Bits of a letter. All letters of a sample have a number, the commonest first; LETTERS is far more than a sample has.
@@ -303,11 +303,13 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        forget()
         for big in batches:
             for k in range(0, big.num_rows, 1000):
                 batch = big.slice(k, 1000)
                 lang, score, accepted = shared.value.decide(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], [key, "lang_pred", "score", "accepted"])
+        big = batch = None
         release()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, accepted boolean")
@@ -318,11 +320,13 @@ def keep_accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        forget()
         for big in batches:
             for k in range(0, big.num_rows, 1000):
                 batch = big.slice(k, 1000)
                 accepted = shared.value.decide(batch.column(at).to_pylist())[2]
                 yield batch.filter(pa.array(accepted))
+        big = batch = None
         release()
 
     at = docs.columns.index(text)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import release, scratch, table
+from tallyweave.llm.common import kept, release, scratch, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 SCHEMA = "doc_id long, n_tokens long, part int, part_start long, ids array<int>"
@@ -37,8 +37,10 @@ ORC_OPTIONS = {
 CACHE_WORDS = 600_000
 #: Control marks that the cutting into words takes for white space and the tokenizer does not.
 ODD_SPACE = "[\x1c-\x1f]"
-#: Rows that are encoded at once.
-ROWS = 2000
+#: Rows that are encoded at once, and new words that are learned at once: what the tokenizer returns is many times as large as ids.
+ROWS, NEW_WORDS = 2000, 50_000
+#: Rows and words where memory matters more than time.
+LEAN_ROWS, LEAN_WORDS = 1000, 200_000
 #: Marks that the tokenizer's pattern never joins to the letter or digit before them.
 TAIL = ".,*#$%&!?;:|)]}-"
 #: Words of letters whose lower case is one letter, and that are in composed form.
@@ -54,10 +56,10 @@ class WordEncoder:
     Its letters, lower-cased as the tokenizer does, go through the same merges without the other steps;
     other words go through the whole tokenizer."""
 
-    def __init__(self, json: str):
+    def __init__(self, json: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_str(json), {}
+        self.tokenizer, self.known, self.most = Tokenizer.from_str(json), {}, most
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
@@ -102,14 +104,15 @@ class WordEncoder:
         ids = list(map(self.known.get, words))
         missing = [k for k, x in enumerate(ids) if x is None]
         if missing:
-            self.learn([words[k] for k in missing])
+            for k in range(0, len(missing), NEW_WORDS):
+                self.learn([words[j] for j in missing[k : k + NEW_WORDS]])
             for k in missing:
                 ids[k] = self.known[words[k]]
         return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and their number by text (null: none)."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.most:
             self.known.clear()
         texts = texts.fill_null("")
         if pc.any(pc.match_substring_regex(texts, ODD_SPACE)).as_py():
@@ -127,16 +130,9 @@ class WordEncoder:
         return ids, np.diff(total[cuts])
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
-def encoder(json: str) -> WordEncoder:
+def encoder(json: str, most: int = CACHE_WORDS) -> WordEncoder:
     """One per Python worker and tokenizer."""
-    key = hash(json)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(json)
-    return _ENCODERS[key]
+    return kept(("tokenizer", hash(json), most), lambda: WordEncoder(json, most))
 
 
 def tokenizer_json(path: str | None) -> str:
@@ -149,18 +145,20 @@ def tokenizer_json(path: str | None) -> str:
         return f.read()
 
 
-def write_tokens(df: DataFrame, out: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Write df(doc_id, text) to `out` in ascending doc_id order and return the files as a DataFrame."""
+def write_tokens(df: DataFrame, out: str, tokenizer: str | None = None, end_id: int = END_ID, lean: bool = False) -> DataFrame:
+    """Write df(doc_id, text) to `out` in ascending doc_id order and return the files as a DataFrame. lean: with less memory in
+    more time; the files hold the same."""
     spark = df.sparkSession
     json = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
+    rows, most = (LEAN_ROWS, LEAN_WORDS) if lean else (ROWS, CACHE_WORDS)
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, at, enc = TaskContext.get().partitionId(), 0, encoder(json.value)
+        part, at, enc = TaskContext.get().partitionId(), 0, encoder(json.value, most)
         for big in batches:
-            for k in range(0, big.num_rows, ROWS):
-                batch = big.slice(k, ROWS)
+            for k in range(0, big.num_rows, rows):
+                batch = big.slice(k, rows)
                 ids, n = enc.encode(batch.column(1))
                 offsets = np.concatenate([[0], np.cumsum(n + 1)])
                 every = np.full(offsets[-1], end_id, np.int32)
@@ -170,6 +168,10 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str | None = None, end_id:
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(every))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n + 1), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), lists], names)
                 at += int(offsets[-1])
+                if lean:
+                    del ids, every, own, lists
+                    release()
+        big = batch = None
         release()
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -202,6 +204,7 @@ def token_digest(tokens: DataFrame) -> DataFrame:
             flat, at = ids.values.to_numpy(zero_copy_only=False).view("<u4"), ids.offsets.to_numpy()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype("int64")), pa.array(crc, pa.int64())], ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
+        batch = ids = flat = None
         release()
 
     rows = tokens.select("doc_id", "part", "part_start", "ids").mapInArrow(run, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tallyweave.llm import jaccard_join as op
@@ -112,3 +113,9 @@ def test_streamed_groups_do_not_depend_on_batches(spark):
             assert sorted(tuple(r) for r in op.global_groups(spark.createDataFrame(rows, "sig long, node long")).collect()) == expected
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_rows_of_nodes():
+    place = {np.int64(7): 0, np.int64(-3): 2, np.int64(5): 3}
+    assert op.rows_of(np.array([5, 5, -3, 7]), place).tolist() == [3, 3, 2, 0]
+    assert op.rows_of(np.zeros(0, np.int64), {}).tolist() == []
