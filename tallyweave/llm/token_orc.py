@@ -37,10 +37,11 @@ ORC_OPTIONS = {
 CACHE_WORDS = 600_000
 #: Control marks that the cutting into words takes for white space and the tokenizer does not.
 ODD_SPACE = "[\x1c-\x1f]"
-#: Rows that are encoded at once, and new words that are learned at once: what the tokenizer returns is many times as large as ids.
-ROWS, NEW_WORDS = 2000, 50_000
-#: Rows and words where memory matters more than time.
-LEAN_ROWS, LEAN_WORDS = 1000, 200_000
+#: Rows that are encoded at once.
+ROWS = 2000
+#: Rows and words where memory matters more than time, and new words that are then learned at once: what the tokenizer returns
+#: is many times as large as ids.
+LEAN_ROWS, LEAN_WORDS, NEW_WORDS = 1000, 200_000, 50_000
 #: Marks that the tokenizer's pattern never joins to the letter or digit before them.
 TAIL = ".,*#$%&!?;:|)]}-"
 #: Words of letters whose lower case is one letter, and that are in composed form.
@@ -56,10 +57,10 @@ class WordEncoder:
     Its letters, lower-cased as the tokenizer does, go through the same merges without the other steps;
     other words go through the whole tokenizer."""
 
-    def __init__(self, json: str, most: int = CACHE_WORDS):
+    def __init__(self, json: str, lean: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_str(json), {}, most
+        self.tokenizer, self.known, self.lean = Tokenizer.from_str(json), {}, lean
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
@@ -104,15 +105,16 @@ class WordEncoder:
         ids = list(map(self.known.get, words))
         missing = [k for k, x in enumerate(ids) if x is None]
         if missing:
-            for k in range(0, len(missing), NEW_WORDS):
-                self.learn([words[j] for j in missing[k : k + NEW_WORDS]])
+            part = NEW_WORDS if self.lean else len(missing)
+            for k in range(0, len(missing), part):
+                self.learn([words[j] for j in missing[k : k + part]])
             for k in missing:
                 ids[k] = self.known[words[k]]
         return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and their number by text (null: none)."""
-        if len(self.known) > self.most:
+        if len(self.known) > (LEAN_WORDS if self.lean else CACHE_WORDS):
             self.known.clear()
         texts = texts.fill_null("")
         if pc.any(pc.match_substring_regex(texts, ODD_SPACE)).as_py():
@@ -130,9 +132,9 @@ class WordEncoder:
         return ids, np.diff(total[cuts])
 
 
-def encoder(json: str, most: int = CACHE_WORDS) -> WordEncoder:
+def encoder(json: str, lean: bool = False) -> WordEncoder:
     """One per Python worker and tokenizer."""
-    return kept(("tokenizer", hash(json), most), lambda: WordEncoder(json, most))
+    return kept(("tokenizer", hash(json), lean), lambda: WordEncoder(json, lean))
 
 
 def tokenizer_json(path: str | None) -> str:
@@ -150,12 +152,12 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str | None = None, end_id:
     more time; the files hold the same."""
     spark = df.sparkSession
     json = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
-    rows, most = (LEAN_ROWS, LEAN_WORDS) if lean else (ROWS, CACHE_WORDS)
+    rows = LEAN_ROWS if lean else ROWS
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, at, enc = TaskContext.get().partitionId(), 0, encoder(json.value, most)
+        part, at, enc = TaskContext.get().partitionId(), 0, encoder(json.value, lean)
         for big in batches:
             for k in range(0, big.num_rows, rows):
                 batch = big.slice(k, rows)

@@ -58,7 +58,7 @@ def test_words_are_learned_in_parts(monkeypatch):
 
     monkeypatch.setattr(op, "NEW_WORDS", 3)
     text = "The cat, the Dog. x1y2 don't café CAFÉ! plain words and More words, ünï 日本語"
-    encoder, most = op.WordEncoder(op.tokenizer_json(None)), []
+    encoder, most = op.WordEncoder(op.tokenizer_json(None), lean=True), []
     whole = encoder.whole
     monkeypatch.setattr(encoder, "whole", lambda words: most.append(len(words)) or whole(words))
     ids, n = encoder.encode(pa.array([text, None]))
