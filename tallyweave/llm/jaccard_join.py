@@ -18,8 +18,7 @@ Equal sets are one node (a 64-bit hash of the set). In each group of nodes with
 node that meets most others is compared with all of them, exactly; groups are first formed within a batch of a
 reader and only one node of each goes on to the shuffle of signatures, so no key brings more rows to a task
 than there are batches. Where these links leave more than one component, `across` finds the pairs across
-components that can still be linked, from how both differ from the node they were compared with, and those are
-compared too. Pairs within a component can't change it, and pairs in no common group can't be linked, so no
+components that are linked all the same, from how both differ from the node they were compared with. Pairs within a component can't change it, and pairs in no common group can't be linked, so no
 link between components is lost.
 
 Null and empty texts, and texts of white space, have an empty set: n_shingles 0, linked with nothing, their
@@ -36,7 +35,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import discard, forget, materialize, release, table
@@ -47,6 +47,8 @@ from tallyweave.llm.shingles import by_text, mix
 ROWS, TEXTS = 4000, 400
 #: Elements that the first elements of two difference sets must share, where they must share as many at all.
 MATCHES = 4
+#: Elements of the differences in a block of a lead's nodes, about, and what is met or looked up at once in a cell of two blocks.
+BLOCK, AT_ONCE = 1 << 19, 1 << 20
 #: Documents that set the order of features, about, and the size of the table of their frequencies.
 ORDER_SAMPLE, ORDER_SLOTS = 20_000, 1 << 20
 #: Bits of the filter on documents whose sets are needed again, for each of them, and in all: 128 MB, sent to all
@@ -360,85 +362,204 @@ def sets_of(docs: DataFrame, features: DataFrame, pairs: DataFrame, rule: Jaccar
     return sets
 
 
-def first_elements(need: Column) -> Column:
-    """The elements (kind, e, need) of a difference that are looked up, if `need` of its elements are to be in common: kind 0
-    of those that only b has, kind 1 of those that only a has. What kind 1 can't make up must be in common in kind 0."""
-    more, less = F.size("more"), F.size("less")
-    beyond = F.greatest(F.lit(1), need - less)
-    cut = lambda part, n: F.slice(part, 1, F.greatest(F.lit(0), F.least(F.size(part), n)).cast("int"))
-    listed = lambda part, kind, n: F.transform(part, lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("e"), n.cast("int").alias("need")))
-    return F.concat(listed(cut("more", more - beyond + MATCHES), 0, beyond), listed(cut("less", F.when(need <= less, less - need + MATCHES).otherwise(0)), 1, need))
-
-
-def lacks(less: Column) -> Column:
-    """64 bits that say roughly which elements of its lead a node lacks."""
-    bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e.bitwiseAND(63).cast("int"))
-    return F.aggregate(less, F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(bit(e)))
-
-
-def most_shared(size: Column, own: Column, other: Column) -> Column:
-    """How many of `size` elements another set can have too, at most: each bit that it hasn't stands for one that it lacks."""
-    return size - F.bit_count(own.bitwiseAND(F.bitwise_not(other)))
-
-
-def compared(sets: DataFrame, pairs: DataFrame, rule: Jaccard, differences: bool = True) -> DataFrame:
-    """pairs (a, b) with whether they are linked, by their whole sets, and for `across` the elements in which b differs from a
-    that are to be looked up: `short` if b or the third node isn't linked to a, `long` in any case."""
-    p, q = 100 - rule.percent, 100 + rule.percent
+def compared(sets: DataFrame, pairs: DataFrame, rule: Jaccard) -> DataFrame:
+    """pairs (a, b) with whether they are linked, by their whole sets, the sizes of both and the elements that only b has (`more`), rare
+    ones first; those of a that b lacks (`part`, `lacking`), or those that it has, if they are fewer and b differs by so much
+    that none of the others is looked up."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
-    both = both.withColumn("na", F.size("fa")).withColumn("nb", F.size("fb")).withColumn("more", F.array_except("fb", "fa"))
-    both = both.withColumn("common", F.col("nb") - F.size("more"))
+    both = both.withColumn("na", F.size("fa")).withColumn("nb", F.size("fb")).withColumn("more", F.array_except("fb", "fa")).withColumn("common", F.col("nb") - F.size("more"))
     both = both.withColumn("linked", 100 * F.col("common") >= rule.percent * (F.col("na") + F.col("nb") - F.col("common")))
-    if not differences:
-        return both.select("a", "b", "linked")
-    both = both.withColumn("less", F.array_except("fa", "fb")).withColumn("n", F.col("na") + F.col("nb") - 2 * F.col("common"))
-    # How many of the n a link leaves in common, by how far linked sets can differ, and by how far y does at least.
-    always = F.greatest(F.lit(1), F.col("n") - F.floor(p * F.col("nb") / rule.percent))
-    least = F.greatest(F.lit(1), F.floor((F.col("n") * q + p * (F.col("na") - F.col("nb"))) / (2 * q)) + 1)
-    least = F.when(F.col("linked"), least).otherwise(F.greatest(least, always))
-    own = [F.size("less").alias("nl"), lacks(F.col("less")).alias("lacks"), least.alias("need_short"), always.alias("need_long")]
-    return both.select("a", "b", "linked", "n", "nb", *own, first_elements(least).alias("short"), F.when(~F.col("linked"), first_elements(always)).alias("long"))
+    far = F.size("more") > F.floor((100 - rule.percent) * F.col("nb") / rule.percent)
+    both = both.withColumn("lacking", F.col("linked") | ~far | (2 * F.col("common") >= F.col("na")))
+    return both.select("a", "b", "linked", "na", "nb", "more", F.when(F.col("lacking"), F.array_except("fa", "fb")).otherwise(F.array_intersect("fa", "fb")).alias("part"), "lacking")
+
+
+def first_elements(need: np.ndarray, more: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many elements of a difference are looked up, of those that only b has and of those that only a has, if `need` of its elements are
+    to be in common; and how many must be of the first kind, as the second can't make up for them."""
+    beyond = np.maximum(1, need - less)
+    return np.clip(more - beyond + MATCHES, 0, more), np.where(need <= less, np.minimum(less, less - need + MATCHES), 0), beyond
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def pieces(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive stretches of at most `most` in all, or of one member."""
+    at, ends = 0, np.cumsum(size)
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield slice(at, to)
+        at = to
+
+
+class Family:
+    """Nodes compared with one lead, of several cells: `cell` of each row, in which rows of unlike `side` meet, or all if `within`."""
+
+    def __init__(self, rows: pa.Table, rule: Jaccard):
+        self.rule = rule
+        self.node, self.within, self.side, self.linked = (rows.column(c).to_numpy() for c in ("b", "within", "side", "linked"))
+        self.lead, self.size = (rows.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+        self.lacking = rows.column("lacking").to_numpy()
+        self.cell = np.cumsum(cell_starts(rows)) - 1
+        _, self.component = np.unique(rows.column("cb").to_numpy(), return_inverse=True)
+        lists = [rows.column(c).combine_chunks() for c in ("more", "part")]
+        more, self.part = (np.diff(x.offsets.to_numpy()).astype(np.int64) for x in lists)
+        self.less = np.where(self.lacking, self.part, self.lead - self.part)
+        self.differ = more + self.less
+        p, q = 100 - rule.percent, 100 + rule.percent
+        # How many of the difference a link leaves in common, by how far linked sets can differ, and by how far y does at least.
+        always = np.maximum(1, self.differ - p * self.size // rule.percent)
+        least = np.maximum(1, (self.differ * q + p * (self.lead - self.size)) // (2 * q) + 1)
+        self.need = {"short": np.where(self.linked, least, np.maximum(least, always)), "long": always}
+        first = {part: first_elements(need, more, self.less) for part, need in self.need.items()}
+        self.beyond = {part: x[2] for part, x in first.items()}
+        rows_of_all = np.concatenate([np.repeat(np.arange(len(n), dtype=np.int32), n) for n in (more, self.part)])
+        place = np.concatenate([ranges(np.zeros(len(n), np.int64), n) for n in (more, self.part)])
+        kind = np.repeat(np.array([0, 1], np.int8), [more.sum(), self.part.sum()])
+        elements = np.concatenate([x.flatten().to_numpy() for x in lists])
+        order = np.lexsort((elements, self.cell[rows_of_all]))
+        new = first_of_runs(elements[order]) | first_of_runs(self.cell[rows_of_all[order]])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        del elements, order, new
+        # What one row alone has is never in common.
+        shared = np.flatnonzero(np.bincount(number)[number] > 1) if len(number) else np.zeros(0, np.int64)
+        shared = shared[np.lexsort((number[shared], rows_of_all[shared]))]
+        self.row, self.element, self.kind, place = rows_of_all[shared], number[shared], kind[shared], place[shared]
+        self.elements = int(number.max(initial=-1)) + 1
+        self.start = np.searchsorted(self.row, np.arange(len(self.node) + 1))
+        self.key = self.row * np.int64(self.elements) + self.element
+        self.listed = {part: place < np.where(self.kind == 0, x[0][self.row], x[1][self.row]) for part, x in first.items()}
+        self.label = np.arange(self.component.max(initial=-1) + 1)
+
+    def fits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether components and sides differ, and sizes alone, of sets and of differences, leave a link possible."""
+        percent, nx, ny = self.rule.percent, self.size[x], self.size[y]
+        near = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((100 + percent) * np.abs(self.differ[x] - self.differ[y]) <= (100 - percent) * (nx + ny))
+        return near & (self.label[self.component[x]] != self.label[self.component[y]]) & (self.within[x] | (self.side[x] != self.side[y]))
+
+    def candidates(self, linked: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (x, y) with as many elements in common as their first ones must have; y is not linked, x is or not."""
+        part = "long" if linked else "short"
+        asks = np.flatnonzero(self.listed["short"] & (self.linked[self.row] == linked))
+        held = np.flatnonzero(self.listed[part] & ~self.linked[self.row])
+        held = held[np.argsort(self.element[held], kind="stable")]
+        count = np.bincount(self.element[held], minlength=self.elements)
+        start = (np.cumsum(count) - count)[self.element[asks]]
+        count = count[self.element[asks]]
+        heads = np.flatnonzero(first_of_runs(self.row[asks]))
+        for of in pieces(np.add.reduceat(count, heads) if len(heads) else heads, AT_ONCE):
+            some = slice(heads[of.start], heads[of.stop] if of.stop < len(heads) else len(asks))
+            x, kind = np.repeat(self.row[asks[some]], count[some]), np.repeat(self.kind[asks[some]], count[some])
+            y = self.row[held[ranges(start[some], count[some])]]
+            keep = np.flatnonzero(self.fits(x, y) & (linked | (x < y)))
+            pairs, of_pair = np.unique(x[keep] * np.int64(len(self.node)) + y[keep], return_inverse=True)
+            n = [np.bincount(of_pair, kind[keep] == k, len(pairs)) for k in (0, 1)]
+            x, y = np.divmod(pairs, len(self.node))
+            need = [np.maximum(table["short"][x], table[part][y]) for table in (self.beyond, self.need)]
+            enough = np.logical_or(*[m >= np.minimum(MATCHES, least) for m, least in zip(n, need)])
+            yield x[enough], y[enough]
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many elements the differences of x and y share, whole: what neither has of the lead's is told from what is listed of it."""
+        found = np.zeros((2, len(x)), np.int64)
+        size = self.start[1:] - self.start[:-1]
+        for some in pieces(size[y], AT_ONCE):
+            of_pair = np.repeat(np.arange(some.start, min(some.stop, len(y))), size[y[some]])
+            own = ranges(self.start[y[some]], size[y[some]])
+            wanted = x[of_pair] * np.int64(self.elements) + self.element[own]
+            at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+            for kind in (0, 1):
+                found[kind] += np.bincount(of_pair, (self.key[at] == wanted) & (self.kind[own] == kind), len(x)).astype(np.int64)
+        more, part = found
+        neither = np.select(
+            [self.lacking[x] & self.lacking[y], self.lacking[x], self.lacking[y]], [part, self.part[x] - part, self.part[y] - part], self.lead[x] - self.part[x] - self.part[y] + part
+        )
+        return more + neither
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs that join components, none that joins what others here have joined already."""
+        found = []
+        for linked in (False, True):
+            for x, y in self.candidates(linked):
+                both = self.size[x] + self.size[y]
+                same = (both - self.differ[x] - self.differ[y]) // 2 + self.common(x, y)
+                right = 100 * same >= self.rule.percent * (both - same)
+                for i, j in zip(x[right], y[right]):
+                    one, other = self.label[self.component[[i, j]]]
+                    if one != other:
+                        self.label[self.label == other] = one
+                        found.append(sorted((self.node[i], self.node[j])))
+        return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def cell_starts(rows: pa.Table) -> np.ndarray:
+    """Where each cell (a, i, j) of sorted rows begins, as a mask."""
+    return np.logical_or.reduce([first_of_runs(rows.column(c).to_numpy()) for c in ("a", "i", "j")])
 
 
 def across(done: DataFrame, found: DataFrame, rule: Jaccard) -> DataFrame:
-    """Pairs that may be linked, among nodes compared with one lead but in different components.
+    """Linked pairs that join components, among nodes compared with one lead but in different components.
 
     Let X and Y be where x and y differ from their lead b. Then x and y differ in |X| + |Y| - 2 |X & Y| features, so a link
     needs |X & Y| above a bound, and two sets with so great a part in common share MATCHES (or all, if fewer) of their first
     elements in any order, so rare ones come first. As at least one of the two, say y, is not linked to b, the bound for
     x is (|X| + c (|b| - |x|)) / 2 with c = (1 - s) / (1 + s) for threshold s: `short`. For y it is |Y| less the most that
     linked sets can differ in, whatever x is: `long`, and `short` if x isn't linked to b either and that is more. Texts
-    changed in places of their own share hardly any of these."""
-    p, q = 100 - rule.percent, 100 + rule.percent
+    changed in places of their own share hardly any of these.
+
+    Pairs are many where a lead has many nodes near the threshold, so none is written that isn't linked: the nodes of a lead are cut into
+    blocks of about BLOCK elements, each two blocks, or one, are a cell that a task reads as a stream, and what X and Y share, which
+    tells whether x and y are linked, is counted there. Only a lead of several blocks has its rows copied, once for each."""
     c = lambda node, name: found.select(F.col("node").alias(node), F.col("component").alias(name))
-    rows = done.join(c("b", "cb"), "b", "left").join(c("a", "ca"), "a", "left").withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a"))
-    split = materialize(rows.where("ca <> cb").select("a").distinct(), "split")
-    rows = materialize(rows.join(split, "a", "left_semi").select("a", "b", "linked", "n", "nb", "nl", "lacks", "cb", "need_short", "need_long", "short", "long"), "families")
-    # Sizes alone, of the sets and of what differs from the lead, rule out many.
-    fits = f"cx <> cy and 100 * least(nx, ny) >= {rule.percent} * greatest(nx, ny) and {q} * abs(dx - dy) <= {p} * (nx + ny)"
-
-    def first(of: str, part: str, node: str) -> DataFrame:
-        own = {"b": node, "cb": f"c{node}", "nb": f"n{node}", "n": f"d{node}", "nl": f"l{node}", "lacks": f"lacks_{node}", f"need_{part}": f"all_{node}"}
-        t = rows.where(of).select("a", F.explode(part).alias("e"), *[F.col(c).alias(name) for c, name in own.items()])
-        return t.select("a", "e.kind", "e.e", F.col("e.need").alias(f"need_{node}"), *own.values())
-
-    def enough(both: DataFrame) -> DataFrame:
-        """Pairs with as many elements in common as their first ones must have. Where all that both have beyond their lead is
-        listed, these are exactly those in common, and with what both may lack they must make up the need."""
-        need = F.greatest("need_x", "need_y")
-        of = lambda k: (F.count_if(F.col("kind") == k).alias(f"n{k}"), F.max(F.when(F.col("kind") == k, need)).alias(f"need{k}"))
-        lacked = F.least(most_shared(F.col("lx"), F.col("lacks_x"), F.col("lacks_y")), most_shared(F.col("ly"), F.col("lacks_y"), F.col("lacks_x")))
-        more = {"lacked": lacked, "need": F.greatest("all_x", "all_y"), "beyond": F.greatest(F.col("all_x") - F.col("lx"), F.col("all_y") - F.col("ly"))}
-        same = both.groupBy("a", "x", "y").agg(*of(0), *of(1), *[F.first(c).alias(name) for name, c in more.items()])
-        found = same.where(" or ".join(f"n{k} >= least({MATCHES}, need{k})" for k in (0, 1))).where(f"beyond > {MATCHES} or n0 + lacked >= need")
-        return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-    keys = ["a", "kind", "e"]
-    apart = enough(first("not linked", "short", "x").join(first("not linked", "short", "y"), keys).where(f"x < y and {fits}"))
-    mixed = enough(first("linked", "short", "x").join(first("not linked", "long", "y"), keys).where(fits))
-    rest = materialize(apart.unionByName(mixed).distinct(), "rest")
-    discard(rows, split)
-    return rest
+    rows = done.select("a", "b", (F.size("more") + F.size("part")).alias("n")).join(c("b", "cb"), "b", "left").join(c("a", "ca"), "a", "left")
+    rows = materialize(rows.select("a", "b", "n", F.coalesce("cb", "b").alias("cb"), F.coalesce("ca", "a").alias("ca")), "members")
+    blocks = rows.groupBy("a").agg(F.sum("n").alias("all"), F.bool_or(F.col("ca") != F.col("cb")).alias("split")).where("split")
+    blocks = blocks.select("a", F.ceil((F.col("all") + 1) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("own")
+    cells = rows.join(blocks, "a").select("a", "b", "cb", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("a", "b", "cb", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("within"))
+    cells = done.join(cells.hint("shuffle_hash"), ["a", "b"]).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Of whole cells, a few at a time."""
+        starts = np.append(np.flatnonzero(cell_starts(rows)), rows.num_rows)
+        sizes = np.add.reduceat(differences(rows), starts[:-1])
+        for some in pieces(sizes, 2 * BLOCK):
+            part = rows.slice(starts[some.start], starts[min(some.stop, len(sizes))] - starts[some.start]).combine_chunks()
+            if part.num_rows > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in Family(part, rule).links()], ["a", "b"])
+
+    def differences(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return sum(pc.list_value_length(rows.column(c)).to_numpy(zero_copy_only=False) for c in ("more", "part")).astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
+
+    def run(batches):
+        forget()
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += int(differences(batch).sum())
+            if size >= 2 * BLOCK:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                last = int(np.flatnonzero(cell_starts(rows))[-1])
+                if last:
+                    yield from links(rows.slice(0, last))
+                # The last cell may go on.
+                held, size = rows.slice(last).combine_chunks().to_batches(), int(differences(rows.slice(last)).sum())
+                del rows
+                release()
+        batch = None
+        if held and (rows := pa.Table.from_batches(held).combine_chunks()).num_rows:
+            yield from links(rows)
+        held = rows = None
+        release()
+
+    more = materialize(cells.mapInArrow(run, "a long, b long").distinct(), "more")
+    discard(rows)
+    return more
 
 
 def similar(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -457,16 +578,12 @@ def similar(docs: DataFrame, rule: Jaccard, key: str = "doc_id", text: str = "te
     done = materialize(compared(sets, pairs, rule), "compared")
     discard(pairs)
     found = components(done.where("linked"))
-    rest = across(done, found, rule)
-    if not rest.isEmpty():
-        ends = materialize(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        more = materialize(compared(sets.join(ends, "node", "left_semi"), rest, rule, differences=False).where("linked").select("a", "b"), "more")
-        discard(ends)
-        if not more.isEmpty():
-            discard(found)
-            found = components(done.where("linked").select("a", "b").unionByName(more))
-        discard(more)
-    discard(rest, sets, done)
+    discard(sets)
+    more = across(done, found, rule)
+    if not more.isEmpty():
+        discard(found)
+        found = components(done.where("linked").select("a", "b").unionByName(more))
+    discard(more, done)
     return features, found
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyweave.llm import jaccard_join as op
@@ -119,3 +120,60 @@ def test_rows_of_nodes():
     place = {np.int64(7): 0, np.int64(-3): 2, np.int64(5): 3}
     assert op.rows_of(np.array([5, 5, -3, 7]), place).tolist() == [3, 3, 2, 0]
     assert op.rows_of(np.zeros(0, np.int64), {}).tolist() == []
+
+
+def near_threshold():
+    """Copies of a text of which most are not linked to it, some to one another alone."""
+    rng, rows = random.Random(23), []
+    base = words(rng, 150)
+    for _ in range(8):
+        middle = list(base)
+        for at in range(5, 150, 21 + rng.randint(-2, 3)):
+            middle[at] = words(rng, 1)[0]
+        for _ in range(9):
+            w = list(middle)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = words(rng, 1)[0]
+            rows.append((len(rows), " ".join(w)))
+    return [(500, " ".join(base)), *rows, *[(600 + k, " ".join([*base[:130], *words(rng, k)])) for k in range(0, 60, 4)]]
+
+
+@pytest.mark.parametrize("block", [None, 1500])
+def test_no_pair_is_written_that_is_not_linked(spark, monkeypatch, block):
+    """Near the threshold most pairs aren't linked; they are ruled out where they meet, in one cell or in those of several blocks."""
+    found, across, rule, rows = [], op.across, Jaccard(80, 5), near_threshold()
+    monkeypatch.setattr(op, "across", lambda done, *more: found.append((across(done, *more), {(r.a, r.b) for r in done.where("linked").collect()})) or found[-1][0])
+    monkeypatch.setattr(op, "discard", lambda *frames: None)
+    if block:
+        monkeypatch.setattr(op, "BLOCK", block)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    features, _ = op.similar(docs, rule)
+    of = dict(zip([r[0] for r in rows], sets(rows, rule.k)))
+    text = {r.node: of[r.doc_id] for r in features.collect()}
+    pairs = {(r.a, r.b) for r in found[0][0].collect()}
+    assert all(100 * len(text[a] & text[b]) >= rule.percent * len(text[a] | text[b]) for a, b in pairs) and not pairs & found[0][1]
+    assert sorted((tuple(r) for r in op.classes(docs, rule).collect()), key=str) == brute(rows, rule)
+
+
+def test_what_two_differences_share(spark):
+    """Whole differences give the similarity of two nodes exactly, whether what a node lacks of the lead is listed or what it has."""
+    rng, rule = np.random.default_rng(9), Jaccard(80, 5)
+    lead = rng.permutation(400)[:200]
+    members = [np.union1d(rng.permutation(lead)[: rng.integers(1, 200)], rng.integers(400, 600, rng.integers(0, 150))) for _ in range(40)]
+    members += [np.union1d(np.setdiff1d(m, m[:2]), [700 + k]) for k, m in enumerate(members)]
+    nodes = spark.createDataFrame([(-1, lead.tolist()), *[(k, m.tolist()) for k, m in enumerate(members)]], "node long, features array<long>")
+    done = op.compared(nodes, spark.createDataFrame([(-1, k) for k in range(len(members))], "a long, b long"), rule)
+    t = done.selectExpr("*", "if(linked, -1, b) as cb", "0 as i", "0 as j", "false as side", "true as within").orderBy("b").toArrow()
+    assert len(set(t.column("lacking").to_pylist())) == 2
+    family = op.Family(t, rule)
+    x, y = np.nonzero(~np.eye(80, dtype=bool))
+    differ = family.differ[x] + family.differ[y] - 2 * family.common(x, y)
+    assert differ.tolist() == [len(np.setxor1d(members[a], members[b])) for a, b in zip(x, y)]
+    up = t.column("cb").to_pylist()
+    for a, b in zip(*family.links()):
+        up = [up[a] if u == up[b] else u for u in up]
+    for a in range(80):
+        for b in range(a):
+            same = len(np.intersect1d(members[a], members[b]))
+            if 100 * same >= 80 * (len(members[a]) + len(members[b]) - same):
+                assert up[a] == up[b]
