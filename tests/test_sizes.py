@@ -57,3 +57,40 @@ def test_replies_are_parsed_once(spark, name):
     """Filters and the look-up of vendors read fields that were written; no reply is cut out or parsed again."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "```" not in plan and "parse" not in plan.lower()
+
+
+def test_near_spellings_by_letters(spark):
+    """Which letters there are rules pairs out before edits are counted, and loses none; candidates are not shuffled."""
+    import random
+
+    from tallyweave.functions.text import full_fold
+    from tallyweave.operators import identity
+
+    rng, known = random.Random(8), identity.fuzzy_aliases(spark)
+    folded = [(r.folded, r.name, r.category) for r in known.collect()]
+    texts = [None, "", "ab"]
+    for alias, *_ in folded:
+        w = list(alias)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.sample("abcdefghijklmnopqrstuvwxyz2346", rng.randint(0, 1))
+        texts.append("".join(w))
+    lines = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    cands = {r.k: r.c for r in lines.select("k", full_fold(F.col("t")).alias("c")).collect() if r.c and len(r.c) >= 5}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j] + 1, row[j + 1] + 1, last + (x != y))
+        return row[-1]
+
+    expected = {}
+    for k, c in cands.items():
+        met = [(edits(c, f), -len(f), n, g) for f, n, g in folded if abs(len(f) - len(c)) <= 2]
+        if met := [m for m in met if m[0] <= (1 if -m[1] <= 6 else 2)]:
+            expected[k] = min(met)[2:]
+    df = identity.fuzzy_lines(lines, "k", "t", known)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.k: (r.name, r.category) for r in df.collect()} == expected and len(expected) > 100
